@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe
+from tessera.llm import bpe, imatch, langid
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,8 +16,20 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests_only=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return imatch.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op9_language_id": op9_language_id,
+    "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
