@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, imatch, langid
+from tessera.llm import bpe, hnsw, imatch, langid, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +17,17 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests_only=True)
 
 
+def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives written from all pages hold when they are read back."""
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -28,6 +40,8 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op3_hnsw_neighbours": op3_hnsw_neighbours,
+    "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
