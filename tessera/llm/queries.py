@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hnsw, imatch, langid, warc
+from tessera.llm import bpe, hnsw, imatch, langid, simhash, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,11 @@ def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives written from all pages hold when they are read back."""
     records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False).where("kind = 'record'")
@@ -41,6 +46,7 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
     "op3_hnsw_neighbours": op3_hnsw_neighbours,
+    "op5_simhash_golay": op5_simhash_golay,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
