@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hnsw, imatch, langid, simhash, warc
+from tessera.llm import bpe, hnsw, imatch, langid, secrets, simhash, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,11 @@ def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document, scanned once for each distinct text."""
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives written from all pages hold when they are read back."""
     records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False).where("kind = 'record'")
@@ -47,9 +52,12 @@ QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
     "op3_hnsw_neighbours": op3_hnsw_neighbours,
     "op5_simhash_golay": op5_simhash_golay,
+    "op7_secret_ledger": op7_secret_ledger,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secret_ledger": secrets.ORACLE_SQL,
+}
