@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hnsw, imatch, langid, secrets, simhash, warc
+from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, secrets, simhash, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests_only=True)
 
 
+def op2_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What content-defined chunking removes from every document."""
+    return cdc.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
@@ -27,6 +32,12 @@ def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document comes in the mix of its sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in every document, scanned once for each distinct text."""
     return secrets.findings(table(spark, sf_dir, "documents"))
@@ -50,8 +61,10 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op2_cdc_dedup": op2_cdc_dedup,
     "op3_hnsw_neighbours": op3_hnsw_neighbours,
     "op5_simhash_golay": op5_simhash_golay,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_language_id": op9_language_id,
