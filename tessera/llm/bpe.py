@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -151,15 +152,15 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", id_col: str = "doc_id", digests_only: bool = False) -> DataFrame:
-    """One row per input row: id, n_tokens, ids (array), decoded text and their SHA-256 digests.
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """One row per input row: id, n_tokens, SHA-256 digests of the ids and of the decoded text, and both themselves.
 
-    ``digests_only`` leaves the ids and the decoded text out, so that they never leave the worker.
+    Without ``with_ids`` or ``with_text`` these never leave the worker.
     The vocabulary file is read by each worker from ``vocab_path``, which is part of the environment.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>, decoded string")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocab_path)
@@ -172,14 +173,16 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", id_col: str =
                 counts.append(sum([p[0] for p in parts]))
                 digests.append(hashlib.sha256(packed).hexdigest())
                 decoded_digests.append(hashlib.sha256(plain.encode("utf-8")).hexdigest())
-                if not digests_only:
-                    ids.append(struct.unpack(f"<{len(packed) // 4}I", packed))
+                if with_ids:
+                    ids.append(np.frombuffer(packed, "<i4"))
+                if with_text:
                     decoded.append(plain)
             fields = [pa.field("doc_id", b.column(0).type), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
             columns = [b.column(0), counts, digests, decoded_digests]
-            if not digests_only:
-                fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
-                columns += [ids, decoded]
+            if with_ids:
+                fields, columns = [*fields, pa.field("ids", pa.list_(pa.int32()))], [*columns, ids]
+            if with_text:
+                fields, columns = [*fields, pa.field("decoded", pa.string())], [*columns, decoded]
             yield batch(pa.schema(fields), columns)
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -14,7 +14,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
-    return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests_only=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False, with_text=False)
 
 
 def op2_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

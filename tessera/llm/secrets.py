@@ -99,12 +99,11 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col:
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(``versions`` with the columns blob and spans added, the ledger with what was scanned now)."""
+    """(``versions`` with the columns blob and spans added, in place of any of these names, the ledger with what was scanned now)."""
     scanned = scan_unseen(versions, ledger, text_col)
     known = scanned if ledger is None else ledger.unionByName(scanned)
     current = known.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    clash = [c for c in versions.columns if c in ("blob", "spans")]
-    paths = versions.drop(*clash).withColumn("__path_blob", blob_of(F.col(text_col)))
+    paths = versions.drop("blob", "spans").withColumn("__path_blob", blob_of(F.col(text_col)))
     joined = paths.join(current, F.col("__path_blob") == F.col("__blob"))
     return joined.drop("__blob").withColumnsRenamed({"__path_blob": "blob", "__spans": "spans"}), known
 
@@ -136,6 +135,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
 
 
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``df`` with all secrets in its texts replaced, and the texts' lengths brought up to date where they change."""
+    rows, _ = scan(df, text_col=text_col)
+    clean = redacted(F.col(f"`{text_col}`"), F.col("spans"))
+    columns = {c: F.col(f"`{c}`") for c in df.columns} | {text_col: clean}
+    if length_col in df.columns:
+        columns[length_col] = F.when(F.size("spans") > 0, F.length(clean).cast(df.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+    return rows.select(*[c.alias(name) for name, c in columns.items()])
+
+
 def _oracle() -> str:
     """The same findings as DuckDB SQL."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"

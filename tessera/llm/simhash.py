@@ -104,9 +104,9 @@ def finer_keys(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(places), np.concatenate(out)
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join the fingerprints within ``radius`` bits of each other into their components."""
-    n = len(fps)
+def forest(nodes: np.ndarray, words: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
+    """Links that join nodes whose fingerprints (64 bits in each of ``words``) are within ``radius`` bits of each other."""
+    n = len(nodes)
     top = list(range(n))
 
     def root(x: int) -> int:
@@ -115,14 +115,14 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             x = top[x]
         return x
 
-    out, u = [], fps.view(np.uint64)
+    out, parts = [], [w.view(np.uint64) for w in words]
     for at in range(0, n, BLOCK):
-        near = np.bitwise_count(u[at : at + BLOCK, None] ^ u[None, at:]) <= radius
-        for a, b in zip(*np.nonzero(np.triu(near, 1))):
+        apart = sum(np.bitwise_count(u[at : at + BLOCK, None] ^ u[None, at:]).astype(np.int16) for u in parts)
+        for a, b in zip(*np.nonzero(np.triu(apart <= radius, 1))):
             x, y = root(at + int(a)), root(at + int(b))
             if x != y:
                 top[max(x, y)] = min(x, y)
-                out.append((int(fps[at + a]), int(fps[at + b])))
+                out.append((int(nodes[at + a]), int(nodes[at + b])))
     return out
 
 
@@ -140,28 +140,37 @@ def _emit_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[places]), pa.array(finer), pa.array(fps[places])], names=["key", "finer", "fp"])
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, finer, fp): the links of each bucket.  One bucket is held at a time."""
-    schema, held, current = pa.schema([("u", pa.int64()), ("v", pa.int64())]), [], None
+def _linker(radius: int):
+    """Of rows sorted by (key, finer, node), the links of each bucket.  One bucket is held at a time.
 
-    def links(parts: list[np.ndarray]) -> list[tuple[int, int]]:
-        fps = np.concatenate(parts)
-        return forest(np.unique(fps)) if len(fps) > 1 else []
+    The columns after ``node`` are the fingerprint's words; without any, the node is the fingerprint.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    for b in batches:
-        keys, finer, fps = (c.to_numpy() for c in b.columns)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (finer[1:] != finer[:-1])) + 1
-        out: list[tuple[int, int]] = []
-        for part, at in zip(np.split(fps, cuts), [0, *cuts.tolist()]):
-            if (bucket := (keys[at], finer[at])) != current:
-                if held:
-                    out += links(held)
-                held, current = [], bucket
-            held.append(part)
-        if out:
+    def links(parts: list[list[np.ndarray]]) -> list[tuple[int, int]]:
+        nodes, *words = (np.concatenate(c) for c in zip(*parts))
+        _, first = np.unique(nodes, return_index=True)
+        nodes = nodes[first]
+        return forest(nodes, [w[first] for w in words] or [nodes], radius) if len(nodes) > 1 else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for b in batches:
+            keys, finer, *columns = (c.to_numpy() for c in b.columns)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (finer[1:] != finer[:-1])) + 1
+            out: list[tuple[int, int]] = []
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if (bucket := (keys[a], finer[a])) != current:
+                    if len(held) > 1 or held and len(held[0][0]) > 1:
+                        out += links(held)
+                    held, current = [], bucket
+                held.append([c[a:z] for c in columns])
+            if out:
+                yield batch(schema, list(zip(*out)))
+        if held and (out := links(held)):
             yield batch(schema, list(zip(*out)))
-    if held and (out := links(held)):
-        yield batch(schema, list(zip(*out)))
+
+    return run
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -174,7 +183,7 @@ def links(fps: DataFrame) -> DataFrame:
         finer = keys.join(hot, "key", "left_semi").mapInArrow(_emit_finer, "key bigint, finer bigint, fp bigint")
         spread = spread.join(hot, "key", "left_anti").select("key", "finer", "fp").unionByName(finer)
     dealt = spread.select("key", "finer", "fp").repartition(shuffle_parts(spark), "key", "finer").sortWithinPartitions("key", "finer", "fp")
-    return dealt.mapInArrow(_link_buckets, "u bigint, v bigint")
+    return dealt.mapInArrow(_linker(RADIUS), "u bigint, v bigint")
 
 
 def groups(df: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -188,3 +197,92 @@ def groups(df: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_fp = named.join(least, "label").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies: bits of the fingerprint of words (five Golay segments) that gives keys, and words in a verified shingle.
+WORD_SEGMENTS = 5
+NEAR_SHINGLE = 5
+#: Bits of 128 that differ at most in a link; a Jaccard similarity of 0.8 makes 19 differ on average, 0.7 makes 25.
+NEAR_BITS = 24
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
+    """The 128-bit SimHash of distinct hashes, as two signed numbers; the upper half comes from remixed hashes."""
+    if not len(hashes):
+        return np.zeros(2, dtype=np.int64)
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    both = np.concatenate([hashes[:, None], (mixed ^ (mixed >> np.uint64(29)))[:, None]], axis=1)
+    ones = np.unpackbits(both.view(np.uint8).reshape(len(hashes), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+
+
+def near_fingerprint(text: str | None) -> tuple[int, int, int, int]:
+    """128 bits of the distinct words (of which keys are made), and 128 bits of the distinct five-word shingles."""
+    words = (text or "").encode("utf-8").lower().split()
+    digest = xxhash.xxh64_intdigest
+    shingles = {b" ".join(x) for x in zip(*(words[i:] for i in range(NEAR_SHINGLE)))} if len(words) >= NEAR_SHINGLE else {b" ".join(words)} if words else set()
+    parts = [_wide(np.array([digest(x, SEED) for x in found], dtype=np.uint64)) for found in (set(words), shingles)]
+    return tuple(int(x) for p in parts for x in p)
+
+
+def _near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of neighbouring segments in a ring: any index of one with the other's own, and the other way round."""
+    mask = np.uint64((1 << golay.WIDTH) - 1)
+    for b in batches:
+        nodes, w0, w1, a, z = (c.to_numpy() for c in b.columns)
+        low, high = w0.view(np.uint64), w1.view(np.uint64)
+        cut_ = [low & mask, low >> np.uint64(23) & mask, low >> np.uint64(41), high & mask, high >> np.uint64(23) & mask]
+        found = [tuple(x.astype(np.int64) for x in golay.indices(s.astype(np.int64))) for s in cut_]
+        for number in range(WORD_SEGMENTS):
+            (own_i, any_i), (own_j, any_j) = found[number], found[(number + 1) % WORD_SEGMENTS]
+            k = np.concatenate([np.where(any_i >= 0, any_i << 12 | own_j[:, None], -1), np.where(any_j >= 0, own_i[:, None] << 12 | any_j, -1)], axis=1)
+            k.sort(axis=1)
+            k[:, 1:][k[:, 1:] == k[:, :-1]] = -1
+            at, col = np.nonzero(k >= 0)
+            finer = found[(number + 2) % WORD_SEGMENTS][0][at]
+            yield pa.RecordBatch.from_arrays([pa.array(k[at, col] | number << 24), pa.array(finer), *(pa.array(c[at]) for c in (nodes, a, z))], names=["key", "finer", "node", "a", "z"])
+
+
+def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, version (a hash of the text) and near_group of every row of ``df``.
+
+    Rows are linked whose five-word shingles are alike to 0.8 or more.  A changed word
+    changes five shingles but one word, so keys come from a SimHash of the distinct
+    words, which near copies share almost wholly; what meets is verified by a 128-bit
+    SimHash of the distinct five-word shingles (``NEAR_BITS``).  A bucket of more than
+    ``HOT`` rows is cut finer by the next segment's own index.  Texts of the same words
+    in the same order are equal, and so are texts without a word.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([near_fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(found[:, i].copy()) for i in range(4))], names=["doc_id", "version", "w0", "w1", "a", "z"])
+
+    source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
+    marked = source.mapInArrow(run, f"doc_id {kind}, version bigint, w0 bigint, w1 bigint, a bigint, z bigint")
+    marked = cut(marked.withColumn("node", F.xxhash64("w0", "w1", "a", "z")))
+    nodes = cut(marked.select("node", "w0", "w1", "a", "z").distinct())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    keys = nodes.mapInArrow(_near_keys, "key bigint, finer bigint, node bigint, a bigint, z bigint")
+    hot = cut(keys.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    if hot.isEmpty():
+        keys = keys.withColumn("finer", F.lit(0).cast("long"))
+    else:
+        keys = keys.join(hot.withColumn("hot", F.lit(True)), "key", "left").select("key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).cast("long").alias("finer"), "node", "a", "z")
+    dealt = keys.select("key", "finer", "node", "a", "z").repartition(shuffle_parts(spark), "key", "finer").sortWithinPartitions("key", "finer", "node")
+    label = components(dealt.mapInArrow(_linker(NEAR_BITS), "u bigint, v bigint"))
+    return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))
+
+
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each near-copy group the row of ``df`` with the smallest id (null ids last, then the smallest hash of the text)."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    first = near_groups(df, text_col, id_col).groupBy("near_group").agg(F.min(rank).alias("first"))
+    keepers = first.select(F.col("first.doc_id").alias("__k_id"), F.col("first.version").alias("__k_version"))
+    rows = df.withColumns({"__id": F.col(f"`{id_col}`"), "__version": F.xxhash64(F.col(f"`{text_col}`"))})
+    kept = rows.join(keepers, F.col("__id").eqNullSafe(F.col("__k_id")) & (F.col("__version") == F.col("__k_version")), "left_semi")
+    return kept.dropDuplicates(["__id", "__version"]).select(*[F.col(f"`{c}`") for c in df.columns])
