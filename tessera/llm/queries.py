@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, secrets, simhash, warc
+from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, secrets, simhash, suffix, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False, with_text=False)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses if repeated strings of 100 bytes are removed."""
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What content-defined chunking removes from every document."""
     return cdc.dedup(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_cdc_dedup": op2_cdc_dedup,
     "op3_hnsw_neighbours": op3_hnsw_neighbours,
     "op5_simhash_golay": op5_simhash_golay,
