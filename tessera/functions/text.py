@@ -138,14 +138,13 @@ def experience_label(x: Column) -> Column:
 
 def experience_bucket(label: Column) -> Column:
     """early, one-plus, two-plus, three-plus, mid, senior or unknown, of an experience label."""
-    t = F.lower(F.trim(F.coalesce(label, F.lit(""))))
-    low = blank_to_null(F.regexp_extract(t, r"^(\d+)", 1)).cast("int")
-    high = F.coalesce(blank_to_null(F.regexp_extract(t, r"^\d+\s*[-–]\s*(\d+)", 1)).cast("int"), low)
-    plus = t.rlike(r"^\d+\s*\+")
-    return (
-        F.when(t.rlike("new grad|entry"), "early").when(low.isNull(), "unknown").when(plus & (low == 1), "one-plus").when(plus & (low == 2), "two-plus").when(plus & low.between(3, 4), "three-plus")
-        .when(plus & (low >= 5), "senior").when(high <= 2, "early").when(high <= 5, "mid").otherwise("senior")
-    )
+    t = F.lower(compact(label))
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
+    low = F.try_element_at(numbers, F.lit(1))
+    high = F.coalesce(F.try_element_at(numbers, F.lit(2)), low)
+    plus = F.when(low < 2, "one-plus").when(low == 2, "two-plus").when(low < 6, "three-plus").otherwise("senior")
+    span = F.when(high <= 2, "early").when(low <= 5, "mid").otherwise("senior")
+    return F.when(t.rlike("new grad"), "early").when(low.isNull(), "unknown").when(t.contains("+"), plus).otherwise(span)
 
 
 def metric_facts(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from tessera.plans import relational, text
+from tessera.plans import lifecycle, relational, text
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relational", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "lifecycle", "relational", "text"]
