@@ -18,7 +18,7 @@ however many documents there are; that bound makes broadcasting it safe.
 Defined results: a null text is the empty text; a document without any term of
 the lexicon gets the hash of all its distinct terms, which is like equal ones
 only; rows with a null id come last in the order of documents, rows with equal
-ids are ordered by text; a lone document is its own next one.
+ids are ordered by their packed text; a lone document is its own next one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,21 +138,31 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_chars bigint, fingerprint string")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the one shuffle that carries them."""
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode("utf-8")) for t in texts_of(b.column(1))], pa.binary())], names=["doc_id", "text"])
+
+
 def _with_next(df: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) dealt into ranges of ids, each in descending order, and ended by the row that follows it.
+    """Rows (doc_id, packed text) dealt into ranges of ids, each in descending order, and ended by the row that follows it.
 
     Only the ranges' limits and largest ids go through the driver: a few for each partition.
     """
     spark = df.sparkSession
     lowest = F.lit(-(2**63)).cast("long")
-    rows = df.select("doc_id", "text", F.coalesce("doc_id", lowest).alias("key"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)).alias("at"))
+    keyed = lambda d: d.withColumns({"key": F.coalesce("doc_id", lowest), "at": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))})
+    rows = keyed(df.select("doc_id"))
     parts = shuffle_parts(spark)
     marks = sorted(set(rows.select("at").approxQuantile("at", [i / (4 * parts) for i in range(1, 4 * parts)], 0.0005))) if parts else []
     splits = [-float("inf"), *[m for m in marks if m > -1e300], float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows)
-    largest = sorted((r.bucket, r.key) for r in dealt.select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("key")).collect())
+    bucketed = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
+    largest = sorted((r.bucket, r.key) for r in bucketed.transform(rows.select("key", "at")).select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("key")).collect())
+    kind = df.schema["doc_id"].dataType.simpleString()
+    dealt = bucketed.transform(keyed(df.select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, text binary")))
     if not largest:
-        return df.select("doc_id", "text", F.lit(0.0).alias("bucket"), F.lit(False).alias("tail"))
+        return dealt.select("doc_id", "text", "bucket", F.lit(False).alias("tail"))
     tails = [(key, largest[(i + 1) % len(largest)][0]) for i, (_, key) in enumerate(largest)]
     extra = spark.createDataFrame(tails, "key long, tail_of double")
     both = dealt.join(F.broadcast(extra), "key", "left").withColumn(
@@ -170,13 +181,14 @@ def compare_with_edit(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, held, done = shared.value, None, None
+        lex, held, done, z = shared.value, None, None, zstandard.ZstdDecompressor()
         for b in batches:
             schema = pa.schema([pa.field("doc_id", b.column(0).type), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64())])
             out: list[tuple] = []
-            for doc_id, text, bucket, tail in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for doc_id, packed, bucket, tail in zip(*(c.to_pylist() for c in b.columns)):
                 if tail and bucket == done:
                     continue
+                text = z.decompress(packed).decode("utf-8")
                 fp = fingerprint(text, lex)
                 if held is not None:
                     edited = edited_text(held[1], text)
