@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from tessera.plans import lifecycle, relational, scoring, text
+from tessera.plans import lifecycle, relational, scoring, streaming, text
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "lifecycle", "relational", "scoring", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "lifecycle", "relational", "scoring", "streaming", "text"]
