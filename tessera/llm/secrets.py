@@ -138,10 +138,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with all secrets in its texts replaced, and the texts' lengths brought up to date where they change."""
     rows, _ = scan(df, text_col=text_col)
-    clean = redacted(F.col(f"`{text_col}`"), F.col("spans"))
-    columns = {c: F.col(f"`{c}`") for c in df.columns} | {text_col: clean}
+    # the new text is a step of its own: its length is then taken from it and not worked out again
+    rows = rows.withColumn(text_col, redacted(F.col(f"`{text_col}`"), F.col("spans")))
+    columns = {c: F.col(f"`{c}`") for c in df.columns}
     if length_col in df.columns:
-        columns[length_col] = F.when(F.size("spans") > 0, F.length(clean).cast(df.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+        changed = F.length(F.col(f"`{text_col}`")).cast(df.schema[length_col].dataType)
+        columns[length_col] = F.when(F.size("spans") > 0, changed).otherwise(columns[length_col])
     return rows.select(*[c.alias(name) for name, c in columns.items()])
 
 

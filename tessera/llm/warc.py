@@ -48,7 +48,8 @@ HEADER_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|(?<![\s\S]))WARC/1\.")
+#: A record may start wherever this is found: damage needn't end with a line.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
 def digest(data: bytes) -> str:
@@ -141,12 +142,10 @@ class Archive:
     def find(self, start: int) -> int:
         """Where the next member or version line may start, from ``start`` on; the archive's end if nowhere."""
         while start < self.size:
-            begin = max(0, start - 1)  # one byte before, to see whether a line starts
-            data = self.at(begin, READ_BYTES + 16)
-            m = _START.search(data, start - begin)
+            m = _START.search(self.at(start, READ_BYTES + 16))
             if m and m.start() < READ_BYTES:
-                return begin + m.start()
-            start = begin + READ_BYTES
+                return start + m.start()
+            start += READ_BYTES
         return self.size
 
     def inflate(self, start: int) -> tuple[bytes, int]:
