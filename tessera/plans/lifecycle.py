@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import lifecycle as L
 from tessera.operators import relational as R
 from tessera.plans.registry import query
-from tessera.plans.relational import AS_OF, tab
+from tessera.plans.relational import as_of, tab
 
 
 @query(
@@ -46,7 +46,7 @@ def lifecycle_merge(spark, sf_dir):
     current = rows.where("old").select("source", "key", "hash", "text", F.lit("ok").alias("status"), seen.alias("first_seen"), seen.alias("last_seen"), F.when(F.col("key") % 4 == 0, F.lit("1997-06-01").cast("timestamp_ntz")).alias("expired_at"), F.lit(1).alias("seen_count"))
     snapshots = rows.where("NOT old").select("source", "key", "hash", "text", F.when(F.col("part"), "pending").otherwise("ok").alias("status"), (F.col("source") != "5-LOW").alias("complete"), F.lit(False).alias("unchanged"))
     fetched = L.usable(snapshots)
-    return L.merge(current, fetched, fetched, AS_OF).drop("text")
+    return L.merge(current, fetched, fetched, as_of()).drop("text")
 
 
 @query("q_incomplete_gate", "SELECT o_orderpriority AS source, count(*) AS rows, max(o_custkey) AS total, count(*) = max(o_custkey) AS complete FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1")
@@ -92,7 +92,7 @@ def due_claim(spark, sf_dir):
         F.col("s_suppkey").alias("source"), F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("tier"), F.when(F.col("s_suppkey") % 7 == 0, "dead").otherwise("live").alias("status"),
         at("s_acctbal - 5000").alias("next_poll_at"), at("(s_nationkey - 12) * 3600 - 604800").alias("last_seen"),
     )
-    return L.claim_due(boards, AS_OF, 30, F.lit(450000.0)).select("source", "tier", "lease_seconds")
+    return L.claim_due(boards, as_of(), 30, F.lit(450000.0)).select("source", "tier", "lease_seconds")
 
 
 @query("q_detail_cap", "SELECT l_suppkey, sum(CASE WHEN r <= 200 THEN 1 ELSE 0 END)::BIGINT AS detail, sum(CASE WHEN r > 200 THEN 1 ELSE 0 END)::BIGINT AS pending FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC) AS r FROM lineitem) GROUP BY 1")

@@ -9,8 +9,14 @@ from tessera.operators import aggregates as A
 from tessera.operators import relational as R
 from tessera.plans.registry import query
 
-AS_OF = F.lit("2001-08-01").cast("timestamp_ntz")
-EVENTS_AS_OF = F.lit("2024-01-31").cast("timestamp_ntz")
+def as_of():
+    """The clock of the order tables."""
+    return F.lit("2001-08-01").cast("timestamp_ntz")
+
+
+def events_as_of():
+    """The clock of the event table."""
+    return F.lit("2024-01-31").cast("timestamp_ntz")
 
 
 def tab(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -76,7 +82,7 @@ def top_n_per_group(spark, sf_dir):
 @query("q_fresh_queue", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT DISTINCT ON (o_custkey) * FROM orders WHERE o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 120 DAY ORDER BY o_custkey, o_orderdate DESC, o_orderkey) ORDER BY o_custkey LIMIT 50")
 def fresh_queue(spark, sf_dir):
     (orders,) = tab(spark, sf_dir, "orders")
-    recent = orders.where(F.col("o_orderdate") > AS_OF - F.expr("INTERVAL 120 DAY"))
+    recent = orders.where(F.col("o_orderdate") > as_of() - F.expr("INTERVAL 120 DAY"))
     return R.first_per_group(recent, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).orderBy("o_custkey").limit(50).select("o_custkey", "o_orderkey", "o_orderdate")
 
 
@@ -88,7 +94,7 @@ def retention_anti(spark, sf_dir):
     customer, orders = tab(spark, sf_dir, "customer", "orders")
     swept = orders.where("o_orderstatus = 'F'").limit(1).agg((F.count("*") > 0).alias("swept"))
     guarded = customer.select("c_custkey").crossJoin(F.broadcast(swept))
-    recent = orders.where(F.col("o_orderdate") > AS_OF - F.expr("INTERVAL 90 DAY"))
+    recent = orders.where(F.col("o_orderdate") > as_of() - F.expr("INTERVAL 90 DAY"))
     return R.retain(guarded, F.col("swept"), [(recent, "o_custkey"), (orders.where("o_totalprice > 400000"), "o_custkey")], "c_custkey").select("c_custkey")
 
 
@@ -162,8 +168,8 @@ def nearest_rank(spark, sf_dir):
 )
 def rolling_windows(spark, sf_dir):
     (events,) = tab(spark, sf_dir, "events")
-    since = lambda span: F.count_if(F.col("ts") > EVENTS_AS_OF - F.expr(f"INTERVAL {span}"))
-    return events.where(F.col("ts") <= EVENTS_AS_OF).groupBy("event_type").agg(since("1 HOUR").alias("last_hour"), since("24 HOUR").alias("last_day"), since("7 DAY").alias("last_week"))
+    since = lambda span: F.count_if(F.col("ts") > events_as_of() - F.expr(f"INTERVAL {span}"))
+    return events.where(F.col("ts") <= events_as_of()).groupBy("event_type").agg(since("1 HOUR").alias("last_hour"), since("24 HOUR").alias("last_day"), since("7 DAY").alias("last_week"))
 
 
 @query("q_ring_buffer", "SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS BIGINT) AS errors_50 FROM events")
@@ -202,7 +208,7 @@ def health_snapshot(spark, sf_dir):
 def span_sum(spark, sf_dir):
     (orders,) = tab(spark, sf_dir, "orders")
     spans = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderdate").alias("s"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("e"))
-    return spans.groupBy("o_custkey").agg(A.years_between(F.col("s"), F.col("e"), AS_OF).alias("years"))
+    return spans.groupBy("o_custkey").agg(A.years_between(F.col("s"), F.col("e"), as_of()).alias("years"))
 
 
 @query("q_set_hash", "SELECT l_orderkey, sha256(string_agg(x, chr(10) ORDER BY x)) AS set_hash FROM (SELECT l_orderkey, concat_ws('|', l_partkey, l_suppkey, l_linenumber, l_returnflag) AS x FROM lineitem) GROUP BY 1")

@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import evidence as E
 from tessera.operators import scoring as S
 from tessera.plans.registry import query
-from tessera.plans.relational import AS_OF, tab
+from tessera.plans.relational import as_of, tab
 
 # Titles, companies and places dealt to orders by key, so that every rule meets rows in bulk.
 TITLES = ["Software Engineer", "Senior Backend Engineer", "Sales Engineer", "New Grad Software Engineer", "Mechanical Engineer", "Data Scientist", "Staff Platform Engineer", "Software Engineer, Top Secret Clearance", "Lead Software Engineer - Entry Level", "Nurse", "SDE II", "Engineering Manager"]
@@ -43,12 +43,12 @@ _HIT = lambda x, p: f"coalesce(regexp_matches({x}, {_Q(p)}), false)"  # noqa: E7
     SELECT job_id, reason IS NULL AS eligible, reason AS skip_reason, CASE WHEN before IS NULL THEN 'swe_title' END AS matched_pattern, 3 AS filter_version FROM s""",
 )
 def title_filter(spark, sf_dir):
-    return S.filter_titles(_jobs(spark, sf_dir), "v3", AS_OF).select("job_id", "eligible", "skip_reason", "matched_pattern", "filter_version")
+    return S.filter_titles(_jobs(spark, sf_dir), "v3", as_of()).select("job_id", "eligible", "skip_reason", "matched_pattern", "filter_version")
 
 
 @query("q_filter_review", "SELECT title, count(*) AS n FROM (SELECT " + _ARR(TITLES) + f"[o_orderkey % {len(TITLES)} + 1] AS title FROM orders WHERE o_orderkey % 97 <> 0) WHERE regexp_matches(title, {_Q(S.P.ROLE_HEAD)}) OR regexp_matches(title, {_Q(S.P.WRONG_DISCIPLINE)}) GROUP BY 1")
 def filter_review(spark, sf_dir):
-    found = S.filter_titles(_jobs(spark, sf_dir), "v1", AS_OF)
+    found = S.filter_titles(_jobs(spark, sf_dir), "v1", as_of())
     return found.where(F.col("skip_reason").isin("role_head", "wrong_discipline")).groupBy("title").agg(F.count("*").alias("n"))
 
 
@@ -91,7 +91,7 @@ _NOW = "TIMESTAMP '2001-08-01'"
 def action_score(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
     args = [F.col(c) for c in ("company", "title", "location")]
-    return jobs.select("job_id", S.action_score(*args, F.col("date_posted"), F.col("first_seen"), AS_OF)[0].alias("score"), S.outreach_score(*args)[0].alias("outreach"))
+    return jobs.select("job_id", S.action_score(*args, F.col("date_posted"), F.col("first_seen"), as_of())[0].alias("score"), S.outreach_score(*args)[0].alias("outreach"))
 
 
 @query(
@@ -118,7 +118,7 @@ def feed(spark, sf_dir):
     """The published feed: window, gates, dedupe, tier, order, limit, as one plan."""
     from tessera.operators.relational import first_per_group
 
-    jobs = _jobs(spark, sf_dir).where(F.col("date_posted") > AS_OF - F.expr("INTERVAL 200 DAY"))
+    jobs = _jobs(spark, sf_dir).where(F.col("date_posted") > as_of() - F.expr("INTERVAL 200 DAY"))
     gated = jobs.where(~S.outside_us(F.col("location"), F.lit(None).cast("string")) & S.eligible_title(F.col("title"), F.lit(None).cast("string")))
     first = first_per_group(gated, ["company", "title", "location"], [F.desc("date_posted"), F.asc("job_id")])
     return first.withColumn("tier", S.company_tier(F.col("company"))).orderBy("tier", F.desc("date_posted"), "job_id").limit(40).select("job_id", "company", "title", "tier")
