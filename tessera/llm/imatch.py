@@ -156,7 +156,7 @@ def _with_next(df: DataFrame) -> DataFrame:
     rows = keyed(df.select("doc_id"))
     parts = shuffle_parts(spark)
     marks = sorted(set(rows.select("at").approxQuantile("at", [i / (4 * parts) for i in range(1, 4 * parts)], 0.0005))) if parts else []
-    splits = [-float("inf"), *[m for m in marks if m > -1e300], float("inf")]
+    splits = [-float("inf"), *([m for m in marks if m > -1e300] or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
     largest = sorted((r.bucket, r.key) for r in bucketed.transform(rows.select("key", "at")).select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("key")).collect())
     kind = df.schema["doc_id"].dataType.simpleString()
