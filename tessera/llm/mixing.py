@@ -33,7 +33,7 @@ BLOCK_ROWS = 32
 #: Target weights are proportional to a source's rows raised to this power, if none are given.
 TEMPERATURE = 0.7
 #: Rows of a bucket in which rows are numbered, on average.
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 500
 #: A schedule of at most so many blocks is sent to all tasks; a longer one is joined.
 BROADCAST_BLOCKS = 65_536
 
