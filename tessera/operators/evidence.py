@@ -157,8 +157,18 @@ def decide(postings: DataFrame, c: Candidate) -> DataFrame:
     )
 
 
-def ranked(decisions: DataFrame) -> DataFrame:
-    """Decisions best first, with their rank."""
+def _best_first() -> list[Column]:
     order = F.array_position(F.array(*map(F.lit, ACTION_ORDER)), F.col("action"))
-    keys = [order.desc(), F.desc("family_score"), F.asc("seniority_penalty"), F.desc("matched_weight"), F.asc("missing_weight"), F.size("unresolved").asc(), F.asc("job_id")]
-    return decisions.orderBy(*keys)
+    return [order.desc(), F.desc("family_score"), F.asc("seniority_penalty"), F.desc("matched_weight"), F.asc("missing_weight"), F.size("unresolved").asc(), F.asc("job_id")]
+
+
+def ranked(decisions: DataFrame) -> DataFrame:
+    """Decisions best first."""
+    return decisions.orderBy(*_best_first())
+
+
+def with_rank(decisions: DataFrame, n: int = 1000) -> DataFrame:
+    """The best ``n`` decisions with their rank (R57); only the top of the order meets in one task."""
+    from pyspark.sql import Window
+
+    return decisions.orderBy(*_best_first()).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*_best_first())))

@@ -189,3 +189,71 @@ POSTINGS = [
 def evidence_decision(spark, sf_dir):
     postings = spark.createDataFrame(POSTINGS, f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}")
     return E.decide(postings, CANDIDATE).select("job_id", "action", "matched_weight")
+
+
+@query(
+    "q_action_queue",
+    f"""WITH {_JOBS}, q AS (SELECT DISTINCT ON (company, title) * FROM j WHERE title IS NOT NULL AND date_posted > {_NOW} - INTERVAL 400 DAY ORDER BY company, title, date_posted DESC, job_id)
+    SELECT * FROM (SELECT job_id, company, title, CAST(CASE WHEN {_HIT("company", S.P.QUEUE_OUTREACH_COMPANY)} THEN 35 ELSE 0 END + CASE WHEN {_HIT("title", S.P.QUEUE_EARLY)} OR {_HIT("title", S.P.QUEUE_JUNIOR_LEVEL)} THEN 25 ELSE 0 END + CASE WHEN {_HIT("title", S.P.QUEUE_SENIOR)} THEN 0 ELSE 10 END
+      + CASE WHEN {_HIT("company", S.P.QUEUE_DEFENSE_COMPANY)} OR {_HIT("concat_ws(' ', company, title, location)", S.P.QUEUE_DEFENSE)} THEN -100 ELSE 0 END AS INTEGER) AS outreach FROM q) WHERE outreach > 0""",
+)
+def action_queue(spark, sf_dir):
+    """The outreach queue: the freshest item of each group, scored, those above zero."""
+    from tessera.operators.relational import first_per_group
+
+    jobs = _jobs(spark, sf_dir).where(F.col("title").isNotNull() & (F.col("date_posted") > as_of() - F.expr("INTERVAL 400 DAY")))
+    items = first_per_group(jobs, ["company", "title"], [F.desc("date_posted"), F.asc("job_id")])
+    scored = items.withColumn("outreach", S.outreach_score(*[F.col(c) for c in ("company", "title", "location")])[0])
+    return scored.where("outreach > 0").select("job_id", "company", "title", "outreach")
+
+
+@query(
+    "q_extraction_worklist",
+    "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, quality AS v FROM labels) r ON r.doc_id = d.doc_id WHERE length(d.text) > 400 AND (r.v IS NULL OR r.v < 1) ORDER BY length(d.text) DESC, d.doc_id LIMIT 200",
+)
+def extraction_worklist(spark, sf_dir):
+    """Long enough texts whose extraction is missing or of an older version."""
+    from tessera.operators.relational import missing_or_stale
+
+    documents, labels = tab(spark, sf_dir, "documents", "labels")
+    done = labels.select("doc_id", "quality").withColumn("wanted_version", F.lit(1))
+    long = documents.where(F.length("text") > 400).select("doc_id", F.length("text").alias("n"))
+    return missing_or_stale(long, done, "doc_id", F.col("quality")).orderBy(F.desc("n"), "doc_id").limit(200).select("doc_id")
+
+
+@query("q_packet_candidates", "SELECT * FROM (VALUES ('stretch', 'STRETCH', CAST(1 AS INTEGER))) v(job_id, action, rank)")
+def packet_candidates(spark, sf_dir):
+    """Decisions worth a packet, best first, without those that have one."""
+    postings = spark.createDataFrame(POSTINGS, f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}")
+    built = spark.createDataFrame([("apply",)], "job_id string")
+    best = E.decide(postings, CANDIDATE).where(F.col("action").isin("APPLY", "STRETCH")).join(built, "job_id", "left_anti")
+    return E.with_rank(best).select("job_id", "action", "rank")
+
+
+@query(
+    "q_board_worklist",
+    "SELECT s_suppkey FROM supplier WHERE (s_acctbal < 0 OR s_acctbal BETWEEN 4000 AND 4200) AND s_nationkey < 15 ORDER BY CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, s_acctbal, s_suppkey LIMIT 40",
+)
+def board_worklist(spark, sf_dir):
+    """Sources never polled, or polled before the cutoff, those first that never were."""
+    from tessera.operators.relational import older_than
+
+    (supplier,) = tab(spark, sf_dir, "supplier")
+    last = F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))
+    boards = supplier.where("s_nationkey < 15 AND (s_acctbal < 0 OR s_acctbal >= 4000)").withColumn("last", last)
+    return boards.where(older_than(F.col("last"), F.lit(4200.000001))).orderBy(F.asc_nulls_first("last"), "s_acctbal", "s_suppkey").limit(40).select("s_suppkey")
+
+
+_RISKY = r"\b(\d+(?:\.\d+)?%|\d+x|led|first|only)\b"
+
+
+@query(
+    "q_claim_sweep",
+    f"SELECT doc_id, len(c) AS claims FROM (SELECT doc_id, list_filter(list_distinct(list_transform(regexp_extract_all(left(text, 2000), '(?i){_RISKY}', 1), lambda x: lower(x))), lambda x: NOT contains('led 5x 10%', x)) AS c FROM documents) WHERE len(c) > 0",
+)
+def claim_sweep(spark, sf_dir):
+    """Risky phrases that no allowed fact supports."""
+    (documents,) = tab(spark, sf_dir, "documents")
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.left("text", F.lit(2000)), F.lit(f"(?i){_RISKY}"), F.lit(1)), lambda x: F.lower(x)))
+    unsupported = F.filter(found, lambda x: ~F.contains(F.lit("led 5x 10%"), x))
+    return documents.select("doc_id", F.size(unsupported).cast("long").alias("claims")).where("claims > 0")
