@@ -92,3 +92,24 @@ def test_table_maintenance(spark):
     assert R.older_than(F.lit(None), F.current_timestamp()) is not None and R.sampled(current, "k", 1, 3).count() == 1
     found = current.where(R.any_contains(["k"], ["A", "c++"]))
     assert [r.k for r in found.collect()] == ["a"]
+
+
+def test_evidence_decisions_by_table(spark):
+    from tessera.operators import evidence as E
+    from tessera.plans.scoring import POSTINGS, _REQ
+
+    schema = f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}"
+    req = lambda kind, value, state="VERIFIED": (kind, value, None, None, value, state)
+    rows = [
+        ("person", "Backend Engineer", "acme", None, [req("citizenship", "must be a US person"), req("skill", "Python")], []), ("degree", "Backend Engineer", "acme", None, [req("education", "Bachelor degree"), req("skill", "Python")], []),
+        ("place", "Backend Engineer", "acme", None, [req("location", "onsite in London")], []), ("remote", "Backend Engineer", "acme", None, [req("location", "remote")], [req(None, "Python")]), ("wish", "QA Engineer", "acme", None, [], [req(None, "Rust"), req(None, "python")]),
+    ]
+    postings = spark.createDataFrame(POSTINGS + rows, schema)
+    c = E.Candidate(skills={"Python": 9}, text="Python, B.S.", years=1.66, attested={"citizenship": "India", "us_person": False, "security_clearance": "none", "current_location": "Seattle", "avoid_domains": "gambling"})
+    got = {r.job_id: r for r in E.decide(postings, c).collect()}
+    assert got["person"].action == "SKIP_HARD" and got["person"].blocked_by == ["must be a US person"]
+    assert got["degree"].action == "REVIEW" and got["degree"].unresolved == [] and got["degree"].matched == ["Python"]
+    assert got["place"].action == "REVIEW" and got["place"].unresolved == ["onsite in London"] and got["remote"].unresolved == []
+    assert (got["wish"].matched, got["wish"].missing, got["wish"].role_family, got["wish"].family_score) == (["python"], ["Rust"], "qa", -3)
+    assert got["hard"].action == "SKIP_HARD" and got["none"].reasons == ["no_positive_match_signal"] and got["policy"].reasons == ["company_defense_or_export_control_risk"]
+    assert [r.job_id for r in E.ranked(E.decide(postings, c)).limit(1).collect()] != ["hard"]
