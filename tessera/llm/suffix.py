@@ -48,7 +48,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, shuffle_parts, small_batches
 
 LENGTH = 100
-KMER = 24
+#: Long enough that few of these occur twice by chance; windows are told apart by the least of their 53.
+KMER = 48
 #: Windows in one string at most.
 STRETCH = 64
 SHARD_BYTES = 3 << 20
@@ -141,16 +142,17 @@ _ODD = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 13) | 1) for i in range(8)]
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``KMER`` = 16 + 8 bytes from each place on, by doubling."""
+    """A hash of the ``KMER`` = 32 + 16 bytes from each place on, by doubling."""
     h = _RANDOM[data]
-    eight = None
-    for i, step in enumerate((1, 2, 4, 8)):
-        if step == 8:
-            eight = h
+    sixteen = None
+    for i, step in enumerate((1, 2, 4, 8, 16)):
+        if step == 16:
+            sixteen = h
         h = h[:-step] * _ODD[i] + h[step:]
-    h = h[: len(data) - KMER + 1] * _ODD[4] + eight[16 : 16 + len(data) - KMER + 1]
+    n = len(data) - KMER + 1
+    h = h[:n] * _ODD[5] + sixteen[32 : 32 + n]
     h ^= h >> np.uint64(32)
-    h *= _ODD[5]
+    h *= _ODD[6]
     return h ^ h >> np.uint64(29)
 
 
