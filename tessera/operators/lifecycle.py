@@ -36,7 +36,7 @@ def merge(current: DataFrame, fetched: DataFrame, sources: DataFrame, as_of: Col
     others stay as they are, so an incomplete fetch never expires anything (I03).  A pending text never replaces an ok one.
     """
     polled = sources.select("source").distinct().withColumn("polled", F.lit(True))
-    both = current.alias("c").join(fetched.join(polled, "source", "left_semi").alias("f"), ["source", "key"], "full").join(F.broadcast(polled), "source", "left")
+    both = current.alias("c").join(fetched.join(polled, "source", "left_semi").alias("f"), ["source", "key"], "full").join(polled, "source", "left")
     new, missing, back = F.col("c.hash").isNull(), F.col("f.hash").isNull(), F.col("c.expired_at").isNotNull()
     changed = ~F.col("f.hash").eqNullSafe(F.col("c.hash")) | back
     replace = new | (~missing & changed & ~((F.col("f.status") == "pending") & (F.col("c.status") == "ok")))
