@@ -17,7 +17,7 @@ bytes, and equal windows meet in the shard of their minimizer.  The steps:
 2. Of the others, the stretches' hashes (not their bytes) are dealt into shards; those
    whose minimizer occurs at one place in the corpus can't repeat and go no further.
 3. The bytes of the others are dealt into the same shards.  Equal strings are one; the
-   transforms of batches of at most ``BATCH`` strings give the classes of equal
+   transforms of batches of about ``BATCH`` strings give the classes of equal
    windows, in which all but the first window are repeats.
 4. Repeats come back to their documents as ranges of bytes.
 
@@ -25,7 +25,7 @@ A shard holds the hashes of about ``SHARD_BYTES`` of text, so more text means mo
 shards.  The arrays that a classic external construction streams through files are
 bounded by the batch here and stay in the task's memory; what is larger than memory,
 the strings of all shards, goes through Spark's sorted shuffle files.  A minimizer
-with more than ``BATCH`` different strings is cut up into single windows, dealt into
+with more than ``LARGEST`` different strings is cut up into single windows, dealt into
 batches by their hash.
 
 Defined results: a null text is the empty text; texts shorter than ``LENGTH`` lose
@@ -37,6 +37,7 @@ repeated rows give one row each; no rows give no rows.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,14 @@ KMER = 48
 #: Windows in one string at most.
 STRETCH = 64
 SHARD_BYTES = 3 << 20
-#: Strings in one transform.
-BATCH = 12_000
+#: Strings in one transform, where minimizers can be dealt out so, and for one minimizer at most.
+BATCH = 800
+LARGEST = 12_000
 #: Stands for the end of a string in the transform; no UTF-8 text holds it.
 END = 0xFF
 NO_ID = 2**63 - 1
+#: Marks the key of a string that holds its minimizer at two places.
+TWICE = 1 << 32
 #: Bytes of text that a task hashes at once.
 SCAN_BYTES = 1 << 21
 
@@ -76,6 +80,7 @@ def collection_bwt(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarra
     for i, s in enumerate(strings):
         columns[: len(s), i] = np.frombuffer(s, np.uint8)[::-1]
     bwt, lcp = columns[0].copy(), np.zeros(m, dtype=np.uint8)
+    counts = np.bincount(bwt, minlength=256)
     owner, start = np.full(m, -1, dtype=np.int32), np.full(m, -1, dtype=np.int16)
     active, rows = np.arange(m), np.arange(m)  # strings not used up, and the rows of their last suffixes
     for done in range(1, longest + 1):
@@ -83,7 +88,6 @@ def collection_bwt(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarra
         active, rows = active[going], rows[going]
         # suffixes of `done` symbols begin with the transform's symbols in the rows of those of done - 1
         order = np.argsort(bwt, kind="stable")
-        counts = np.bincount(bwt, minlength=256)
         first = np.concatenate([[0], np.cumsum(counts)])
         symbol = bwt[rows].astype(np.int64)
         by_place = np.lexsort((rows, symbol))
@@ -113,7 +117,8 @@ def collection_bwt(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarra
         new_lcp[place] = own
         new_bwt = np.empty(size, dtype=np.uint8)
         new_bwt[old] = bwt
-        new_bwt[place] = columns[done][active]
+        new_bwt[place] = fresh = columns[done][active]
+        counts += np.bincount(fresh, minlength=256)
         bwt, lcp = new_bwt, new_lcp
         if done < least:
             owner, start = None, None
@@ -264,13 +269,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rid, start, n = (np.concatenate(c) for c in zip(*map(_unpacked, recs)))
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        more, n = n >= 128, n & 127
+        twice, n = n >= 128, n & 127
+        more = twice.copy()
         more[order[1:][same]] = more[order[:-1][same]] = True
         # a stretch cut into pieces repeats its minimizer too: harmless
         rows = np.flatnonzero(more)
         for at in range(0, len(rows), 50_000):
             r = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard)), pa.array(key[r].astype(np.int64)), pa.array(rid[r]), pa.array(start[r].astype(np.int32)), pa.array(n[r].astype(np.int32))], names=["shard", "key", "rid", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard)), pa.array(key[r].astype(np.int64) | np.where(twice[r], TWICE, 0)), pa.array(rid[r]), pa.array(start[r].astype(np.int32)), pa.array(n[r].astype(np.int32))], names=["shard", "key", "rid", "start", "n"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +313,8 @@ def repeated_windows(strings: list[bytes], places: list[tuple[int, int]]) -> lis
 
 def _batches_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of sorted keys that end where a key ends and hold at most ``BATCH`` rows, or one key."""
+    if not len(keys):
+        return
     ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
     begin = at = 0
     for end in ends.tolist():
@@ -323,15 +331,18 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("rid", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
     for _, (keys, rids, versions, starts, data) in _by_shard(batches):
         first: dict[bytes, tuple[int, int]] = {}
-        key_of = dict(zip(data, keys))
+        key_of = {s: k & (TWICE - 1) for s, k in zip(data, keys)}
+        folded = {s for s, k in zip(data, keys) if k & TWICE}
         for s, place in zip(data, zip(rids, starts)):
             if s not in first or place < first[s]:
                 first[s] = place
-        strings = sorted(first, key=key_of.get)
-        marks: dict[bytes, np.ndarray] = {}
+        # the one string of a minimizer that it holds at one place has no two equal windows
+        shared = Counter(key_of.values())
+        marks = {s: np.zeros(len(s) - LENGTH + 1, dtype=bool) for s in first if shared[key_of[s]] == 1 and s not in folded}
+        strings = sorted((s for s in first if s not in marks), key=key_of.get)
         for a, z in _batches_of(np.array([key_of[s] for s in strings])):
             part = strings[a:z]
-            if len(part) <= BATCH:
+            if len(part) <= LARGEST:
                 marks.update(zip(part, repeated_windows(part, [first[s] for s in part])))
             else:
                 marks.update(_window_by_window(part, first))
@@ -350,7 +361,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_by_window(strings: list[bytes], first: dict[bytes, tuple[int, int]]) -> dict[bytes, np.ndarray]:
     """``repeated_windows`` of many strings of one minimizer: their windows are the strings of batches dealt by hash."""
     out = {s: np.zeros(len(s) - LENGTH + 1, dtype=bool) for s in strings}
-    parts = -(-sum(map(len, out.values())) // BATCH) * 2
+    parts = -(-sum(map(len, out.values())) // LARGEST) * 2
     for part in range(parts):
         some = [(s, i) for s in strings for i in range(len(out[s])) if xxhash.xxh64_intdigest(s[i : i + LENGTH], 5) % parts == part]
         if some:

@@ -89,6 +89,7 @@ def test_transform_and_prefixes_are_those_of_sorted_suffixes():
 @pytest.mark.parametrize("most", [suffix.BATCH, 3])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix, "BATCH", most)
+    monkeypatch.setattr(suffix, "LARGEST", most)
     passage, r = words(40, 9), random.Random(4)
     rows = [(i, words(r.randint(0, 60), 100 + i) + (passage if i % 3 == 0 else "") + words(r.randint(0, 30), 200 + i)) for i in range(14)] + [(20, "ab" * 300), (21, None), (22, "ab" * 90 + "c")]
     got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
