@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,8 @@ def _scan(shards: int):
             start, n = start[order].astype(np.uint32), (n + 128 * twice)[order].astype(np.uint8)
             cuts = np.flatnonzero(np.diff(shard)) + 1
             ends = [*cuts.tolist(), len(shard)]
-            recs = [key[a:z].tobytes() + np.ediff1d(rid[a:z], to_begin=rid[a : a + 1]).tobytes() + start[a:z].tobytes() + n[a:z].tobytes() for a, z in zip([0, *cuts.tolist()], ends)]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            recs = [pack(key[a:z].tobytes() + np.ediff1d(rid[a:z], to_begin=rid[a : a + 1]).tobytes() + start[a:z].tobytes() + n[a:z].tobytes()) for a, z in zip([0, *cuts.tolist()], ends)]
             return batch(schema, [shard[np.array([0, *cuts.tolist()])], recs])
 
         for b in batches:
@@ -239,7 +241,8 @@ def _scan(shards: int):
     return run
 
 
-def _unpacked(recs: bytes) -> tuple[np.ndarray, ...]:
+def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
+    recs = zstandard.ZstdDecompressor().decompress(packed)
     n = len(recs) // 17
     return np.frombuffer(recs, "<u4", n), np.cumsum(np.frombuffer(recs, "<i8", n, 4 * n)), np.frombuffer(recs, "<u4", n, 12 * n), np.frombuffer(recs, "u1", n, 16 * n)
 
@@ -393,7 +396,7 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_sp
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
-    marks = docs.where(F.octet_length("text") >= LENGTH).select("rid", "version", F.sha2("text", 256).alias("digest"))
+    marks = docs.where(F.octet_length("text") >= LENGTH).select("rid", "version", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = marks.groupBy("digest").agg(F.min("rid").alias("first"))
     copies = marks.join(firsts, "digest").where("rid > first").groupBy("rid").agg(F.collect_set("version").alias("copies"))
     dealt = docs.repartition(parts, "rid")
