@@ -239,8 +239,7 @@ def _near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k.sort(axis=1)
             k[:, 1:][k[:, 1:] == k[:, :-1]] = -1
             at, col = np.nonzero(k >= 0)
-            finer = found[(number + 2) % WORD_SEGMENTS][0][at]
-            yield pa.RecordBatch.from_arrays([pa.array(k[at, col] | number << 24), pa.array(finer), *(pa.array(c[at]) for c in (nodes, a, z))], names=["key", "finer", "node", "a", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[at, col] | number << 24), *(pa.array(c[at]) for c in (nodes, a, z))], names=["key", "node", "a", "z"])
 
 
 def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -250,8 +249,9 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     changes five shingles but one word, so keys come from a SimHash of the distinct
     words, which near copies share almost wholly; what meets is verified by a 128-bit
     SimHash of the distinct five-word shingles (``NEAR_BITS``).  A bucket of more than
-    ``HOT`` rows is cut finer by the next segment's own index.  Texts of the same words
-    in the same order are equal, and so are texts without a word.
+    ``HOT`` rows is dealt over salted parts, and each two parts are compared, so every
+    pair of the bucket still meets.  Texts of the same words in the same order are
+    equal, and so are texts without a word.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -267,12 +267,15 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     marked = cut(marked.withColumn("node", F.xxhash64("w0", "w1", "a", "z")))
     nodes = cut(marked.select("node", "w0", "w1", "a", "z").distinct())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    keys = nodes.mapInArrow(_near_keys, "key bigint, finer bigint, node bigint, a bigint, z bigint")
-    hot = cut(keys.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    keys = nodes.mapInArrow(_near_keys, "key bigint, node bigint, a bigint, z bigint")
+    hot = cut(keys.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
     if hot.isEmpty():
         keys = keys.withColumn("finer", F.lit(0).cast("long"))
     else:
-        keys = keys.join(hot.withColumn("hot", F.lit(True)), "key", "left").select("key", F.when(F.col("hot"), F.col("finer")).otherwise(F.lit(0)).cast("long").alias("finer"), "node", "a", "z")
+        own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts")
+        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own)
+        cells = F.transform(others, lambda x: F.least(x, own).cast("long") * parts + F.greatest(x, own))
+        keys = keys.join(hot, "key", "left").withColumn("finer", F.explode(F.when(parts.isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)))
     dealt = keys.select("key", "finer", "node", "a", "z").repartition(shuffle_parts(spark), "key", "finer").sortWithinPartitions("key", "finer", "node")
     label = components(dealt.mapInArrow(_linker(NEAR_BITS), "u bigint, v bigint"))
     return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))

@@ -260,6 +260,34 @@ def test_one_of_each_near_copy_group_stays(spark, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def near_corpus(seed=5, n=40):
+    """Texts, each with a version that has words put in the place of others and one with a passage appended."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        base = words(120, 1000 + i).split()
+        changed = list(base)
+        for at in r.sample(range(len(base)), 2):
+            changed[at] = f"new{r.random()}"
+        out += [base, changed, base + words(20, 3000 + i).split()]
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+def near_sets(spark, rows):
+    found = {}
+    for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.near_group, set()).add(r.doc_id)
+    return sorted(map(sorted, found.values()))
+
+
+def test_near_groups_do_not_change_with_the_size_of_buckets(spark, monkeypatch):
+    rows = near_corpus()
+    whole = near_sets(spark, rows)
+    assert len(whole) < len(rows)
+    monkeypatch.setattr(simhash, "HOT", 2)
+    assert near_sets(spark, rows) == whole
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 0)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
