@@ -199,11 +199,18 @@ def groups(df: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str
     return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: bits of the fingerprint of words (five Golay segments) that gives keys, and words in a verified shingle.
-WORD_SEGMENTS = 5
+#: Near copies: words in a shingle, and the least Jaccard similarity of the shingles of a link, in fifths.
 NEAR_SHINGLE = 5
-#: Bits of 128 that differ at most in a link; a Jaccard similarity of 0.8 makes 19 differ on average, 0.7 makes 25.
-NEAR_BITS = 24
+NEAR_FIFTHS = 4
+#: Keys of a text and least hashes in each: at 0.8 a pair shares none in 5 of 100,000 cases.
+BANDS, BAND_ROWS = 25, 5
+#: Bits of 128 that the SimHashes of a candidate differ in at most; 0.8 makes 19 differ on average, with a deviation of 4.
+SKETCH_BITS = 48
+#: While buckets hold more pairs a node than this, their rows are linked with one row first, so many rounds at most.
+CROWDED, STAR_ROUNDS = 64, 12
+_r = np.random.default_rng(SEED)
+_ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
 
 
 def _wide(hashes: np.ndarray) -> np.ndarray:
@@ -216,68 +223,120 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
-def near_fingerprint(text: str | None) -> tuple[int, int, int, int]:
-    """128 bits of the distinct words (of which keys are made), and 128 bits of the distinct five-word shingles."""
+def shingles_of(text: str | None) -> set[bytes]:
+    """The distinct five-word shingles; of a shorter text all its words as one, without a word none."""
     words = (text or "").encode("utf-8").lower().split()
-    digest = xxhash.xxh64_intdigest
-    shingles = {b" ".join(x) for x in zip(*(words[i:] for i in range(NEAR_SHINGLE)))} if len(words) >= NEAR_SHINGLE else {b" ".join(words)} if words else set()
-    parts = [_wide(np.array([digest(x, SEED) for x in found], dtype=np.uint64)) for found in (set(words), shingles)]
-    return tuple(int(x) for p in parts for x in p)
+    if len(words) < NEAR_SHINGLE:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(x) for x in zip(*(words[i:] for i in range(NEAR_SHINGLE)))}
+
 
+def alike(x: set[bytes], y: set[bytes]) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
+    both = len(x & y)
+    return 5 * both >= NEAR_FIFTHS * (len(x) + len(y) - both)
 
-def _near_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of neighbouring segments in a ring: any index of one with the other's own, and the other way round."""
-    mask = np.uint64((1 << golay.WIDTH) - 1)
+
+def near_signature(text: str | None) -> tuple[int, int, int, int, list[int]]:
+    """Of the distinct shingles: a hash of all, their number, their 128-bit SimHash, and the keys of their least hashes."""
+    digest = xxhash.xxh64_intdigest
+    h = np.sort(np.array([digest(x, SEED) for x in shingles_of(text)], dtype=np.uint64))
+    if not len(h):
+        return 0, 0, 0, 0, []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, ((h[at : at + 1024, None] ^ _FLIP) * _ODD).min(axis=0), out=least)
+    signed = np.array([digest(h.tobytes(), SEED), *(digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS)))], dtype=np.uint64).view(np.int64).tolist()
+    return signed[0], len(h), *_wide(h).tolist(), signed[1:]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (u, v) with their texts those that are alike."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     for b in batches:
-        nodes, w0, w1, a, z = (c.to_numpy() for c in b.columns)
-        low, high = w0.view(np.uint64), w1.view(np.uint64)
-        cut_ = [low & mask, low >> np.uint64(23) & mask, low >> np.uint64(41), high & mask, high >> np.uint64(23) & mask]
-        found = [tuple(x.astype(np.int64) for x in golay.indices(s.astype(np.int64))) for s in cut_]
-        for number in range(WORD_SEGMENTS):
-            (own_i, any_i), (own_j, any_j) = found[number], found[(number + 1) % WORD_SEGMENTS]
-            k = np.concatenate([np.where(any_i >= 0, any_i << 12 | own_j[:, None], -1), np.where(any_j >= 0, own_i[:, None] << 12 | any_j, -1)], axis=1)
-            k.sort(axis=1)
-            k[:, 1:][k[:, 1:] == k[:, :-1]] = -1
-            at, col = np.nonzero(k >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(k[at, col] | number << 24), *(pa.array(c[at]) for c in (nodes, a, z))], names=["key", "node", "a", "z"])
+        u, v, texts_u, texts_v = (c.to_pylist() for c in b.columns)
+        sets = {n: shingles_of(t) for n, t in {**dict(zip(u, texts_u)), **dict(zip(v, texts_v))}.items()}
+        yield batch(schema, list(zip(*((x, y) for x, y in zip(u, v) if alike(sets[x], sets[y])))) or [[], []])
+
+
+def _candidate(x: str, y: str):
+    """Whether two rows of a bucket may be alike, by the sizes of their sets (exact) and their SimHashes."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    bits = F.bit_count(c(x, "a").bitwiseXOR(c(y, "a"))) + F.bit_count(c(x, "z").bitwiseXOR(c(y, "z")))
+    return (5 * F.least(c(x, "n"), c(y, "n")) >= NEAR_FIFTHS * F.greatest(c(x, "n"), c(y, "n"))) & (bits <= SKETCH_BITS)
+
+
+_PAIR = ("least(x.node, y.node) AS u", "greatest(x.node, y.node) AS v")
+
+
+def _star(met: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's leader, another one each turn, with the bucket's rows that aren't connected with it."""
+    leader = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n", "a", "z")).alias("x")).select("key", "x.*")
+    return met.alias("y").join(leader.alias("x"), "key").where((F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
+
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """Every pair of each bucket that isn't connected; of buckets of more than ``HOT`` rows part by part."""
+    some = met.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
+    rows = met.join(some, "key")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    return x.join(y, ["key", "part"]).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
+
+
+def _crowded(met: DataFrame) -> bool:
+    """Whether the buckets hold so many pairs that aren't connected that stars should connect most first."""
+    sizes = met.groupBy("key", "label").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"))
+    pairs, nodes = sizes.agg(F.sum("pairs")).first()[0] or 0, met.select("node").distinct().count()
+    return pairs / 2 > CROWDED * nodes
 
 
 def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, version (a hash of the text) and near_group of every row of ``df``.
 
-    Rows are linked whose five-word shingles are alike to 0.8 or more.  A changed word
-    changes five shingles but one word, so keys come from a SimHash of the distinct
-    words, which near copies share almost wholly; what meets is verified by a 128-bit
-    SimHash of the distinct five-word shingles (``NEAR_BITS``).  A bucket of more than
-    ``HOT`` rows is dealt over salted parts, and each two parts are compared, so every
-    pair of the bucket still meets.  Texts of the same words in the same order are
-    equal, and so are texts without a word.
+    Rows are linked whose distinct five-word shingles have a Jaccard similarity of 0.8
+    or more, and groups are the connected components of links.  Rows meet by keys of
+    the least hashes of their shingles (``BANDS``); those that meet and whose set sizes
+    and SimHashes allow it are verified by the shingles of their texts.  Every such pair
+    of a bucket is verified, whatever the bucket's size, unless links connect it already.
+    Texts with the same shingles are equal, and so are texts without a word.
     """
     spark = df.sparkSession
     small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "version", "node", "n", "a", "z", "keys"]
         for b in batches:
-            found = np.array([near_fingerprint(t) for t in b.column(2).to_pylist()], dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(found[:, i].copy()) for i in range(4))], names=["doc_id", "version", "w0", "w1", "a", "z"])
+            found = [near_signature(t) for t in b.column(2).to_pylist()]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns, pa.array([f[4] for f in found], pa.list_(pa.int64()))], names=names)
 
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
-    marked = source.mapInArrow(run, f"doc_id {kind}, version bigint, w0 bigint, w1 bigint, a bigint, z bigint")
-    marked = cut(marked.withColumn("node", F.xxhash64("w0", "w1", "a", "z")))
-    nodes = cut(marked.select("node", "w0", "w1", "a", "z").distinct())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    keys = nodes.mapInArrow(_near_keys, "key bigint, node bigint, a bigint, z bigint")
-    hot = cut(keys.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
-    if hot.isEmpty():
-        keys = keys.withColumn("finer", F.lit(0).cast("long"))
-    else:
-        own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts")
-        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own)
-        cells = F.transform(others, lambda x: F.least(x, own).cast("long") * parts + F.greatest(x, own))
-        keys = keys.join(hot, "key", "left").withColumn("finer", F.explode(F.when(parts.isNull(), F.array(F.lit(0).cast("long"))).otherwise(cells)))
-    dealt = keys.select("key", "finer", "node", "a", "z").repartition(shuffle_parts(spark), "key", "finer").sortWithinPartitions("key", "finer", "node")
-    label = components(dealt.mapInArrow(_linker(NEAR_BITS), "u bigint, v bigint"))
+    marked = cut(source.mapInArrow(run, f"doc_id {kind}, version bigint, node bigint, n bigint, a bigint, z bigint, keys array<bigint>"))
+    keys = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n", "a", "z")
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    met = cut(keys.join(shared, "key"))
+    versions = marked.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("version").alias("version"))
+    texts = cut(source.groupBy("version").agg(F.first("text").alias("text")).join(versions, "version").select("node", "text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        small_batches(spark, 128)
+        held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+        return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint"))
+
+    links, label, open_ = None, None, met.withColumn("label", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        if not _crowded(open_):
+            break
+        more = verified(_star(open_, turn))
+        if more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        label = cut(components(links))
+        open_ = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = verified(_all_pairs(open_))
+    label = components(more if links is None else links.unionByName(more))
     return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))
 
 

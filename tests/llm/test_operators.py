@@ -288,6 +288,30 @@ def test_near_groups_do_not_change_with_the_size_of_buckets(spark, monkeypatch):
     assert near_sets(spark, rows) == whole
 
 
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 0])
+def test_near_groups_are_those_of_the_exact_similarity(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    r, rows = random.Random(9), near_corpus(6, 40)
+    template = words(100, 77).split()
+    for i in range(40):  # many versions of one text, of which only some are alike
+        x = list(template)
+        for at in r.sample(range(100), 1 + i % 5):
+            x[at] = f"own{r.random()}"
+        rows.append((1000 + i, " ".join(x)))
+    for i in range(60):  # passages appended that leave 0.83 to 0.62
+        base = words(104, 5000 + i)
+        rows += [(2000 + i, base), (3000 + i, base + " " + words((20, 30, 45, 60)[i % 4], 9000 + i))]
+    sets = [simhash.shingles_of(t) for _, t in rows]
+    group = {i: {i} for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / len(sets[i] | sets[j]) >= 0.8:
+                joined = group[rows[i][0]] | group[rows[j][0]]
+                group.update(dict.fromkeys(joined, joined))
+    assert near_sets(spark, rows) == sorted(map(list, {tuple(sorted(g)) for g in group.values()}))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 0)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
