@@ -43,7 +43,7 @@ from tessera.llm.common import batch, cut, ensure_checkpoint_dir, small_batches,
 #: A new archive is begun after so many bytes.
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 18
-#: A record whose header is longer is taken for damaged.
+#: So much of a record is read first; a longer header is read on to its end.
 HEADER_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -162,17 +162,24 @@ class Archive:
             at += len(data)
         return b"".join(out), at - len(z.unused_data)
 
+    def header(self, start: int, head: bytes) -> bytes:
+        """The piece ``head`` at ``start``, read on until the blank line that ends a header."""
+        out = bytearray(head)
+        while out.startswith(VERSION) and out.find(b"\r\n\r\n", max(0, len(out) - READ_BYTES - 3)) < 0 and (more := self.at(start + len(out), READ_BYTES)):
+            out += more
+        return bytes(out)
+
     def record(self, start: int) -> Found:
         """The record at ``start``, checked."""
         head = self.at(start, HEADER_BYTES)
         if head.startswith(GZIP_MAGIC):
             data, end = self.inflate(start)
-            headers, at, n = parse_header(data[:HEADER_BYTES])
+            headers, at, n = parse_header(data)
             if len(data) != at + n + 4:
                 raise Damaged("length differs from the member's")
             block, tail = data[at : at + n], data[at + n :]
         else:
-            headers, at, n = parse_header(head)
+            headers, at, n = parse_header(self.header(start, head))
             block, tail, end = self.at(start + at, n), self.at(start + at + n, 4), start + at + n + 4
         if len(block) != n or tail != b"\r\n\r\n":
             raise Damaged("record doesn't end where its length says")

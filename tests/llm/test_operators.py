@@ -319,6 +319,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("pack", [warc.member, bytes])
+@pytest.mark.parametrize("length", [100_000, 3 * warc.READ_BYTES])
+def test_a_record_with_a_very_long_url_is_read(pack, length):
+    urls = ["http://a/", "http://b/" + "x" * length, "http://c/"]
+    data = b"".join(pack(warc.record(i, u, b"<p>page</p>" * (i + 1))) for i, u in enumerate(urls))
+    found = list(warc.Archive(pa.BufferReader(data)).salvage())
+    assert [x.headers and x.headers["warc-target-uri"] for x in found] == urls
+
+
 # mixing
 
 
