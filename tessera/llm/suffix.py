@@ -11,34 +11,38 @@ The rounds are as many as the longest string has symbols, so texts are not put i
 whole.  Each window of ``LENGTH`` bytes belongs to its minimizer, the least hash of
 the ``KMER``-byte strings in it, which depends on the window's content alone; a
 stretch of windows with one minimizer is a string of at most ``LENGTH + STRETCH - 1``
-bytes, and equal windows meet in the shard of their minimizer.  The steps:
-
-1. Equal texts are found by digest; all but the first are repeats as a whole.
-2. Of the others, the stretches' hashes (not their bytes) are dealt into shards; those
-   whose minimizer occurs at one place in the corpus can't repeat and go no further.
-3. The bytes of the others are dealt into the same shards.  Equal strings are one; the
-   transforms of batches of about ``BATCH`` strings give the classes of equal
-   windows, in which all but the first window are repeats.
-4. Repeats come back to their documents as ranges of bytes.
-
-A shard holds the hashes of about ``SHARD_BYTES`` of text, so more text means more
-shards.  The arrays that a classic external construction streams through files are
-bounded by the batch here and stay in the task's memory; what is larger than memory,
-the strings of all shards, goes through Spark's sorted shuffle files.  A minimizer
-with more than ``LARGEST`` different strings is cut up into single windows, dealt into
-batches by their hash.
+bytes, and equal windows meet with their minimizer.  The steps:
+
+1. Of equal texts (by digest) the first is kept; the others are repeats as a whole.
+2. Of the kept ones, the stretches' hashes (not their bytes) are dealt into shards;
+   those whose minimizer occurs at one place in the corpus can't repeat and go no
+   further.  A minimizer that a group of texts holds more than once is known to
+   repeat, so the group sends one of its places there.
+3. The strings of the others are dealt by minimizer, each of them once for a task
+   that holds it.  The transforms of batches of about ``BATCH`` strings give the
+   classes of equal windows, in which all but the first window are repeats.
+4. What was found of a string is joined with the places where it stands, and comes
+   back to their documents as ranges of bytes.
+
+So a passage that a third of all documents share is one string for each task on its
+way to the transform, and its places meet what was found in a join that Spark can
+split.  The arrays that a classic external construction streams through files are
+bounded by the batch here and stay in the task's memory; what is larger than memory
+goes through Spark's sorted shuffle files.  A minimizer with more than ``LARGEST``
+different strings is cut up into single windows, dealt into batches by their hash.
 
 Defined results: a null text is the empty text; texts shorter than ``LENGTH`` lose
-nothing; a null id comes after all others; rows that share an id count as parts of
-one document, each with its own text (for equal starts neither removes the other);
-repeated rows give one row each; no rows give no rows.
+nothing; rows with a null id come after all others (ids are below 2**62), in the
+order of a hash of their texts; rows that share an id count as parts of one
+document, each with its own text (for equal starts neither removes the other);
+repeated rows give one row each; other columns play no part; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +64,12 @@ BATCH = 800
 LARGEST = 12_000
 #: Stands for the end of a string in the transform; no UTF-8 text holds it.
 END = 0xFF
-NO_ID = 2**63 - 1
-#: Marks the key of a string that holds its minimizer at two places.
-TWICE = 1 << 32
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
+#: Added to a stretch's number of windows if it holds its minimizer at two places.
+TWICE = 128
+#: Strings that a task remembers having handed on.
+REMEMBERED = 200_000
 #: Bytes of text that a task hashes at once.
 SCAN_BYTES = 1 << 21
 
@@ -204,100 +211,158 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _scan(shards: int):
-    """(shard, recs): packed columns of the stretches of a shard that one group of texts has."""
-    schema = pa.schema([("shard", pa.int64()), ("recs", pa.binary())])
+    """(shard, sure, recs): packed columns of the stretches of a shard that one group of texts has.
+
+    Stretches whose minimizer the group has more than once are sure to be of use and are spread over the
+    shards; one of each such minimizer is also sent where the others of it are sought, with no windows.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("sure", pa.bool_()), ("recs", pa.binary())])
+
+    def packed(rids: list[int], texts: list[bytes]) -> pa.RecordBatch | None:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        text, start, n, low, twice = stretches(texts)
+        if not len(text):
+            return None
+        rid = np.array(rids, dtype=np.int64)[text]
+        order = np.argsort(low, kind="stable")
+        low, rid, start, n, twice = low[order], rid[order], start[order], n[order], twice[order]
+        same = low[1:] == low[:-1]
+        sure = np.append(same, False) | np.append(False, same)
+        n = np.where(twice, n + TWICE, n)
+        first = sure & ~np.append(False, same)
+        parts = [(False, ~sure, n), (False, first, np.zeros_like(n)), (True, sure, n)]
+        shard_of = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        out: list[tuple[int, bool, bytes]] = []
+        for own, pick, windows in parts:
+            shard, key, r, s, w = shard_of[pick], low[pick].astype(np.uint32), rid[pick], start[pick].astype(np.uint32), windows[pick].astype(np.uint8)
+            if not len(shard):
+                continue
+            by = np.lexsort((r, shard))
+            shard, key, r, s, w = shard[by], key[by], r[by], s[by], w[by]
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if not own else [0, len(shard)]
+            for a, z in zip(cuts, cuts[1:]):
+                cells = np.ediff1d(r[a:z], to_begin=r[a : a + 1]).tobytes()
+                columns = (shard[a:z].astype("<i4").tobytes() if own else b"") + key[a:z].tobytes() + cells + s[a:z].tobytes() + w[a:z].tobytes()
+                out.append((int(shard[a]) if not own else int(r[0]) * 0x9E3779B97F4A7C15 % shards, own, pack(columns)))
+        return batch(schema, list(zip(*out)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, texts, held = [], [], 0
-
-        def packed() -> pa.RecordBatch | None:
-            text, start, n, low, twice = stretches(texts)
-            if not len(text):
-                return None
-            shard = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shard, key, rid = shard[order], low[order].astype(np.uint32), np.array(rids, dtype=np.int64)[text[order]]
-            start, n = start[order].astype(np.uint32), (n + 128 * twice)[order].astype(np.uint8)
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            ends = [*cuts.tolist(), len(shard)]
-            pack = zstandard.ZstdCompressor(level=1).compress
-            recs = [pack(key[a:z].tobytes() + np.ediff1d(rid[a:z], to_begin=rid[a : a + 1]).tobytes() + start[a:z].tobytes() + n[a:z].tobytes()) for a, z in zip([0, *cuts.tolist()], ends)]
-            return batch(schema, [shard[np.array([0, *cuts.tolist()])], recs])
-
         for b in batches:
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (text or "").encode("utf-8")
+            for rid, text in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+                data = text.encode("utf-8")
                 if len(data) >= LENGTH:
                     rids.append(rid)
                     texts.append(data)
                     held += len(data)
                 if held >= SCAN_BYTES:
-                    if (out := packed()) is not None:
+                    if (out := packed(rids, texts)) is not None:
                         yield out
                     rids, texts, held = [], [], 0
-        if texts and (out := packed()) is not None:
+        if texts and (out := packed(rids, texts)) is not None:
             yield out
 
     return run
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, ...]:
-    recs = zstandard.ZstdDecompressor().decompress(packed)
-    n = len(recs) // 17
-    return np.frombuffer(recs, "<u4", n), np.cumsum(np.frombuffer(recs, "<i8", n, 4 * n)), np.frombuffer(recs, "<u4", n, 12 * n), np.frombuffer(recs, "u1", n, 16 * n)
-
-
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
-    """(shard, its rows as columns) of rows sorted by their first column."""
-    current, held = None, None
-    for b in batches:
-        shards = b.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(shards)) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
-            if a == z:
-                continue
-            if shards[a] != current:
-                if held:
-                    yield current, held
-                current, held = shards[a], [[] for _ in b.columns[1:]]
-            for h, c in zip(held, b.columns[1:]):
-                h.extend(c.slice(a, z - a).to_pylist())
-    if held:
-        yield current, held
+def _unpacked(recs: bytes, shard: int, sure: bool) -> tuple[np.ndarray, ...]:
+    """(minimizer's 32 bits below its shard, rid, start, windows) of a pack."""
+    recs = zstandard.ZstdDecompressor().decompress(recs)
+    n = len(recs) // (21 if sure else 17)
+    at = 4 * n if sure else 0
+    low = (np.frombuffer(recs, "<i4", n).astype(np.int64) if sure else np.int64(shard)) << np.int64(32) | np.frombuffer(recs, "<u4", n, at).astype(np.int64)
+    return low, np.cumsum(np.frombuffer(recs, "<i8", n, at + 4 * n)), np.frombuffer(recs, "<u4", n, at + 12 * n), np.frombuffer(recs, "u1", n, at + 16 * n)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, key, rid, start, n): the stretches whose minimizer is there twice, in themselves or in the shard."""
-    for shard, (recs,) in _by_shard(batches):
-        key, rid, start, n = (np.concatenate(c) for c in zip(*map(_unpacked, recs)))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice, n = n >= 128, n & 127
-        more = twice.copy()
+    """(low, rid, start, n): the stretches whose minimizer is there twice, in themselves, their group or their shard."""
+
+    def rows(low: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(low), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in (low, rid, start.astype(np.int32), n.astype(np.int32))], names=["low", "rid", "start", "n"])
+
+    def shard_rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        low, rid, start, n = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(low, kind="stable")
+        same = low[order][1:] == low[order][:-1]
+        more = n >= TWICE
         more[order[1:][same]] = more[order[:-1][same]] = True
-        # a stretch cut into pieces repeats its minimizer too: harmless
-        rows = np.flatnonzero(more)
-        for at in range(0, len(rows), 50_000):
-            r = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard)), pa.array(key[r].astype(np.int64) | np.where(twice[r], TWICE, 0)), pa.array(rid[r]), pa.array(start[r].astype(np.int32)), pa.array(n[r].astype(np.int32))], names=["shard", "key", "rid", "start", "n"])
+        more &= n > 0
+        yield from rows(low[more], rid[more], start[more], n[more])
 
+    current, held = None, []
+    for b in batches:
+        for shard, sure, recs in zip(*(c.to_pylist() for c in b.columns)):
+            if shard != current:
+                yield from shard_rows(held)
+                current, held = shard, []
+            if sure:
+                yield from rows(*_unpacked(recs, shard, True))
+            else:
+                held.append(_unpacked(recs, shard, False))
+    yield from shard_rows(held)
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, key, rid, version, start, bytes) of each stretch in the lists of the documents."""
-    schema = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("rid", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, int, int, int, bytes]]:
+    """(low, twice, rid, version, start, bytes) of each stretch in the lists of the documents."""
     for b in batches:
-        out = []
-        for rid, version, text, found in zip(*(c.to_pylist() for c in b.columns)):
-            data = (text or "").encode("utf-8")
-            for x in found:
-                end = x["start"] + x["n"] + LENGTH - 1
-                if end <= len(data):
-                    out.append((x["shard"], x["key"], rid, version, x["start"], data[x["start"] : end]))
-            if len(out) > 20_000:
-                yield batch(schema, list(zip(*out)))
-                out = []
-        if out:
+        rids, versions, texts, sizes = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(5).value_lengths().to_pylist()
+        lows, starts, windows = (b.column(i).flatten().to_pylist() for i in (5, 6, 7))
+        at = 0
+        for rid, version, text, size in zip(rids, versions, texts, sizes):
+            data = text.encode("utf-8")
+            for i in range(at, at + size):
+                n, start = windows[i], starts[i]
+                end = start + (n & TWICE - 1) + LENGTH - 1
+                if end <= len(data):  # else it is of another text with this id
+                    yield lows[i], n >= TWICE, rid, version, start, data[start:end]
+            at += size
+
+
+def _digest(s: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def _in_batches(schema: pa.Schema, rows: Iterator[tuple], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == most:
             yield batch(schema, list(zip(*out)))
+            out = []
+    if out:
+        yield batch(schema, list(zip(*out)))
+
+
+STRINGS = pa.schema([("low", pa.int64()), ("dig", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("twice", pa.bool_()), ("bytes", pa.binary())])
+PLACES = pa.schema([("low", pa.int64()), ("dig", pa.int64()), ("rid", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+REPEATS = pa.schema([("low", pa.int64()), ("dig", pa.int64()), ("first_rid", pa.int64()), ("first_start", pa.int32()), ("runs", pa.list_(pa.int32()))])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string that a task holds, where it first has it; one row more, without its bytes, if it has it again."""
+
+    def rows() -> Iterator[tuple]:
+        seen: dict[bytes, list] = {}
+        for low, twice, rid, _, start, s in _found(batches):
+            held = seen.get(s)
+            if held is None or (rid, start) < (held[0], held[1]):
+                if len(seen) >= REMEMBERED:
+                    seen.clear()  # what is forgotten is handed on once more
+                seen[s] = [rid, start, held is not None]
+                yield low, _digest(s), rid, start, twice, s
+            elif not held[2] and (rid, start) != (held[0], held[1]):
+                held[2] = True
+                yield low, _digest(s), rid, start, False, None
+
+    return _in_batches(STRINGS, rows())
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each string stands."""
+    return _in_batches(PLACES, ((low, _digest(s), rid, version, start, len(s)) for low, _, rid, version, start, s in _found(batches)))
 
 
 def repeated_windows(strings: list[bytes], places: list[tuple[int, int]]) -> list[np.ndarray]:
@@ -314,51 +379,77 @@ def repeated_windows(strings: list[bytes], places: list[tuple[int, int]]) -> lis
     return [marks[flat[i] : flat[i + 1]] for i in range(len(out))]
 
 
-def _batches_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of sorted keys that end where a key ends and hold at most ``BATCH`` rows, or one key."""
-    if not len(keys):
-        return
-    ends = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
-    begin = at = 0
-    for end in ends.tolist():
-        if end - begin > BATCH and at > begin:
-            yield begin, at
-            begin = at
-        at = end
-    if at > begin:
-        yield begin, at
+@dataclass
+class Group:
+    """The different strings of one minimizer: where each first stands, and whether it stands anywhere else."""
+
+    low: int
+    digs: list[int] = field(default_factory=list)
+    places: list[tuple[int, int]] = field(default_factory=list)
+    strings: list[bytes] = field(default_factory=list)
+    again: list[bool] = field(default_factory=list)
+    twice: bool = False
+
+    def rows(self, marks: list[np.ndarray | None]) -> Iterator[tuple]:
+        """Rows of ``REPEATS``, of the strings that stand somewhere else or have marked windows."""
+        for dig, place, again, mark in zip(self.digs, self.places, self.again, marks):
+            runs: list[int] = []
+            if mark is not None and mark.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
+                edge[1::2] += LENGTH - 1
+                runs = edge.tolist()
+            if again or runs:
+                yield self.low, dig, *place, runs
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
+    """The groups of rows of ``STRINGS`` sorted by low, dig, rid and start."""
+    group = None
+    for b in batches:
+        for low, dig, rid, start, twice, data in zip(*(c.to_pylist() for c in b.columns)):
+            if group is None or low != group.low:
+                if group is not None:
+                    yield group
+                group = Group(low)
+            group.twice |= twice
+            if not group.digs or group.digs[-1] != dig:
+                group.digs.append(dig)
+                group.places.append((rid, start))
+                group.strings.append(data)
+                group.again.append(False)
+            elif (rid, start) != group.places[-1]:
+                group.again[-1] = True
+    if group is not None:
+        yield group
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, version, start, end): ranges of bytes that are repeats, of rows of ``_strings`` sorted by shard."""
-    schema = pa.schema([("rid", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-    for _, (keys, rids, versions, starts, data) in _by_shard(batches):
-        first: dict[bytes, tuple[int, int]] = {}
-        key_of = {s: k & (TWICE - 1) for s, k in zip(data, keys)}
-        folded = {s for s, k in zip(data, keys) if k & TWICE}
-        for s, place in zip(data, zip(rids, starts)):
-            if s not in first or place < first[s]:
-                first[s] = place
-        # the one string of a minimizer that it holds at one place has no two equal windows
-        shared = Counter(key_of.values())
-        marks = {s: np.zeros(len(s) - LENGTH + 1, dtype=bool) for s in first if shared[key_of[s]] == 1 and s not in folded}
-        strings = sorted((s for s in first if s not in marks), key=key_of.get)
-        for a, z in _batches_of(np.array([key_of[s] for s in strings])):
-            part = strings[a:z]
-            if len(part) <= LARGEST:
-                marks.update(zip(part, repeated_windows(part, [first[s] for s in part])))
+    """What the transforms find of the strings, whole groups by batches of about ``BATCH``."""
+
+    def transformed(groups: list[Group]) -> Iterator[tuple]:
+        marks = iter(repeated_windows([s for g in groups for s in g.strings], [p for g in groups for p in g.places]))
+        for g in groups:
+            yield from g.rows([next(marks) for _ in g.strings])
+
+    def rows() -> Iterator[tuple]:
+        held, size = [], 0
+        for g in _groups(batches):
+            if len(g.strings) == 1 and not g.twice:
+                yield from g.rows([None])  # one string that has its minimizer at one place has no two equal windows
+            elif len(g.strings) > LARGEST:
+                first = dict(zip(g.strings, g.places))
+                marks = _window_by_window(g.strings, first)
+                yield from g.rows([marks[s] for s in g.strings])
             else:
-                marks.update(_window_by_window(part, first))
-        out = []
-        for rid, version, start, s in zip(rids, versions, starts, data):
-            n = len(s) - LENGTH + 1
-            if (rid, start) != first[s]:
-                out.append((rid, version, start, start + len(s)))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], marks[s].view(np.int8), [0]])))
-            out += [(rid, version, start + int(a), start + int(z) - 1 + LENGTH) for a, z in zip(edge[::2], edge[1::2]) if n]
-        if out:
-            yield batch(schema, list(zip(*out)))
+                if size and size + len(g.strings) > BATCH:
+                    yield from transformed(held)
+                    held, size = [], 0
+                held.append(g)
+                size += len(g.strings)
+        if held:
+            yield from transformed(held)
+
+    return _in_batches(REPEATS, rows())
 
 
 def _window_by_window(strings: list[bytes], first: dict[bytes, tuple[int, int]]) -> dict[bytes, np.ndarray]:
@@ -390,32 +481,41 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_sp
     spark = df.sparkSession
     small_batches(spark)
     text, given = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    docs = df.select(given.alias("doc_id"), F.coalesce(given.cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text).alias("version"), F.coalesce(text, F.lit("")).alias("text"))
+    last = F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID))
+    docs = df.select(given.alias("doc_id"), F.coalesce(given.try_cast("long"), last).alias("rid"), F.xxhash64(text).alias("version"), F.coalesce(text, F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = shuffle_parts(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
+    # the kept text of each digest is found by an aggregation and joined by id: no join on a digest that many share
     marks = docs.where(F.octet_length("text") >= LENGTH).select("rid", "version", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = marks.groupBy("digest").agg(F.min("rid").alias("first"))
-    copies = marks.join(firsts, "digest").where("rid > first").groupBy("rid").agg(F.collect_set("version").alias("copies"))
-    dealt = docs.repartition(parts, "rid")
-    known = dealt.join(copies, "rid", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("version")), F.lit(False)))
-
-    recs = known.where("not copy").select("rid", "text").mapInArrow(_scan(shards), "shard bigint, recs binary")
-    found = recs.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_candidates, "shard bigint, key bigint, rid bigint, start int, n int")
-    lists = found.groupBy("rid").agg(F.collect_list(F.struct("shard", "key", "start", "n")).alias("found"))
-    strings = known.where("not copy").join(lists, "rid").select("rid", "version", "text", "found").mapInArrow(_strings, "shard bigint, key bigint, rid bigint, version bigint, start bigint, bytes binary")
-    repeats = strings.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_repeats, "rid bigint, version bigint, start bigint, end bigint")
-    ranges = repeats.groupBy("rid").agg(F.collect_list(F.struct("version", "start", "end")).alias("ranges"))
-    both = known.join(ranges, "rid", "left").select("doc_id", "version", "text", "copy", "ranges")
+    firsts = marks.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("version").alias("version"))
+    keepers = firsts.groupBy("rid").agg(F.collect_set("version").alias("kept"))
+    copy = (F.octet_length("text") >= LENGTH) & ~F.coalesce(F.array_contains("kept", F.col("version")), F.lit(False))
+    # every use takes all columns, so that the texts are dealt by id once
+    columns = ["doc_id", "rid", "version", "text", "copy"]
+    known = docs.repartition(parts, "rid").join(keepers, "rid", "left").withColumn("copy", copy).select(*columns)
+
+    recs = known.where("not copy").mapInArrow(_scan(shards), "shard bigint, sure boolean, recs binary")
+    found = recs.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_candidates, "low bigint, rid bigint, start int, n int")
+    lists = found.groupBy("rid").agg(F.collect_set(F.struct("low", "start", "n")).alias("found"))
+    listed = known.where("not copy").join(lists, "rid").select(*columns, "found.low", "found.start", "found.n")
+    strings = listed.mapInArrow(_strings, "low bigint, dig bigint, rid bigint, start int, twice boolean, bytes binary")
+    repeats = strings.repartition(parts, "low").sortWithinPartitions("low", "dig", "rid", "start").mapInArrow(_repeats, "low bigint, dig bigint, first_rid bigint, first_start int, runs array<int>")
+    places = listed.mapInArrow(_places, "low bigint, dig bigint, rid bigint, version bigint, start int, size int")
+    first = (F.col("rid") == F.col("first_rid")) & (F.col("start") == F.col("first_start"))
+    runs = F.when(first, F.col("runs")).otherwise(F.array(F.lit(0), F.col("size")))
+    ranges = places.join(repeats, ["low", "dig"]).select("rid", F.struct("version", "start", runs.alias("runs")).alias("r")).where("size(r.runs) > 0").groupBy("rid").agg(F.collect_list("r").alias("ranges"))
+    both = known.join(ranges, "rid", "left").select(*columns, "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, version, text, copy, ranges in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, _, version, text, copy, ranges in zip(*(c.to_pylist() for c in b.columns)):
                 data = text.encode("utf-8")
-                spans = [(0, len(data))] if copy else spans_union([(r["start"], r["end"]) for r in ranges or () if r["version"] == version])
+                own = [(r["start"] + a, r["start"] + z) for r in ranges or () if r["version"] == version for a, z in zip(r["runs"][::2], r["runs"][1::2])]
+                spans = [(0, len(data))] if copy else spans_union(own)
                 left, at = [], 0
                 for a, z in spans:
                     left.append(data[at:a])
