@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import batch, cut, shuffle_parts, small_batches
+from tessera.llm.common import batch, cut, packed, shuffle_parts, small_batches
 from tessera.llm.components import components
 
 SEED = 42
@@ -188,9 +188,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def groups(df: DataFrame, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    spark = df.sparkSession
     docs = cut(fingerprints(df, shingle, text_col, id_col))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     label = components(links(fps)).withColumnRenamed("node", "fp")
     named = fps.join(label, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
@@ -206,8 +204,9 @@ NEAR_FIFTHS = 4
 BANDS, BAND_ROWS = 25, 5
 #: Bits of 128 that the SimHashes of a candidate differ in at most; 0.8 makes 19 differ on average, with a deviation of 4.
 SKETCH_BITS = 48
-#: While buckets hold more pairs a node than this, their rows are linked with one row first, so many rounds at most.
-CROWDED, STAR_ROUNDS = 64, 12
+#: Rows of a bucket that are all compared at once; the rows of larger ones are compared with leaders first, so many each round, and
+#: in another round while the buckets still hold more pairs than this for each row that are not connected, so many rounds at most.
+SMALL, LEADERS, CROWDED, STAR_ROUNDS = 32, 3, 64, 12
 _r = np.random.default_rng(SEED)
 _ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
@@ -259,7 +258,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, list(zip(*((x, y) for x, y in zip(u, v) if alike(sets[x], sets[y])))) or [[], []])
 
 
-def _candidate(x: str, y: str):
+def _candidate(x: str, y: str) -> Column:
     """Whether two rows of a bucket may be alike, by the sizes of their sets (exact) and their SimHashes."""
     c = lambda side, name: F.col(f"{side}.{name}")
     bits = F.bit_count(c(x, "a").bitwiseXOR(c(y, "a"))) + F.bit_count(c(x, "z").bitwiseXOR(c(y, "z")))
@@ -269,26 +268,34 @@ def _candidate(x: str, y: str):
 _PAIR = ("least(x.node, y.node) AS u", "greatest(x.node, y.node) AS v")
 
 
-def _star(met: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's leader, another one each turn, with the bucket's rows that aren't connected with it."""
-    leader = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n", "a", "z")).alias("x")).select("key", "x.*")
-    return met.alias("y").join(leader.alias("x"), "key").where((F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
+def _small_pairs(met: DataFrame) -> DataFrame:
+    """All candidate pairs of the small buckets."""
+    small = met.where(F.col("size") <= SMALL)
+    return small.alias("x").join(small.alias("y"), "key").where((F.col("x.node") < F.col("y.node")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
+
+
+def _star(large: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each large bucket's leaders, others each turn, with the bucket's rows that aren't connected with them."""
+    order = lambda i: F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)).alias("h"), "node", "label", "n", "a", "z")
+    least = large.groupBy("key").agg(*[F.min(order(i)).alias(f"x{i}") for i in range(LEADERS)])
+    leader = cut(least.select("key", F.explode(F.array(*[f"x{i}" for i in range(LEADERS)])).alias("x")).select("key", "x.*").distinct())
+    return large.alias("y").join(leader.alias("x"), "key").where((F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
 
 
-def _all_pairs(met: DataFrame) -> DataFrame:
-    """Every pair of each bucket that isn't connected; of buckets of more than ``HOT`` rows part by part."""
-    some = met.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("open")).where("open").drop("open")
-    rows = met.join(some, "key")
+def _all_pairs(large: DataFrame) -> DataFrame:
+    """Every pair of each large bucket that isn't connected; of buckets of more than ``HOT`` rows part by part."""
+    some = cut(large.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("open")).where("open").drop("open"))
+    rows = large.join(some, "key")
     x = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
     y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     return x.join(y, ["key", "part"]).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
 
 
-def _crowded(met: DataFrame) -> bool:
-    """Whether the buckets hold so many pairs that aren't connected that stars should connect most first."""
-    sizes = met.groupBy("key", "label").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"))
-    pairs, nodes = sizes.agg(F.sum("pairs")).first()[0] or 0, met.select("node").distinct().count()
-    return pairs / 2 > CROWDED * nodes
+def _open_pairs(large: DataFrame) -> tuple[float, float]:
+    """(pairs of the buckets that aren't connected, rows of the buckets)."""
+    sizes = large.groupBy("key", "label").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"), F.sum("count").alias("rows"))
+    pairs, rows = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
+    return (pairs or 0) / 2, rows or 0
 
 
 def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -315,36 +322,52 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
     marked = cut(source.mapInArrow(run, f"doc_id {kind}, version bigint, node bigint, n bigint, a bigint, z bigint, keys array<bigint>"))
     keys = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n", "a", "z")
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    met = cut(keys.join(shared, "key"))
-    versions = marked.join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("version").alias("version"))
-    texts = cut(source.groupBy("version").agg(F.first("text").alias("text")).join(versions, "version").select("node", "text"))
+    # the sizes are written first: a join with them is then one that Spark can split
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    met = cut(keys.join(sizes, "key"))
+    large = met.where(F.col("size") > SMALL).withColumn("label", F.col("node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        small_batches(spark, 128)
+        pairs = cut(pairs)
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        one = marked.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("row")).select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
+        texts = cut(source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"]))
         held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint"))
 
-    links, label, open_ = None, None, met.withColumn("label", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        if not _crowded(open_):
+    def labelled(label: DataFrame) -> DataFrame:
+        return cut(large.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+    crowd, _ = _open_pairs(large)
+    links = verified(_small_pairs(met).unionByName(_star(large, 0)).distinct() if crowd else _small_pairs(met))
+    label = cut(components(links))
+    for turn in range(1, STAR_ROUNDS + 1):
+        open_ = labelled(label) if crowd else None
+        crowd, rows = _open_pairs(open_) if crowd else (0, 0)
+        if not crowd:
             break
-        more = verified(_star(open_, turn))
-        if more.isEmpty():
+        last = crowd <= CROWDED * rows or turn == STAR_ROUNDS
+        more = verified(_all_pairs(open_) if last else _star(open_, turn))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = cut(components(links))
+        elif not last:
+            last, more = True, verified(_all_pairs(open_))
+            if not more.isEmpty():
+                label = cut(components(links.unionByName(more)))
+        if last:
             break
-        links = more if links is None else links.unionByName(more)
-        label = cut(components(links))
-        open_ = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = verified(_all_pairs(open_))
-    label = components(more if links is None else links.unionByName(more))
     return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of each near-copy group the row of ``df`` with the smallest id (null ids last, then the smallest hash of the text)."""
+    """Of each near-copy group the row of ``df`` with the smallest id (null ids last, then the smallest hash of the text).
+
+    Repeated rows are a group too, so one of them stays.  All columns stay what they are, whatever their names.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
     first = near_groups(df, text_col, id_col).groupBy("near_group").agg(F.min(rank).alias("first"))
-    keepers = first.select(F.col("first.doc_id").alias("__k_id"), F.col("first.version").alias("__k_version"))
-    rows = df.withColumns({"__id": F.col(f"`{id_col}`"), "__version": F.xxhash64(F.col(f"`{text_col}`"))})
-    kept = rows.join(keepers, F.col("__id").eqNullSafe(F.col("__k_id")) & (F.col("__version") == F.col("__k_version")), "left_semi")
-    return kept.dropDuplicates(["__id", "__version"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    keepers = first.select(F.col("first.doc_id").alias("k_id"), F.col("first.version").alias("k_version"))
+    rows = packed(df, id=F.col(f"`{id_col}`"), version=F.xxhash64(F.col(f"`{text_col}`")))
+    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("version") == F.col("k_version")), "left_semi")
+    return kept.dropDuplicates(["id", "version"]).select("row.*")
