@@ -5,10 +5,12 @@ language knows is scored by its character 4-grams; where one of these is unknown
 the 3-gram that starts there is taken, then the 2-gram, then the letter.
 
 The model is fitted on about ``SAMPLE_DOCS`` labelled documents of each language
-(chosen by a hash of the id), keeps ``TOP_WORDS`` words and ``TOP_GRAMS`` n-grams
-of each of at most ``MAX_LANGS`` languages, and so has a fixed size whatever the
-corpus holds; that bound is what makes broadcasting it safe.  Prediction is per
-row, without a shuffle, over whole texts.
+(chosen by a hash of the id).  It keeps words and n-grams that make up a share of
+1/``RAREST`` or more of their language's sample, so at most ``RAREST`` of either for
+each language, whatever the corpus holds; of a word only the languages that have it
+are stored.  A model of more than ``MODEL_ENTRIES`` such entries at most is too large
+to be sent to every task and is refused by an error: no language is ever left out.
+Prediction is per row, without a shuffle, over whole texts.
 
 Defined results: text null or without a letter gives ``und`` with score 0, as
 does every text when nothing could be learned; rows whose label is null are not
@@ -26,18 +28,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, small_batches, texts_of
+from tessera.llm.common import batch, packed, small_batches, texts_of
 
 SAMPLE_DOCS = 4_000
-TOP_WORDS = 20_000
-TOP_GRAMS = 20_000
-MAX_LANGS = 64
+RAREST = 20_000
+MODEL_ENTRIES = 16_000_000
 MAX_GRAM = 4
-#: Chunks of text whose scores a worker remembers, and how long they may be.
-CACHE_CHUNKS = 300_000
+#: Scores of chunks of text that a worker remembers, and how long the chunks may be.
+CACHE_SCORES = 1_500_000
 CACHE_CHUNK_CHARS = 64
 #: Words that count as evidence at most, for the score; more would always give 1.
 EVIDENCE_WORDS = 12
@@ -58,26 +59,39 @@ def grams(word: str) -> Iterator[str]:
             yield w[i : i + n]
 
 
+@dataclass
+class Table:
+    """Log frequencies by key: for each key the languages that have it, and by how much it is above ``floor`` there."""
+
+    entries: dict[str, tuple[np.ndarray, np.ndarray]]
+    floor: np.ndarray
+
+    def add(self, key: str, to: np.ndarray) -> bool:
+        """Add the key's scores to ``to``; false if the key is not known."""
+        known = self.entries.get(key)
+        if known is None:
+            return False
+        to += self.floor
+        to[known[0]] += known[1]
+        return True
+
+
 @dataclass
 class Model:
-    """Scores of words and n-grams: one float for each language, in the order of ``langs``."""
+    """Scores of words and n-grams in each of ``langs``."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    floor: tuple[float, ...]
+    words: Table
+    grams: Table
 
     def score_word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return np.array(known)
-        w, total, n = f"^{word}$", np.zeros(len(self.langs)), 0
+        total = np.zeros(len(self.langs))
+        if self.words.add(word, total):
+            return total
+        w, n = f"^{word}$", 0
         for i in range(max(1, len(w) - MAX_GRAM + 1)):
-            for size in range(MAX_GRAM, 0, -1):
-                if (known := self.grams.get(w[i : i + size])) is not None:
-                    total += known
-                    break
-            else:
-                total += self.floor
+            if not any(self.grams.add(w[i : i + size], total) for size in range(MAX_GRAM, 0, -1)):
+                total += self.grams.floor
             n += 1
         return total / n
 
@@ -98,7 +112,7 @@ class Scorer:
 
     def _row(self, chunk: str) -> int:
         """The row in which the chunk's scores are remembered, or -1 if there is no room for them."""
-        if len(self.at) >= CACHE_CHUNKS or len(chunk) > CACHE_CHUNK_CHARS:
+        if (len(self.at) + 1) * self.rows.shape[1] > CACHE_SCORES or len(chunk) > CACHE_CHUNK_CHARS:
             return -1
         k = len(self.at)
         if k == len(self.rows):
@@ -144,65 +158,79 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
 
 
-def _logs(rows: list, langs: list[str], totals: dict[str, int]) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
-    """Smoothed log frequencies by key, and those of a key that was never seen."""
-    counts: dict[str, dict[str, int]] = {}
+def _table(rows: list[tuple[str, str, int]], langs: list[str]) -> Table:
+    """Smoothed log frequencies of (lang, key, n)."""
+    counts: dict[str, list[tuple[int, int]]] = {}
+    totals, number = np.zeros(len(langs)), {g: i for i, g in enumerate(langs)}
     for lang, key, n in rows:
-        counts.setdefault(key, {})[lang] = n
-    size = len(counts) + 1
-    floor = tuple(math.log(0.5 / (totals.get(g, 0) + 0.5 * size)) for g in langs)
-    return {k: tuple(math.log((c.get(g, 0) + 0.5) / (totals.get(g, 0) + 0.5 * size)) for g in langs) for k, c in counts.items()}, floor
+        counts.setdefault(key, []).append((number[lang], n))
+        totals[number[lang]] += n
+    # log((n + 0.5) / all) in the languages that have a key, and log(0.5 / all) in the others
+    floor = np.log(0.5) - np.log(totals + 0.5 * (len(counts) + 1))
+    return Table({k: (np.array([i for i, _ in c], dtype=np.int16), np.log(np.array([n for _, n in c]) + 0.5) - np.log(0.5)) for k, c in counts.items()}, floor)
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from a bounded sample of the labelled rows of ``df`` (see the module's description)."""
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("id is not null and lang is not null and text is not null")
+    most = MODEL_ENTRIES // (2 * RAREST)
+    sizes = rows.groupBy("lang").count().limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: the model would be too large to send to every task; merge labels or raise MODEL_ENTRIES")
     if not sizes:
-        return Model([], {}, {}, ())
-    share = F.lit(None).cast("double")
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+        return Model([], Table({}, np.zeros(0)), Table({}, np.zeros(0)))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, SAMPLE_DOCS / n))])
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000).select("lang", "text")
     words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-    def top(counts: DataFrame, key: str, k: int) -> list:
-        w = Window.partitionBy("lang").orderBy(F.desc("n"), key)
-        return [tuple(r) for r in counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("lang", key, "n").collect()]
+    def frequent(counts: DataFrame, key: str) -> list[tuple]:
+        totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()
+        if not totals:
+            return []
+        total = F.create_map(*[F.lit(x) for lang, n in totals for x in (lang, n)])
+        return [tuple(r) for r in counts.where(F.col("n") * RAREST >= F.try_element_at(total, F.col("lang"))).select("lang", key, "n").collect()]
 
     words = words.persist()
     try:
-        n_grams = words.mapInArrow(_count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        top_words, totals = top(words, "word", TOP_WORDS), dict(words.groupBy("lang").agg(F.sum("n")).collect())
-        top_grams = top(n_grams, "gram", TOP_GRAMS)
+        n_grams = words.mapInArrow(_count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+        known, by_gram = frequent(words, "word"), frequent(n_grams, "gram")
+        n_grams.unpersist()
     finally:
         words.unpersist()
-    langs = sorted(totals)
-    gram_totals: Counter = Counter()
-    for lang, _, n in top_grams:
-        gram_totals[lang] += n
-    known, _ = _logs(top_words, langs, totals)
-    by_gram, floor = _logs(top_grams, langs, gram_totals)
-    return Model(langs, known, by_gram, floor)
+    langs = sorted({lang for lang, _, _ in known})
+    return Model(langs, _table(known, langs), _table(by_gram, langs))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` narrowed to the columns ``keep`` (all by default) with ``lang_pred`` and ``score`` added."""
+    """``df`` narrowed to the columns ``keep`` (all by default) with ``lang_pred`` and ``score`` added, in place of any of these names."""
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    columns = df.columns if keep is None else keep
-    src = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("__text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in columns]).schema.add("lang_pred", "string").add("score", "double")
+    columns = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = [f"c{i}" for i in range(len(columns))]
+    src = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], F.col(f"`{text_col}`").alias("text"))
+    schema = src.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for b in batches:
             got = [scorer.predict(t) for t in texts_of(b.column(b.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
+
+    return src.mapInArrow(run, schema).toDF(*columns, "lang_pred", "score")
+
+
+def told(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, unchanged, whose language the model tells with a score of ``least`` or more.
 
-    return src.mapInArrow(run, schema)
+    A model that learned no language tells nothing about texts, so it keeps all that have a letter.
+    """
+    rows = packed(df, text=F.col(f"`{text_col}`"))
+    if not model.langs:
+        return rows.where(F.col("text").rlike(r"\p{L}")).select("row.*")
+    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
+    return predict(rows, model, keep=["row"]).where(sure).select("row.*")
 
 
 _SCORERS: dict[int, Scorer] = {}
