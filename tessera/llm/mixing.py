@@ -10,14 +10,15 @@ Weights are rounded to multiples of 1/period, so the schedule repeats after
 ``period`` slots (4096, or more where there are more than a quarter as many
 sources); one period is scheduled by one small task and every row finds its slot
 by a join.  No task sees a source as a whole: rows are numbered within hashed
-buckets, and the buckets' sizes are summed up for the offsets.
+buckets, and the buckets' sizes are summed up in two levels for the offsets.
 
 Every row is kept once, so a source that runs out leaves its slots empty, and the
 others go on at their rates.
 
 Defined results: rows without a source form a source of their own; rows with a
 null id take part (and come where the hash of null puts them); weights that are
-not positive or missing count as the smallest possible; no rows give no rows.
+not positive or missing count as the smallest possible; columns keep their values
+whatever their names (but for ``mix``, see there); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import packed, shuffle_parts
+
 PERIOD = 4096
 BLOCK_ROWS = 32
 #: Target weights are proportional to a source's rows raised to this power, if none are given.
 TEMPERATURE = 0.7
 #: Rows of a bucket in which rows are numbered, on average.
 BUCKET_ROWS = 500
+#: Buckets in a group of them.
+GROUP = 1000
 #: A schedule of at most so many blocks is sent to all tasks; a longer one is joined.
 BROADCAST_BLOCKS = 65_536
 
@@ -88,41 +93,60 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
 
 
-def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``df`` with the column ``mix`` added: block, release, deadline and slot of the row's block, and the row's position.
+def offsets_of(sizes: DataFrame) -> DataFrame:
+    """key, bucket and offset (the rows of the key in the buckets before) of (key, bucket, n), summed up in two levels:
+    within groups of ``GROUP`` buckets, and over the groups of a key."""
+    grouped = sizes.withColumn("span", F.floor(F.col("bucket") / GROUP))
+    spans = grouped.groupBy("key", "span").agg(F.sum("n").alias("n"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    begins = spans.select("key", "span", F.coalesce(F.sum("n").over(before("key", "span")), F.lit(0)).alias("begin"))
+    inner = grouped.withColumn("inner", F.coalesce(F.sum("n").over(before("key", "span", "bucket")), F.lit(0)))
+    return inner.join(begins, ["key", "span"]).select("key", "bucket", (F.col("begin") + F.col("inner")).alias("offset"))
 
-    ``weights`` has the columns source and weight; without it, see ``TEMPERATURE``.
-    """
-    spark = df.sparkSession
-    key, order = source_key(F.col(f"`{source_col}`")), F.xxhash64(F.col(f"`{id_col}`"), F.lit(17))
+
+def mixed_rows(df: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """row (all columns of ``df`` as a struct) and mix, as told for ``mix``."""
+    ident = F.col(f"`{id_col}`")
+    key, order = source_key(F.col(f"`{source_col}`")), F.xxhash64(ident, F.lit(17))
     total = df.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     bucket = F.pmod(order, F.lit(buckets))
-    sizes = df.groupBy(key.alias("__key"), bucket.alias("__bucket")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    sizes = df.groupBy(key.alias("key"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
     if weights is None:
-        wanted = sizes.groupBy("__key").agg(F.pow(F.sum("__n").cast("double"), TEMPERATURE).alias("weight")).withColumnRenamed("__key", "key")
+        wanted = sizes.groupBy("key").agg(F.pow(F.sum("n").cast("double"), TEMPERATURE).alias("weight"))
     else:
         given = weights.select(source_key(F.col("source")).alias("key"), F.col("weight").cast("double").alias("weight")).groupBy("key").agg(F.max("weight").alias("weight"))
-        wanted = sizes.select(F.col("__key").alias("key")).distinct().join(given, "key", "left")
+        wanted = sizes.select("key").distinct().join(given, "key", "left")
     table = period_table(wanted)
-    names = {c: f"__p_{c}" for c in table.columns}
-    table = table.withColumnsRenamed(names)
-    shares = table.where("__p_k = 0").select(F.col("__p_key").alias("__s_key"), F.col("__p_share").alias("__s_share"))
-    n_sources = sizes.select("__key").distinct().count()
+    shares = table.where("k = 0").select("key", "share")
+    blocks = table.select(F.col("key").alias("p_key"), F.col("k").alias("p_k"), "period", "release", "deadline", "slot")
+    n_sources = sizes.select("key").distinct().count()
     if max(PERIOD, 8 * n_sources) <= BROADCAST_BLOCKS:
-        table, shares = F.broadcast(table), F.broadcast(shares)
-    within = Window.partitionBy("__key", "__bucket").orderBy("__order", F.col(f"`{id_col}`"))
-    rows = df.withColumns({"__key": key, "__bucket": bucket, "__order": order}).withColumn("__row", F.row_number().over(within) - 1)
-    rows = rows.join(offsets, ["__key", "__bucket"]).withColumn("__at", F.col("__offset") + F.col("__row")).withColumn("__block", F.floor(F.col("__at") / block_rows))
-    rows = rows.join(shares, F.col("__key") == F.col("__s_key"))
-    rows = rows.withColumns({"__turn": F.floor(F.col("__block") / F.col("__s_share")), "__k": F.col("__block") % F.col("__s_share")})
-    rows = rows.join(table, (F.col("__key") == F.col("__p_key")) & (F.col("__k") == F.col("__p_k")))
-    shift = F.col("__turn") * F.col("__p_period")
-    slot = (shift + F.col("__p_slot")).cast("long")
+        blocks, shares = F.broadcast(blocks), F.broadcast(shares)
+    within = Window.partitionBy("key", "bucket").orderBy("order", "id")
+    rows = packed(df, key=key, bucket=bucket, order=order, id=ident).withColumn("nth", F.row_number().over(within) - 1)
+    rows = rows.join(offsets_of(sizes), ["key", "bucket"]).withColumn("at", F.col("offset") + F.col("nth")).withColumn("block", F.floor(F.col("at") / block_rows))
+    rows = rows.join(shares, "key").withColumns({"turn": F.floor(F.col("block") / F.col("share")), "own": F.col("block") % F.col("share")})
+    rows = rows.join(blocks, (F.col("key") == F.col("p_key")) & (F.col("own") == F.col("p_k")))
+    shift = F.col("turn") * F.col("period")
+    slot = (shift + F.col("slot")).cast("long")
     mixed = F.struct(
-        F.col("__block").cast("long").alias("block"), (shift + F.col("__p_release")).cast("long").alias("release"), (shift + F.col("__p_deadline")).cast("long").alias("deadline"),
-        slot.alias("slot"), (slot * block_rows + F.col("__at") % block_rows).cast("long").alias("position"), F.col("__s_share").alias("share"), F.col("__p_period").alias("period"),
+        F.col("block").cast("long").alias("block"), (shift + F.col("release")).cast("long").alias("release"), (shift + F.col("deadline")).cast("long").alias("deadline"),
+        slot.alias("slot"), (slot * block_rows + F.col("at") % block_rows).cast("long").alias("position"), "share", "period",
     )
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], mixed.alias("mix"))
+    return rows.select("row", mixed.alias("mix"))
+
+
+def mix(df: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with the column ``mix`` added (in place of any of that name): block, release, deadline and slot of the row's block, and the row's position.
+
+    ``weights`` has the columns source and weight; without it, see ``TEMPERATURE``.
+    """
+    others = [F.col(f"row.`{c}`") for c in df.columns if c != "mix"]
+    return mixed_rows(df, weights, source_col, id_col, block_rows).select(*others, "mix")
+
+
+def laid_out(df: DataFrame, weights: DataFrame | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df``, unchanged, partition after partition in the order of the mix."""
+    mixed = mixed_rows(df, weights, source_col, id_col)
+    return mixed.repartitionByRange(shuffle_parts(df.sparkSession), "mix.position").sortWithinPartitions("mix.position").select("row.*")
