@@ -1,11 +1,12 @@
 """Secret scans with an incremental blob ledger, in DataFrame and SQL functions only.
 
-Every version of a text is a blob addressed by its SHA-256.  The ledger lists the
-(blob, rule version) pairs that have been scanned, with what was found.  A scan
-takes the distinct blobs that the ledger doesn't have for its rule version, scans
-those, adds them to the ledger, and joins findings back to all paths (rows) that
-hold the blob.  Equal texts are scanned once, and a second run over old versions
-scans nothing.
+Every version of a text is a blob addressed by its SHA-256; a path that has changed
+is several rows, one for each version.  The ledger is a table in the shared folder
+that lists which rule versions have been run over which blobs, and what they found.
+A scan runs, over the distinct blobs of its input, the (blob, rule version) pairs
+that the ledger doesn't have, appends them to it, and joins findings back to all
+rows that hold the blob.  Equal texts are scanned once, a new rule alone is run over
+old texts, and a scan of what has been scanned runs nothing.
 
 Rules: ``assign`` (a secret's name, then a value of 12 characters or more),
 ``access`` (AKIA key ids of 18 characters or more), ``hex`` (runs of 16 or more
@@ -14,17 +15,19 @@ leftmost and don't overlap; those that are too short are dropped after matching.
 Positions are in code points, ends exclusive.
 
 Defined results: a null text is the empty text, which holds nothing; rows with a
-null id and repeated rows each get their blob's findings; no rows give no rows.
+null id and repeated rows each get their blob's findings; columns of any name stay
+what they are (but for ``blob`` and ``spans`` in ``scan``); no rows give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULE_VERSION = "2"
+from tessera.llm.common import ensure_checkpoint_dir, packed
 
 
 def either_case(word: str) -> str:
@@ -34,12 +37,17 @@ def either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret; ``least`` characters are asked of capture ``group``."""
+    """A kind of secret; ``least`` characters are asked of capture ``group``.  A changed rule gets a new version."""
 
     kind: str
     pattern: str
     group: int
     least: int
+    version: int = 1
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}/{self.version}"
 
 
 _NAMES = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + either_case("api") + "_?" + either_case("key")
@@ -52,29 +60,46 @@ BASE_RULES = (
 MORE_RULES = (Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),)
 RULES = BASE_RULES + MORE_RULES
 SPANS = "array<struct<start:bigint,rule:int,end:bigint>>"
+#: Matches of a rule in one text are fewer than 2 to this power.
+MATCH_BITS = 26
 
 
-def spans_of(text: Column, number: int, rule: Rule) -> Column:
-    """start, rule (its number) and end of each match of a rule that is long enough."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    asked = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x))
-    before = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    parts = F.arrays_zip(before.alias("before"), F.transform(whole, lambda x: F.length(x)).alias("own"), asked.alias("asked"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPANS).alias("found"))
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_sums(x: Column) -> Column:
+    """The sums of the first 1, 2, .. numbers of an array, by doubling, so that long arrays cost little more than short ones."""
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["before"]
-        end = begin + F.coalesce(x["own"], F.lit(0))
-        hit = F.array(F.struct(begin.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
-        found = F.coalesce(acc["found"], F.array().cast(SPANS))
-        return F.struct(end.alias("at"), F.when(x["asked"] >= rule.least, F.concat(found, hit)).otherwise(found).alias("found"))
+    def step(reach: int):
+        def add(s: Column) -> Column:
+            zeros = F.array_repeat(F.lit(0).cast("bigint"), F.least(F.lit(reach), F.size(s)))
+            shifted = F.concat(zeros, F.slice(s, F.lit(1), F.greatest(F.size(s) - reach, F.lit(0))))
+            return F.when(F.size(s) > reach, F.zip_with(s, shifted, lambda a, b: a + b)).otherwise(s)
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step)["found"]).otherwise(F.array().cast(SPANS))
+        return add
 
+    def far(s: Column) -> Column:
+        for bit in range(4, MATCH_BITS):
+            s = _with(s, step(1 << bit))
+        return s
 
-def all_spans(text: Column) -> Column:
-    """The spans of all rules, by start and then by rule."""
-    return F.array_sort(F.concat(*[spans_of(text, i, r) for i, r in enumerate(RULES)]))
+    for bit in range(4):
+        x = _with(x, step(1 << bit))
+    return _with(x, lambda s: F.when(F.size(s) > 16, far(s)).otherwise(s))
+
+
+def spans_of(text: Column, number: int, rule: Rule) -> Column:
+    """start, rule (its number) and end of each match of a rule that is long enough."""
+    lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("bigint"))
+    own = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    asked = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)))
+    before = F.slice(lengths(F.split(text, rule.pattern, -1)), F.lit(1), F.size(own))
+    ends = running_sums(F.zip_with(before, own, lambda a, b: a + b))
+    found = F.zip_with(F.arrays_zip(ends.alias("end"), own.alias("own")), asked, lambda m, n: F.struct(F.struct((m["end"] - m["own"]).alias("start"), F.lit(number).alias("rule"), m["end"].alias("end")).alias("span"), n.alias("n")))
+    kept = F.transform(F.filter(found, lambda f: f["n"] >= rule.least), lambda f: f["span"])
+    return F.when(text.rlike(rule.pattern), kept).otherwise(F.array().cast(SPANS))
 
 
 def listed(spans: Column) -> Column:
@@ -83,39 +108,84 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rule"] + 1), s["start"], s["end"])))
 
 
-LEDGER_DDL = f"blob string, rule_version string, spans {SPANS}"
+LEDGER_DDL = "blob string, rules array<string>, spans array<struct<start:bigint,rule:string,end:bigint>>"
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """Ledger rows of the blobs among ``versions`` that ``ledger`` doesn't have for this rule version."""
-    blobs = versions.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["blob"])
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    return blobs.select("blob", F.lit(RULE_VERSION).alias("rule_version"), all_spans(F.col("text")).alias("spans"))
+class Ledger:
+    """A table of scans, a row for each scan of a blob: the rule versions run, and the spans found with them."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """Open the ledger in ``folder``, or begin a new one below the shared folder."""
+        self.spark, self.folder = spark, folder or f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.fresh = folder is None
+        if self.fresh:
+            self.append(spark.createDataFrame([], LEDGER_DDL))
+            self.fresh = True
+
+    def append(self, scanned: DataFrame) -> None:
+        """Add scans; they are there for readers once the whole write is done."""
+        scanned.write.mode("append").parquet(self.folder)
+        self.fresh = False
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER_DDL).parquet(self.folder)
+
+    def findings(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """blob and its spans under the rule versions ``rules``, by start and then by rule; scans that were made twice count once."""
+        names = F.array(*[F.lit(r.name) for r in rules])
+        numbered = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (F.array_position(names, s["rule"]) - 1).cast("int").alias("rule"), s["end"].alias("end")))
+        rows = self.read().where(F.arrays_overlap("rules", names)).select("blob", F.filter(numbered, lambda s: s["rule"] >= 0).alias("spans"))
+        return rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def scan_unseen(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Ledger rows of the (blob, rule version) pairs of ``versions`` that the ledger doesn't have."""
+    blobs = versions.select(blob_of(F.col(f"`{text_col}`")).alias("blob"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    names, nothing = F.array(*[F.lit(r.name) for r in rules]), F.array().cast("array<string>")
+    if ledger.fresh:
+        todo = blobs.dropDuplicates(["blob"]).withColumn("rules", names)
+    else:
+        done = ledger.read().groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
+        known = blobs.select("blob").distinct().join(done, "blob", "left")
+        pairs = known.select("blob", F.array_except(names, F.coalesce("done", nothing)).alias("rules")).where(F.size("rules") > 0)
+        if pairs.isEmpty():
+            return versions.sparkSession.createDataFrame([], LEDGER_DDL)
+        todo = blobs.join(pairs, "blob").dropDuplicates(["blob"])
+    text = F.col("text")
+    each = [F.when(F.array_contains("rules", r.name), spans_of(text, i, r)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules)]
+    spans = F.transform(F.concat(*each), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["rule"] + 1).alias("rule"), s["end"].alias("end")))
+    return todo.select("blob", "rules", spans.alias("spans"))
+
+
+def _scanned(versions: DataFrame, ledger: Ledger | None, rules: tuple[Rule, ...], text_col: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (which hold blob) with the blob's spans, after what is unseen has been added to the ledger.
+
+    The ledger is a written table, so Spark can split the join where many rows hold one blob.
+    """
+    ledger = ledger or Ledger(versions.sparkSession)
+    ledger.append(scan_unseen(versions, ledger, rules, text_col))
+    return rows.join(ledger.findings(rules), "blob")
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(``versions`` with the columns blob and spans added, in place of any of these names, the ledger with what was scanned now)."""
-    scanned = scan_unseen(versions, ledger, text_col)
-    known = scanned if ledger is None else ledger.unionByName(scanned)
-    current = known.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    paths = versions.drop("blob", "spans").withColumn("__path_blob", blob_of(F.col(text_col)))
-    joined = paths.join(current, F.col("__path_blob") == F.col("__blob"))
-    return joined.drop("__blob").withColumnsRenamed({"__path_blob": "blob", "__spans": "spans"}), known
+def scan(versions: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """``versions`` with the columns blob and spans added (in place of any of these names), by way of the ledger."""
+    rows = packed(versions, blob=blob_of(F.col(f"`{text_col}`")))
+    others = [F.col(f"row.`{c}`") for c in versions.columns if c not in ("blob", "spans")]
+    return _scanned(versions, ledger, rules, text_col, rows).select(*others, "blob", "spans")
 
 
 def _is(number: int):
     return lambda rule: rule == number
 
 
-def findings(df: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def findings(df: DataFrame, ledger: Ledger | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, counts of the base rules, digest of the base spans and all spans of every row."""
-    rows, _ = scan(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ledger)
-    rows = rows.drop("text")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), blob_of(F.col(f"`{text_col}`")).alias("blob"))
+    rows = _scanned(df, ledger, RULES, text_col, rows)
     base = F.filter("spans", lambda s: s["rule"] < len(BASE_RULES))
     rules = F.transform("spans", lambda s: s["rule"])
     counts = [F.size(F.filter(rules, _is(i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
@@ -135,14 +205,15 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
 
 
-def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", ledger: Ledger | None = None) -> DataFrame:
     """``df`` with all secrets in its texts replaced, and the texts' lengths brought up to date where they change."""
-    rows, _ = scan(df, text_col=text_col)
+    rows = _scanned(df, ledger, RULES, text_col, packed(df, blob=blob_of(F.col(f"`{text_col}`"))))
     # the new text is a step of its own: its length is then taken from it and not worked out again
-    rows = rows.withColumn(text_col, redacted(F.col(f"`{text_col}`"), F.col("spans")))
-    columns = {c: F.col(f"`{c}`") for c in df.columns}
+    rows = rows.withColumn("fresh", redacted(F.col(f"row.`{text_col}`"), F.col("spans")))
+    columns = {c: F.col(f"row.`{c}`") for c in df.columns}
+    columns[text_col] = F.col("fresh")
     if length_col in df.columns:
-        changed = F.length(F.col(f"`{text_col}`")).cast(df.schema[length_col].dataType)
+        changed = F.length("fresh").cast(df.schema[length_col].dataType)
         columns[length_col] = F.when(F.size("spans") > 0, changed).otherwise(columns[length_col])
     return rows.select(*[c.alias(name) for name, c in columns.items()])
 

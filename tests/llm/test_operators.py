@@ -355,7 +355,7 @@ def test_mixing_keeps_every_row_once(spark, docs, none):
         if slot < last:
             assert all(abs((slot + 1) * total[s] - n) < 1 for s, n in seen.items())
     given = spark.createDataFrame([("s0", 3.0), ("s1", 1.0)], "source string, weight double")
-    assert mixing.mix(clashing(docs).drop("mix"), given).count() == docs.count() and mixing.mix(none).count() == 0
+    assert mixing.mix(clashing(docs), given).count() == docs.count() and mixing.mix(none).count() == 0
 
 
 # secrets
@@ -381,15 +381,29 @@ def test_secrets_are_found_where_they_are(spark, docs, none):
     assert secrets.findings(clashing(docs)).count() == docs.count() and secrets.findings(none).count() == 0
 
 
-def test_the_ledger_scans_a_text_once(spark):
-    df = spark.createDataFrame([(0, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0]), (2, "b")], "doc_id long, text string")
-    _, ledger = secrets.scan(df.where("doc_id < 2"))
-    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
-    assert ledger.count() == 1
-    assert [r.blob for r in secrets.scan_unseen(df, ledger).collect()] == [hashlib.sha256(b"b").hexdigest()]
-    assert plain(secrets.findings(df, ledger)) == plain(secrets.findings(df))
-    old = ledger.withColumn("rule_version", F.lit("1"))
-    assert secrets.scan_unseen(df, old).count() == 2
+def test_the_ledger_scans_what_is_unseen(spark):
+    first = spark.createDataFrame([(0, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0]), (2, SECRET_TEXTS[3])], "doc_id long, text string")
+    ledger = secrets.Ledger(spark)
+    before = plain(secrets.scan(first, ledger, secrets.BASE_RULES).select("doc_id", secrets.listed(F.col("spans"))))
+    assert ledger.read().count() == 2 and all("pem" not in x[1] for x in before)
+    # the next version of one path, and a rule that is new: old texts are scanned for that one only
+    second = first.where("doc_id < 2").unionByName(spark.createDataFrame([(2, "next token=abcdefghijklmnop")], "doc_id long, text string"))
+    todo = {r.blob: r.rules for r in secrets.scan_unseen(second, ledger).collect()}
+    names = [r.name for r in secrets.RULES]
+    assert todo == {hashlib.sha256(SECRET_TEXTS[0].encode()).hexdigest(): names[3:], hashlib.sha256(b"next token=abcdefghijklmnop").hexdigest(): names}
+    history = first.unionByName(second)
+    again = plain(secrets.findings(history, ledger))
+    assert again == plain(secrets.findings(history)) and secrets.scan_unseen(history, ledger).isEmpty()
+    n = ledger.read().count()
+    assert plain(secrets.findings(history, secrets.Ledger(spark, ledger.folder))) == again and ledger.read().count() == n
+    changed = [secrets.Rule(r.kind, r.pattern, r.group, r.least, 2) if r.kind == "hex" else r for r in secrets.RULES]
+    assert {tuple(r.rules) for r in secrets.scan_unseen(history, ledger, tuple(changed)).collect()} == {("hex/2",)}
+
+
+def test_running_sums(spark):
+    x = [list(range(n)) for n in (0, 1, 2, 3, 16, 17, 33, 5000)]
+    got = spark.createDataFrame([(v,) for v in x], "x array<bigint>").select(secrets.running_sums(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [np.cumsum(v).tolist() if v else [] for v in x]
 
 
 def test_redaction_replaces_all_spans(spark):
