@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, small_batches, texts_of
 
 #: Words whose encoding a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words longer than this are encoded each time they occur and never remembered.
 CACHE_WORD_CHARS = 64
 #: White space as the normalizer of the vocabulary file knows it.

@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ RAREST = 20_000
 MODEL_ENTRIES = 16_000_000
 MAX_GRAM = 4
 #: Scores of chunks of text that a worker remembers, and how long the chunks may be.
-CACHE_SCORES = 1_500_000
+CACHE_SCORES = 1_000_000
 CACHE_CHUNK_CHARS = 64
+#: Scores of words and of n-grams that a worker remembers written out for all languages.
+RECENT_SCORES = 100_000
 #: Words that count as evidence at most, for the score; more would always give 1.
 EVIDENCE_WORDS = 12
 UNDETERMINED = "und"
@@ -61,19 +63,25 @@ def grams(word: str) -> Iterator[str]:
 
 @dataclass
 class Table:
-    """Log frequencies by key: for each key the languages that have it, and by how much it is above ``floor`` there."""
+    """Log frequencies by key: for each key the languages that have it and by how much it is above ``floor`` there, one after the other."""
 
-    entries: dict[str, tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray
+    entries: dict[str, tuple]
+    floor: list[float]
+    recent: dict[str, list[float]] = field(default_factory=dict)
 
-    def add(self, key: str, to: np.ndarray) -> bool:
-        """Add the key's scores to ``to``; false if the key is not known."""
+    def scores(self, key: str) -> list[float] | None:
+        """The key's score in each language, or nothing if it is not known."""
+        if (out := self.recent.get(key)) is not None:
+            return out
         known = self.entries.get(key)
         if known is None:
-            return False
-        to += self.floor
-        to[known[0]] += known[1]
-        return True
+            return None
+        out = list(self.floor)
+        for i in range(0, len(known), 2):
+            out[known[i]] += known[i + 1]
+        if len(self.recent) * len(out) < RECENT_SCORES:
+            self.recent[key] = out
+        return out
 
 
 @dataclass
@@ -84,23 +92,26 @@ class Model:
     words: Table
     grams: Table
 
-    def score_word(self, word: str) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        if self.words.add(word, total):
-            return total
-        w, n = f"^{word}$", 0
+    def score_word(self, word: str) -> list[float]:
+        if (known := self.words.scores(word)) is not None:
+            return known
+        w, total, n = f"^{word}$", [0.0] * len(self.langs), 0
+        scores, floor = self.grams.scores, self.grams.floor
         for i in range(max(1, len(w) - MAX_GRAM + 1)):
-            if not any(self.grams.add(w[i : i + size], total) for size in range(MAX_GRAM, 0, -1)):
-                total += self.grams.floor
+            for size in range(MAX_GRAM, 0, -1):
+                if (known := scores(w[i : i + size])) is not None:
+                    break
+            else:
+                known = floor
+            total = [x + y for x, y in zip(total, known)]
             n += 1
-        return total / n
+        return [x / n for x in total]
 
-    def score_chunk(self, chunk: str) -> np.ndarray:
+    def score_chunk(self, chunk: str) -> list[float]:
         """Sums of the scores of the words of a text, and the number of words."""
-        out = np.zeros(len(self.langs) + 1)
+        out = [0.0] * (len(self.langs) + 1)
         for word in _WORD.findall(chunk):
-            out[:-1] += self.score_word(word)
-            out[-1] += 1
+            out = [x + y for x, y in zip(out, (*self.score_word(word), 1.0))]
         return out
 
 
@@ -129,7 +140,7 @@ class Scorer:
         total = self.rows[[i for i in found if i >= 0]].sum(axis=0)
         for c, i in zip(chunks, found) if -1 in found else ():
             if i < 0:
-                total = total + self.model.score_chunk(c)
+                total = total + np.array(self.model.score_chunk(c))
         n = total[-1]
         if not n:
             return UNDETERMINED, 0.0
@@ -167,7 +178,7 @@ def _table(rows: list[tuple[str, str, int]], langs: list[str]) -> Table:
         totals[number[lang]] += n
     # log((n + 0.5) / all) in the languages that have a key, and log(0.5 / all) in the others
     floor = np.log(0.5) - np.log(totals + 0.5 * (len(counts) + 1))
-    return Table({k: (np.array([i for i, _ in c], dtype=np.int16), np.log(np.array([n for _, n in c]) + 0.5) - np.log(0.5)) for k, c in counts.items()}, floor)
+    return Table({k: tuple(x for i, n in c for x in (i, math.log((n + 0.5) / 0.5))) for k, c in counts.items()}, floor.tolist())
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
@@ -179,7 +190,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     if len(sizes) > most:
         raise ValueError(f"more than {most} languages: the model would be too large to send to every task; merge labels or raise MODEL_ENTRIES")
     if not sizes:
-        return Model([], Table({}, np.zeros(0)), Table({}, np.zeros(0)))
+        return Model([], Table({}, []), Table({}, []))
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, SAMPLE_DOCS / n))])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000).select("lang", "text")
     words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))

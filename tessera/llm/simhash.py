@@ -203,10 +203,11 @@ NEAR_FIFTHS = 4
 #: Keys of a text and least hashes in each: at 0.8 a pair shares none in 5 of 100,000 cases.
 BANDS, BAND_ROWS = 25, 5
 #: Bits of 128 that the SimHashes of a candidate differ in at most; 0.8 makes 19 differ on average, with a deviation of 4.
-SKETCH_BITS = 48
+SKETCH_BITS = 42
 #: Rows of a bucket that are all compared at once; the rows of larger ones are compared with leaders first, so many each round, and
-#: in another round while the buckets still hold more pairs than this for each row that are not connected, so many rounds at most.
-SMALL, LEADERS, CROWDED, STAR_ROUNDS = 32, 3, 64, 12
+#: in another round while the buckets still hold more pairs than this for each row that are not connected and the last round linked
+#: one row in ``WORTH`` or more, so many rounds at most.  Pairs that are left are all compared.
+SMALL, LEADERS, CROWDED, WORTH, STAR_ROUNDS = 32, 3, 64, 50, 12
 _r = np.random.default_rng(SEED)
 _ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
@@ -321,7 +322,10 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
 
     source = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("version"), F.col(f"`{text_col}`").alias("text"))
     marked = cut(source.mapInArrow(run, f"doc_id {kind}, version bigint, node bigint, n bigint, a bigint, z bigint, keys array<bigint>"))
-    keys = marked.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", "n", "a", "z")
+    # a row for each node, summed up before the shuffle: a text that many rows share is one from here on
+    first = F.min(F.struct("doc_id", "version", "n", "a", "z", "keys")).alias("row")
+    nodes = cut(marked.groupBy("node").agg(first).select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"), "row.n", "row.a", "row.z", "row.keys"))
+    keys = nodes.select(F.explode("keys").alias("key"), "node", "n", "a", "z")
     # the sizes are written first: a join with them is then one that Spark can split
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = cut(keys.join(sizes, "key"))
@@ -330,7 +334,7 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        one = marked.join(asked, "node").groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("row")).select("node", F.col("row.doc_id").alias("row_id"), F.col("row.version").alias("row_version"))
+        one = nodes.join(asked, "node").select("node", "row_id", "row_version")
         texts = cut(source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"]))
         held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint"))
@@ -347,14 +351,15 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         if not crowd:
             break
         last = crowd <= CROWDED * rows or turn == STAR_ROUNDS
-        more = verified(_all_pairs(open_) if last else _star(open_, turn))
+        if not last:
+            more = verified(_star(open_, turn))
+            last = more.count() * WORTH < open_.select("node").distinct().count()
+        if last:
+            rest = verified(_all_pairs(open_))
+            more = rest if crowd <= CROWDED * rows or turn == STAR_ROUNDS else more.unionByName(rest)
         if not more.isEmpty():
             links = links.unionByName(more)
             label = cut(components(links))
-        elif not last:
-            last, more = True, verified(_all_pairs(open_))
-            if not more.isEmpty():
-                label = cut(components(links.unionByName(more)))
         if last:
             break
     return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))
