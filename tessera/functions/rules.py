@@ -7,7 +7,7 @@ SENIORITY_V1 = r"\b(staff|principal|distinguished|fellow|architect|director|vp|v
 SENIORITY_V3 = r"\b(staff|principal|distinguished|fellow|architect|director|vp|vice president|head of|manager|lead engineer|engineering lead|lead software engineer|lead backend engineer|lead frontend engineer|lead full.?stack engineer|lead platform engineer|lead data engineer|lead machine learning engineer|lead ml engineer|lead ai engineer|lead security engineer|lead devops engineer)\b"
 SWE_TITLE_V1 = r"\b(software engineer|software developer|backend|back.?end|frontend|front.?end|full.?stack|platform engineer|infrastructure engineer|systems engineer|distributed systems|site reliability|sre|devops|machine learning engineer|ml engineer|ai engineer|applied scientist|research engineer|data engineer|sde|swe|member of technical staff|web developer|application developer)\b"
 SWE_TITLE_V2 = r"\b(software engineer|software developer|backend|back.?end|frontend|software development engineer|software dev engineer|front.?end|full.?stack|platform engineer|infrastructure engineer|systems engineer|distributed systems|site reliability|sre|devops|machine learning engineer|ml engineer|ai engineer|applied scientist|research engineer|data engineer|data scientist|sde|swe|member of technical staff|web developer|application developer|react engineer|react native engineer|ios engineer|android engineer|mobile engineer|qa automation engineer|security engineer|release engineer)\b"
-US_CITIES = r"San Francisco|Seattle|New York|NYC|Chicago|Atlanta|Austin|Boston|Los Angeles|San Diego|San Jose|Mountain View|Palo Alto|Menlo Park|Redwood City|Sunnyvale|Bellevue|Denver|Boulder|Phoenix|Portland|Dallas|Houston|Arlington|Washington|Remote in the US|US-Remote"
+TITLE_US_LOCATION = r"\b(United States|USA|Remote — US|Remote \(US\)|Remote US|Remote - US|Remote, US|US Remote|Remote from the US|Remote in the US|US-Remote)\b|, (AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC),?\s*(United States|USA|US)\b|\b(San Francisco|Seattle|New York|NYC|Chicago|Atlanta|Austin|Boston|Los Angeles|San Diego|San Jose|Mountain View|Palo Alto|Menlo Park|Redwood City|Sunnyvale|Bellevue|Denver|Boulder|Phoenix|Portland|Dallas|Houston|Arlington|Washington|Remote in the US|US-Remote)\b"
 CLEARANCE_TITLE = r"\b(ts/sci|top secret|security clearance|polygraph|public trust|active clearance)\b"
 EARLY_CAREER_V3 = r"\b(new grad|new graduate|entry|entry level|junior|intern)\b"
 FEED_EXCLUDED_TITLE = r"\b(intern|internship|co-?op|apprentice|sales|account executive|analyst|supervisor|technician|facilities|administrator|product design|designer|support|customer|recruiter|senior|staff|principal|distinguished|director|vice president|\bvp\b|head of|manager|\blead\b|registered nurse|\bnurse\b|nursing|clinical)\b"
@@ -56,3 +56,25 @@ ALWAYS_INCLUDED = [
     "requires_sponsorship", "security_clearance", "us_person", "undergraduate_gpa", "willing_to_relocate", "work_authorization", "work_experience",
 ]
 ALWAYS_INCLUDED_PREFIXES = ["education:", "employment:", "resume_metric_"]
+NO_EXPERIENCE = r"\b(no (?:professional |prior |previous )?experience (?:is )?required|zero years? of (?:professional |relevant )?experience)\b"
+YEARS_BEFORE_EXPERIENCE = r"\b(\d{1,2})(?:\s*(?:-|–|—|to)\s*(\d{1,2}))?\s*\+?\s*years?\b.{0,100}?\bexperience\b"
+EXPERIENCE_BEFORE_YEARS = r"\bexperience\b.{0,100}?\b(\d{1,2})(?:\s*(?:-|–|—|to)\s*(\d{1,2}))?\s*\+?\s*years?\b"
+YEARS_STATED = r"\b(\d{1,2})(?:\s*(?:-|–|—|to)\s*(\d{1,2}))?\s*\+?\s*years?\b.{0,100}?\bexperience\b|\bexperience\b.{0,100}?\b(\d{1,2})(?:\s*(?:-|–|—|to)\s*(\d{1,2}))?\s*\+?\s*years?\b"
+OPEN_ENDED_TWO_PLUS = r"\b(?:(?:2|[3-9]|[1-9]\d)\s*\+\s*years?|(?:at least|minimum(?: of)?)\s+(?:2|[3-9]|[1-9]\d)\s+years?|(?:2|[3-9]|[1-9]\d)\s+years?\s+(?:or more|minimum))\b"
+OPEN_BEFORE = r"\b(at least|minimum(?: of)?)\s*$"
+OPEN_AFTER = r"^\s*(?:\+|or more\b|minimum\b)"
+SALARY_RANGE = r"(\$\s?\d{2,3}(?:,\d{3})?(?:\s?[kK])?\s?(?:-|–|to)\s?\$?\s?\d{2,3}(?:,\d{3})?(?:\s?[kK])?)"
+SALARY_RATE = r"(\$\s?\d{2,3}(?:,\d{3})?(?:\s?[kK])?\s?(?:/|per)\s?(?:year|yr|hour|hr))"
+US_STATE_NAMES = r"\b(?:Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois|Indiana|Iowa|Kansas|Kentucky|Louisiana|Maine|Maryland|Massachusetts|Michigan|Minnesota|Mississippi|Missouri|Montana|Nebraska|Nevada|New Hampshire|New Jersey|New Mexico|New York|North Carolina|North Dakota|Ohio|Oklahoma|Oregon|Pennsylvania|Rhode Island|South Carolina|South Dakota|Tennessee|Texas|Utah|Vermont|Virginia|Washington|West Virginia|Wisconsin|Wyoming|District of Columbia)\b"
+COMPANY_NAMES = {
+    "capitalone": "Capital One", "bankofamerica": "Bank of America", "homedepot": "The Home Depot", "dxc technology": "DXC Technology", "dxc": "DXC Technology", "esri": "Esri", "t mobile": "T-Mobile",
+    "newrelic": "New Relic", "purestorage": "Pure Storage", "analogdevices": "Analog Devices", "boozallenhamilton": "Booz Allen Hamilton", "state street": "State Street", "cloudflare": "Cloudflare",
+}
+RISKS = {
+    "metric": r"\d+(\.\d+)?\s*(%|percent|x\b|ms\b|s\b|k\b|M\b|QPS|RPS)",
+    "team_size": r"\b(team of|led|managed|mentored)\s+\d+",
+    "ownership": r"\b(led|owned|architected|designed|spearheaded|drove|founded)\b",
+    "scale": r"\b(million|billion|thousands of|at scale|in production|enterprise)\b",
+    "duration": r"\b\d+\s*(year|month|week)s?\b",
+}
+FEED_DEFENSE_COMPANY = r"\b(anduril|spacex|rocketlab|trueanomaly|varda|cesiumastro|accenturefederalservices|darkwolf|freedomconsulting|systemstechnologyresearch|morsecorp|questdefense)\b"

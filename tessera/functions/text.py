@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import rules as P
+from tessera.functions.experience import years_label
+
 # Query parameters that identify a record, and those that only track visits.
 ID_PARAMS = ["gh_jid", "job_id", "jobid", "jid"]
 TRACKING_PARAMS = ["gh_src", "iis", "iisn", "ref", "refid", "source", "trk", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
@@ -111,29 +114,20 @@ def title_case(x: Column) -> Column:
     return F.array_join(parts, "")
 
 
-_AMOUNT = r"\d{2,3}(?:,\d{3})?(?:\s?[kK])?"
-
-
 def salary(x: Column) -> Column:
     """A salary range, else a single rate, else the empty text."""
-    ranged = F.regexp_extract(x, rf"(\$\s?{_AMOUNT}\s?(?:-|–|to)\s?\$?\s?{_AMOUNT})", 1)
-    single = F.regexp_extract(x, rf"(?i)(\$\s?{_AMOUNT}\s?(?:/|per)\s?(?:year|yr|hour|hr))", 1)
+    ranged, single = F.regexp_extract(x, P.SALARY_RANGE, 1), F.regexp_extract(x, f"(?i){P.SALARY_RATE}", 1)
     return F.replace(F.regexp_replace(F.coalesce(blank_to_null(ranged), single, F.lit("")), r"\s+", " "), F.lit("$ "), F.lit("$"))
 
 
-_YEARS = r"(\d{1,2})(?:\s*(?:-|–|—|to)\s*(\d{1,2}))?\s*\+?\s*years?\b"
-NO_EXPERIENCE = r"(?i)\b(no (?:professional |prior |previous )?experience (?:is )?required|zero years? of (?:professional |relevant )?experience)\b"
-
-
 def experience_label(x: Column) -> Column:
     """The first stated years of experience, in words."""
-    pattern = rf"(?is)\b{_YEARS}.{{0,100}}?\bexperience\b|\bexperience\b.{{0,100}}?\b{_YEARS}"
+    pattern = f"(?is){P.YEARS_STATED}"
     whole = F.regexp_extract(x, pattern, 0)
     group = lambda i, j: F.coalesce(blank_to_null(F.regexp_extract(x, pattern, i)), blank_to_null(F.regexp_extract(x, pattern, j))).cast("int")
     low, high = group(1, 3), F.coalesce(group(2, 4), group(1, 3))
-    text = lambda n: n.cast("string")
-    stated = F.when(whole.contains("+"), F.concat(text(low), F.lit("+ years"))).when((low == 1) & (high == 1), F.lit("1 year")).when(low == high, F.concat(text(low), F.lit(" years"))).otherwise(F.concat(text(low), F.lit("–"), text(high), F.lit(" years")))
-    return F.when(x.isNull() | (x == ""), "Not stated").when(x.rlike(NO_EXPERIENCE), "0 years").when(whole == "", "Not stated").otherwise(stated)
+    stated = F.when(whole.contains("+"), F.concat(low.cast("string"), F.lit("+ years"))).otherwise(years_label(low, high))
+    return F.when(x.isNull() | (x == ""), "Not stated").when(x.rlike(f"(?i){P.NO_EXPERIENCE}"), "0 years").when(whole == "", "Not stated").otherwise(stated)
 
 
 def experience_bucket(label: Column) -> Column:
@@ -171,12 +165,46 @@ def escape_pipe(x: Column) -> Column:
     return F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*[\r\n]+\s*", " "), F.lit("|"), F.lit("\\|"))
 
 
+def escape_latex(x: Column) -> Column:
+    """Text that LaTeX sets as it stands."""
+    marked = F.regexp_replace(x, r"([&%$#_{}])", r"\\$1")
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), (("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}")), marked)
+
+
 def bool_text(x: Column) -> Column:
     """true or false if the text says so, else null."""
     t = F.lower(F.trim(x))
     return F.when(t == "true", True).when(t == "false", False)
 
 
+def token_estimate(x: Column, answer: Column) -> Column:
+    """Tokens that a text and the longest answer to it may take: a quarter of its characters and all of the answer's."""
+    return F.floor(F.length(F.coalesce(x, F.lit(""))) / 4) + answer
+
+
+def display_company(x: Column) -> Column:
+    """A company's name as shown: known spellings, the site of a piped address, else title case."""
+    parts = F.filter(F.transform(F.split(F.trim(x), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
+    last = F.element_at(parts, -1)
+    site = F.when(F.lower(last).isin("external", "global", "careers", "jobs"), F.get(parts, F.lit(1))).otherwise(last)
+    piped = (F.size(parts) > 1) & F.contains(F.lower(F.get(parts, F.lit(0))), F.lit(".myworkdayjobs.com"))
+    clean = F.trim(F.regexp_replace(F.when(piped, F.translate(site, "_-", "  ")).otherwise(F.trim(x)), r"\s+", " "))
+    known = F.create_map(*[F.lit(v) for kv in P.COMPANY_NAMES.items() for v in kv])
+    return F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(clean), "[^a-z0-9 ]", "")), title_case(clean))
+
+
+def risky_claims(x: Column) -> Column:
+    """kind and span of every phrase that claims a measure, a team, ownership, scale or a duration."""
+    each = [F.transform(F.regexp_extract_all(x, F.lit(f"(?i){p}"), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("span"))) for kind, p in P.RISKS.items()]
+    return F.concat(*each)
+
+
+def unsupported_claims(x: Column, facts: Column) -> Column:
+    """The risky claims that occur in none of the allowed facts (an array of texts) and in no reduction derived from these."""
+    allowed = F.transform(F.concat(facts, F.flatten(F.transform(facts, lambda f: metric_facts(f)))), lambda f: F.lower(f))
+    return F.filter(risky_claims(x), lambda c: ~F.exists(allowed, lambda f: F.contains(f, F.lower(c["span"]))))
+
+
 def json_body(x: Column) -> Column:
     """What stands between the outermost braces (F16)."""
     return blank_to_null(F.regexp_extract(x, r"(?s)(\{.*\})", 1))

@@ -36,7 +36,7 @@ def members(df: DataFrame, key: str, wanted: list | DataFrame) -> DataFrame:
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """One page in a total order, each row with whether the page is full."""
     got = df.orderBy(*order).offset(offset).limit(limit)
-    return got.crossJoin(got.agg((F.count("*") == limit).alias("has_more")))
+    return got.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(1))) == limit)  # over one page of rows
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -119,14 +119,63 @@ def bump_version(current: DataFrame, incoming: DataFrame, key: str, carried: lis
     return both.select(key, *[F.col(f"i.{c}") for c in rest], *[F.coalesce(F.col(f"i.{c}"), F.col(f"c.{c}")).alias(c) for c in carried], (F.coalesce(F.col("c.version"), F.lit(0)) + 1).alias("version"))
 
 
+#: Characters of a side that is sent to every task, at most; a larger one is joined.
+SENT_CHARS = 8 << 20
+
+
+def _sendable(df: DataFrame, text: Column) -> bool:
+    return (df.agg(F.sum(F.length(text))).first()[0] or 0) <= SENT_CHARS
+
+
+def run_lengths(x: Column) -> Column:
+    """item and overlap (how often it occurs) of the distinct values of an array, from one sort."""
+    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  worked out once
+
+    def of(s: Column, begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(s) + 1))
+        return F.zip_with(begins, ends, lambda a, z: F.struct(F.element_at(s, a).alias("item"), (z - a).cast("long").alias("overlap")))
+
+    begins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    return let(F.array_sort(x), lambda s: F.when(F.size(s) > 0, let(begins(s), lambda b: of(s, b))))
+
+
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", n: int = 10) -> DataFrame:
-    """For each left row its ``n`` right rows with most shared tokens (R35, R36): an equi join on tokens, not of all pairs."""
+    """For each left row its ``n`` right rows with most shared tokens.
+
+    If the left side is small (its size is checked), its tokens go to every task as one map from a token to the rows that
+    have it; each right row is counted where it is, and only the best ``n`` of a task are shuffled.  Else it is an equi join on tokens.
+    """
     a = left.select(left_id, F.explode(F.array_distinct(tokens)).alias("token"))
-    b = right.select(right_id, F.explode(F.array_distinct(tokens)).alias("token"))
-    hits = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("overlap"))
+    if _sendable(left, F.array_join(tokens, " ")):
+        owners = a.groupBy("token").agg(F.collect_list(left_id).alias("owners"))
+        table = owners.agg(F.map_from_entries(F.collect_list(F.struct("token", "owners"))).alias("owners_of"))
+        met = right.select(right_id, F.array_distinct(tokens).alias("own")).crossJoin(F.broadcast(table))
+        found = F.flatten(F.filter(F.transform("own", lambda t: F.try_element_at("owners_of", t)), lambda o: o.isNotNull()))
+        hits = met.select(right_id, F.explode(run_lengths(found)).alias("x")).select(F.col("x.item").alias(left_id), right_id, "x.overlap")
+    else:
+        b = right.select(right_id, F.explode(F.array_distinct(tokens)).alias("token"))
+        hits = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("overlap"))
     return first_per_group(hits, [left_id], [F.desc("overlap"), F.asc(right_id)], n)
 
 
+def quoted_in(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str) -> DataFrame:
+    """In how many texts (``t``) each quotation (``s``) stands verbatim, and the first of them.
+
+    If the quotations are few (their size is checked) they go to every task, and each text is read once where it is.  Else a
+    quotation meets the texts that hold its longest inner word; one without an inner word meets all, by an empty word that all have.
+    """
+    if _sendable(quotes, F.col("s")):
+        hits = texts.join(F.broadcast(quotes), F.contains(F.col("t"), F.col("s"))).select(quote_id, text_id)
+    else:
+        words = F.split("s", " ")
+        inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        grams = texts.select(text_id, "t", F.explode(F.array_union(F.split("t", " "), F.array(F.lit("")))).alias("gram"))
+        hits = grams.join(quotes.withColumn("gram", F.coalesce(longest, F.lit(""))), "gram").where(F.contains(F.col("t"), F.col("s"))).select(quote_id, text_id)
+    found = hits.groupBy(quote_id).agg(F.count("*").alias("found_in"), F.min(text_id).alias("first_doc"))
+    return quotes.select(quote_id).join(found, quote_id, "left").select(quote_id, F.coalesce("found_in", F.lit(0)).alias("found_in"), "first_doc")
+
+
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A repeatable random sample of ``n`` rows, by a hash of the key."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ontology as O
 from tessera.functions import rules as P
-from tessera.functions.text import US_STATES, matcher_norm, verbatim_norm
+from tessera.functions.experience import entry_experience
+from tessera.functions.text import US_STATES, display_company, matcher_norm, salary, verbatim_norm
+from tessera.operators.relational import best_match, first_per_group
 
 
 def hits(x: Column, pattern: str) -> Column:
@@ -45,40 +47,50 @@ class TitleFilter:
     located: str = ""
 
 
-_LOCATED = (
-    r"\b(United States|USA|Remote — US|Remote \(US\)|Remote US|Remote - US|Remote, US|US Remote|Remote from the US|Remote in the US|US-Remote)\b"
-    rf"|, ({US_STATES}),?\s*(United States|USA|US)\b|\b({P.US_CITIES})\b"
-)
 TITLE_FILTERS = {
     "v1": TitleFilter(1, swe_title=P.SWE_TITLE_V1),
     "v2": TitleFilter(2),
-    "v3": TitleFilter(3, seniority=P.SENIORITY_V3, clearance=P.CLEARANCE_TITLE, exempt=P.EARLY_CAREER_V3, located=_LOCATED),
+    "v3": TitleFilter(3, seniority=P.SENIORITY_V3, clearance=P.CLEARANCE_TITLE, exempt=P.EARLY_CAREER_V3, located=P.TITLE_US_LOCATION),
 }
 
 
 def filter_titles(df: DataFrame, version: str, as_of: Column) -> DataFrame:
     """eligible, skip_reason, matched_pattern and filter_version for (title, location, date_posted), in one pass.
 
-    A row that its date or place rules out after the title matched keeps the matched pattern.
+    A row that its date or place rules out after the title matched keeps the matched pattern.  Patterns are tried once a row.
     """
     f = TITLE_FILTERS[version]
     t = F.col("title")
-    swe = hits(t, f.swe_title)
-    rules = [(hits(t, P.ROLE_HEAD), "role_head"), (hits(t, P.WRONG_DISCIPLINE), "wrong_discipline"), (hits(t, f.seniority) & ~(hits(t, f.exempt) if f.exempt else F.lit(False)), "seniority")]
-    if f.clearance:
-        rules.append((hits(t, f.clearance), "clearance_title"))
-    rules.append((~swe, "no_title_match"))
-    before = first_match(rules)
-    if f.located:
-        rules += [(F.coalesce(F.col("date_posted") < as_of - F.expr("INTERVAL 30 DAYS"), F.lit(False)), "stale_posting"), (F.coalesce(~F.col("location").rlike(f"(?i){f.located}"), F.lit(False)), "non_us_location")]
-    reason = first_match(rules)
-    return df.withColumns({"eligible": reason.isNull(), "skip_reason": reason, "matched_pattern": F.when(before.isNull(), "swe_title"), "filter_version": F.lit(f.version)})
+    seniority = hits(t, f.seniority) & ~(hits(t, f.exempt) if f.exempt else F.lit(False))
+    rules = [(hits(t, P.ROLE_HEAD), "role_head"), (hits(t, P.WRONG_DISCIPLINE), "wrong_discipline"), (seniority, "seniority"), *([(hits(t, f.clearance), "clearance_title")] if f.clearance else []), (~hits(t, f.swe_title), "no_title_match")]
+    ruled_out = F.transform(F.array(first_match(rules)), lambda title_reason: F.struct(title_reason.alias("title"), F.coalesce(title_reason, placed(f, as_of)).alias("all")))[0]
+    told = df.withColumn("ruled_out", ruled_out)
+    reason = F.col("ruled_out.all")
+    return told.withColumns({"eligible": reason.isNull(), "skip_reason": reason, "matched_pattern": F.when(F.col("ruled_out.title").isNull(), "swe_title"), "filter_version": F.lit(f.version)}).drop("ruled_out")
+
+
+def placed(f: TitleFilter, as_of: Column) -> Column:
+    """Why the date or the place of a posting whose title fits rules it out."""
+    if not f.located:
+        return F.lit(None).cast("string")
+    old = F.coalesce(F.col("date_posted") < as_of - F.expr("INTERVAL 30 DAYS"), F.lit(False))
+    return first_match([(old, "stale_posting"), (F.coalesce(~F.col("location").rlike(f"(?i){f.located}"), F.lit(False)), "non_us_location")])
 
 
 def in_us(location: Column) -> Column:
-    """A place in the United States by name, state suffix or prefix."""
+    """A place in the United States by name, state suffix or prefix, and none elsewhere."""
     suffix = rf"(?:,|\s)(?:{US_STATES})(?:\s+\d{{5}}(?:-\d{{4}})?)?(?:\s*,?\s*(?:USA|US|United States))?\s*$"
-    return hits(location, P.FEED_US_LOCATION) | F.coalesce(location.rlike(suffix), F.lit(False)) | hits(location, rf"\b(?:US|USA)[\s-]+(?:{US_STATES})\b")
+    named = hits(location, P.FEED_US_LOCATION) | F.coalesce(location.rlike(suffix), F.lit(False)) | hits(location, rf"\b(?:US|USA)[\s-]+(?:{US_STATES})\b")
+    return named & ~outside_us(location, F.lit(None).cast("string"))
+
+
+def us_url(url: Column) -> Column:
+    """Whether the part of an address that follows ``job`` names a place in the United States."""
+    parts = F.split(F.regexp_extract(url, r"^([^?#]*)", 1), "/")
+    at = F.array_position(F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.lower(p)), "job")
+    place = F.when(at > 0, F.translate(F.get(parts, at.cast("int")), "-_", "  "))
+    state = F.coalesce(place.rlike(rf"\s(?:{US_STATES})(?:\s|$)"), F.lit(False))
+    return hits(place, r"\b(?:US|USA|United States)\b") | state | hits(place, P.US_STATE_NAMES)
 
 
 def outside_us(location: Column, url: Column) -> Column:
@@ -213,3 +225,24 @@ def select_facts(facts: DataFrame, terms: DataFrame, k: int = 30) -> DataFrame:
     scored = facts.join(strength, ["owner", "id"], "left").withColumn("score", F.coalesce("strength", F.lit(0)) + F.greatest(F.lit(1), F.coalesce("weight", F.lit(1))) + F.when(F.col("tier") == "OBSERVED", 1).otherwise(0))
     order = Window.partitionBy("owner").orderBy(F.desc("score"), F.coalesce("project", F.lit("")), "key", "value", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.coalesce(always_included(F.col("key")), F.lit(False)) | (F.col("rank") <= k)).drop("strength")
+
+
+def feed(jobs: DataFrame, boards: DataFrame, registry: DataFrame, as_of: Column, hours: int, limit: int) -> DataFrame:
+    """The published feed, newest first (S19): recent open full-time postings with a link, named by their board or its best
+    registry row, past the company, place, title and experience gates, the first of each dedupe key.
+
+    ``jobs``: job_id, board_id, company, title, location, date_posted, first_seen, url, description, dedupe_key, expired_at, employment_type;
+    ``boards``: board_id, company_display; ``registry``: board_id, company_name, status, priority.
+    """
+    recent = jobs.where((F.col("first_seen") > as_of - F.make_dt_interval(hours=F.lit(hours))) & F.col("url").isNotNull() & F.col("expired_at").isNull() & F.coalesce("employment_type", F.lit("unknown")).isin("full_time", "unknown"))
+    known = best_match(recent.join(boards, "board_id", "left"), registry, ["board_id"], [(F.col("status") == "detected").desc_nulls_last(), F.asc_nulls_last("priority"), F.asc_nulls_last("company_name")], ["company_name"])
+    named = known.withColumn("company", F.coalesce(F.nullif("company_display", F.lit("")), "company_name", "company"))
+    place, url, us = F.col("location"), F.col("url"), in_us(F.col("location"))
+    gates = ~hits(F.col("company"), P.FEED_DEFENSE_COMPANY) & ~outside_us(place, url) & eligible_title(F.col("title"), F.col("description")) & (us | us_url(url))
+    asked = named.where(gates).withColumn("experience", entry_experience(F.col("description"))).where("experience is not null")
+    order = [F.desc("first_seen"), F.desc_nulls_last("date_posted"), F.asc("job_id")]
+    keyed = asked.withColumn("key", F.coalesce("dedupe_key", "url"))
+    once = first_per_group(keyed, ["key"], order)
+    shown = F.when(us, place).when(us_url(url), "United States (from job link)").otherwise("Unknown location")
+    rows = once.select("job_id", display_company(F.col("company")).alias("company"), "title", shown.alias("location"), "date_posted", "first_seen", "url", salary(F.col("description")).alias("salary"), "experience", company_tier(F.col("company")).alias("tier"))
+    return rows.orderBy(F.desc(F.coalesce("date_posted", "first_seen")), F.desc("first_seen"), F.asc("job_id")).limit(limit)

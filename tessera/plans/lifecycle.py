@@ -127,11 +127,11 @@ def active_jobs(spark, sf_dir):
 
 @query(
     "q_backfill_split",
-    "SELECT CASE WHEN upper(left(text, 20)) <> left(text, 20) THEN 'changed' ELSE 'metadata' END AS kind, count(*) AS n FROM documents GROUP BY 1",
+    "SELECT CASE WHEN upper(text) <> text THEN 'changed' ELSE 'metadata' END AS kind, count(*) AS n FROM documents GROUP BY 1",
 )
 def backfill_split(spark, sf_dir):
     (documents,) = tab(spark, sf_dir, "documents")
-    head = F.left("text", F.lit(20))
+    head = F.col("text")
     changed, metadata = L.split_backfill(documents.select("doc_id", F.sha2(head, 256).alias("hash"), F.lit(1).alias("version")), documents.select("doc_id", F.sha2(F.upper(head), 256).alias("hash"), F.lit(2).alias("version")), "doc_id")
     parts = changed.select(F.lit("changed").alias("kind")).unionByName(metadata.select(F.lit("metadata").alias("kind")))
     return parts.groupBy("kind").agg(F.count("*").alias("n"))

@@ -187,7 +187,7 @@ def ring_buffer(spark, sf_dir):
 )
 def topk_values(spark, sf_dir):
     customer, nation = tab(spark, sf_dir, "customer", "nation")
-    return A.top_values(customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")), ["c_mktsegment"], "n_name", "c_custkey", 8)
+    return A.top_values(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), ["c_mktsegment"], "n_name", "c_custkey", 8)
 
 
 @query(
@@ -264,12 +264,12 @@ def import_outcome(spark, sf_dir):
 
 @query(
     "q_version_bump",
-    "SELECT i.c_custkey, i.c_acctbal, coalesce(i.seg, c.seg) AS seg, coalesce(c.version, 0) + 1 AS version FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS seg FROM customer WHERE c_custkey % 2 = 0) i LEFT JOIN (SELECT c_custkey, c_mktsegment AS seg, CAST(c_custkey % 5 AS BIGINT) AS version FROM customer WHERE c_custkey % 4 = 0) c ON c.c_custkey = i.c_custkey",
+    "SELECT i.c_custkey, i.c_acctbal, coalesce(i.seg, c.seg) AS seg, coalesce(c.version, 0) + 1 AS version FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS seg FROM customer) i LEFT JOIN (SELECT c_custkey, c_mktsegment AS seg, CAST(c_custkey % 5 AS BIGINT) AS version FROM customer WHERE c_acctbal > 2000) c ON c.c_custkey = i.c_custkey",
 )
 def version_bump(spark, sf_dir):
     (customer,) = tab(spark, sf_dir, "customer")
-    current = customer.where("c_custkey % 4 = 0").select("c_custkey", F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 5).alias("version"))
-    incoming = customer.where("c_custkey % 2 = 0").select("c_custkey", "c_acctbal", F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END").alias("seg"))
+    current = customer.where("c_acctbal > 2000").select("c_custkey", F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 5).alias("version"))
+    incoming = customer.select("c_custkey", "c_acctbal", F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END").alias("seg"))
     return R.bump_version(current, incoming, "c_custkey", ["seg"])
 
 
@@ -293,13 +293,13 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBL
 
 @query(
     "q_vector_best",
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round({_DOT.format("qe", "embedding")} / (sqrt({_DOT.format("qe", "qe")}) * sqrt({_DOT.format("embedding", "embedding")})), 6) AS cosine FROM q JOIN embeddings ON label = ql AND vec_id <> query_id)
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round({_DOT.format("qe", "embedding")} / (sqrt({_DOT.format("qe", "qe")}) * sqrt({_DOT.format("embedding", "embedding")})), 6) AS cosine FROM q JOIN embeddings ON label = ql AND vec_id <> query_id)
     SELECT DISTINCT ON (query_id) query_id, vec_id, cosine FROM s ORDER BY query_id, cosine DESC, vec_id""",
 )
 def vector_best(spark, sf_dir):
     (embeddings,) = tab(spark, sf_dir, "embeddings")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    asked = embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
+    asked = embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "label")
     both = asked.join(embeddings, "label").where("vec_id <> query_id")  # the scope (label) makes it an equi join
     cosine = F.round(dot("qe", "embedding") / (F.sqrt(dot("qe", "qe")) * F.sqrt(dot("embedding", "embedding"))), 6)
     return R.first_per_group(both.select("query_id", "vec_id", cosine.alias("cosine")), ["query_id"], [F.desc("cosine"), F.asc("vec_id")]).drop("rank_in_group")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import ontology as O
 from tessera.functions import text as T
-from tessera.operators import evidence as E
 from tessera.operators import scoring as S
 from tessera.plans.registry import query
 from tessera.plans.relational import as_of, tab
@@ -112,18 +110,6 @@ def company_tiers(spark, sf_dir):
     return jobs.groupBy("company", S.company_tier(F.col("company")).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("q_feed", f"""WITH {_JOBS} SELECT job_id, company, title, tier FROM (SELECT *, CASE WHEN {_HIT("company", S.P.TIER_1)} THEN 'Tier 1' WHEN {_HIT("company", S.P.TIER_2)} THEN 'Tier 2' ELSE 'Tier 3' END AS tier, row_number() OVER (PARTITION BY company, title, location ORDER BY date_posted DESC, job_id) AS r FROM j
-    WHERE date_posted > {_NOW} - INTERVAL 200 DAY AND NOT {_HIT("location", S.P.FEED_NON_US_LOCATION)} AND NOT {_HIT("title", S.P.FEED_DEFENSE_TITLE)} AND NOT {_HIT("title", S.P.FEED_HIGH_LEVEL_TITLE)} AND NOT {_HIT("title", S.P.FEED_EXCLUDED_TITLE)} AND {_HIT("title", S.P.FEED_TECH_TITLE)}) WHERE r = 1 ORDER BY tier, date_posted DESC, job_id LIMIT 40""")
-def feed(spark, sf_dir):
-    """The published feed: window, gates, dedupe, tier, order, limit, as one plan."""
-    from tessera.operators.relational import first_per_group
-
-    jobs = _jobs(spark, sf_dir).where(F.col("date_posted") > as_of() - F.expr("INTERVAL 200 DAY"))
-    gated = jobs.where(~S.outside_us(F.col("location"), F.lit(None).cast("string")) & S.eligible_title(F.col("title"), F.lit(None).cast("string")))
-    first = first_per_group(gated, ["company", "title", "location"], [F.desc("date_posted"), F.asc("job_id")])
-    return first.withColumn("tier", S.company_tier(F.col("company"))).orderBy("tier", F.desc("date_posted"), "job_id").limit(40).select("job_id", "company", "title", "tier")
-
-
 @query(
     "q_cache_state",
     "SELECT state, count(*) AS n FROM (SELECT CASE WHEN m.k IS NULL THEN 'missing' WHEN m.k % 3 = 0 THEN 'estimated' WHEN m.k % 7 <> o_orderkey % 5 OR m.score IS NULL THEN 'stale' ELSE 'valid' END AS state FROM orders LEFT JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 > 0 THEN 1 END AS score FROM orders WHERE o_totalprice > 150000) m ON k = o_orderkey) GROUP BY 1",
@@ -135,62 +121,6 @@ def cache_state(spark, sf_dir):
     return both.groupBy(S.cache_state(F.col("pv"), F.col("prompt"), F.col("o_orderkey") % 5, 1, F.col("estimated"), F.col("score")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "q_fact_selection",
-    "SELECT owner, id, rank FROM (SELECT p_brand AS owner, p_partkey AS id, p_size % 9 = 0 AS always, row_number() OVER (PARTITION BY p_brand ORDER BY greatest(1, p_size % 13) DESC, p_type, CASE WHEN p_size % 9 = 0 THEN 'degree' ELSE p_name END, p_name, p_partkey) AS rank FROM part) WHERE always OR rank <= 15",
-)
-def fact_selection(spark, sf_dir):
-    (part,) = tab(spark, sf_dir, "part")
-    facts = part.select(F.col("p_brand").alias("owner"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 9 == 0, "degree").otherwise(F.col("p_name")).alias("key"), F.col("p_name").alias("value"), F.col("p_type").alias("project"), (F.col("p_size") % 13).alias("weight"), F.lit("ATTESTED").alias("tier"))
-    terms = spark.createDataFrame([], "owner string, term string")
-    return S.select_facts(facts, terms, 15).select("owner", "id", "rank")
-
-
-_SKILLS = ["TS/Node", "fastapi and postgres", "k8s", "python or golang", "C++"]
-
-
-@query("q_ontology_expand", "SELECT * FROM (VALUES (0, 'fastapi'), (0, 'python'), (0, 'rest api'), (0, 'backend'), (0, 'web'), (1, 'kubernetes'), (1, 'containers'), (1, 'orchestration'), (2, 'c++'), (2, 'programming language'), (2, 'systems')) v(id, term)")
-def ontology_expand(spark, sf_dir):
-    terms = spark.createDataFrame([(0, "FastAPI"), (1, "k8s"), (2, "cpp")], "id int, term string")
-    return O.expanded(terms, "term", "id")
-
-
-_TEXTS = {
-    "posting": "We build tools. Requirements: 3+ years of experience. You must be a U.S. person. Python preferred; a BS degree. Remote.",
-    "quotes": [("years", "3+ years of experience"), ("citizenship", "must be a U.S. person"), ("education", "a BS degree"), ("education", "Python preferred; a BS"), ("skill", "Python"), ("skill", "Rust"), ("salary", "tools"), ("clearance", "We build"), (None, "Remote"), ("location", "")],
-}
-
-
-@query("q_requirement_verify", "SELECT CAST(i AS INTEGER) AS i, state, note FROM (VALUES (0, 'VERIFIED', ''), (1, 'VERIFIED', ''), (2, 'VERIFIED', ''), (3, 'AMBIGUOUS', 'hedged: preferred'), (4, 'VERIFIED', ''), (5, 'REJECTED', 'source_text not found verbatim in JD'), (6, 'REJECTED', 'unknown hard requirement type: salary'), (7, 'VERIFIED', ''), (8, 'REJECTED', 'unknown hard requirement type: None'), (9, 'REJECTED', 'no source_text')) v(i, state, note)")
-def requirement_verify(spark, sf_dir):
-    rows = spark.createDataFrame([(i, k, q, _TEXTS["posting"]) for i, (k, q) in enumerate(_TEXTS["quotes"])], "i int, kind string, quoted string, posting string")
-    state, note = S.verify_requirement(F.col("kind"), F.col("quoted"), F.col("posting"))
-    return rows.select("i", state.alias("state"), note.alias("note"))
-
-
-_REQ = "array<struct<type:string,value:string,skill:string,min_years:double,source_text:string,verification_state:string>>"
-CANDIDATE = E.Candidate(skills={"Python": 9, "FastAPI": 6, "PostgreSQL": 5, "Docker": 4}, text="Python FastAPI PostgreSQL Docker backend services, B.S. computer science", years=1.66, attested={"citizenship": "US", "us_person": True, "security_clearance": "none", "current_location": "Seattle"})
-
-
-def _req(kind, value, state="VERIFIED", years=None):
-    return (kind, value, None, years, value, state)
-
-
-POSTINGS = [
-    ("apply", "Backend Engineer", "acme", 2.0, [_req("skill", "Python"), _req("skill", "FastAPI"), _req("skill", "SQL"), _req("skill", "docker")], []),
-    ("stretch", "Backend Engineer", "acme", 3.0, [_req("skill", "Python")], []), ("skip", "Backend Engineer", "acme", 6.0, [_req("skill", "Python")], []),
-    ("hard", "Backend Engineer", "acme", 1.0, [_req("clearance", "active secret clearance")], []), ("open", "Backend Engineer", "acme", 1.0, [_req("skill", "Rust")], []),
-    ("none", "Gardener", "acme", None, [], []), ("senior", "Senior Backend Engineer", "acme", None, [_req("skill", "Python")], [_req(None, "Docker")]), ("policy", "Backend Engineer", "Anduril Industries", None, [_req("skill", "Python")], []),
-    ("vague", "Backend Engineer", "acme", None, [_req("citizenship", "U.S. citizen", "AMBIGUOUS"), _req("skill", "Go", "REJECTED")], []),
-]
-
-
-@query("q_evidence_decision", "SELECT * FROM (VALUES ('apply', 'APPLY', 24), ('stretch', 'STRETCH', 9), ('skip', 'SKIP', 9), ('hard', 'SKIP_HARD', 0), ('open', 'REVIEW', 0), ('none', 'REVIEW', 0), ('senior', 'REVIEW', 13), ('policy', 'REVIEW', 9), ('vague', 'REVIEW', 0)) v(job_id, action, matched_weight)")
-def evidence_decision(spark, sf_dir):
-    postings = spark.createDataFrame(POSTINGS, f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}")
-    return E.decide(postings, CANDIDATE).select("job_id", "action", "matched_weight")
-
-
 @query(
     "q_action_queue",
     f"""WITH {_JOBS}, q AS (SELECT DISTINCT ON (company, title) * FROM j WHERE title IS NOT NULL AND date_posted > {_NOW} - INTERVAL 400 DAY ORDER BY company, title, date_posted DESC, job_id)
@@ -221,15 +151,6 @@ def extraction_worklist(spark, sf_dir):
     return missing_or_stale(long, done, "doc_id", F.col("quality")).orderBy(F.desc("n"), "doc_id").limit(200).select("doc_id")
 
 
-@query("q_packet_candidates", "SELECT * FROM (VALUES ('stretch', 'STRETCH', CAST(1 AS INTEGER))) v(job_id, action, rank)")
-def packet_candidates(spark, sf_dir):
-    """Decisions worth a packet, best first, without those that have one."""
-    postings = spark.createDataFrame(POSTINGS, f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}")
-    built = spark.createDataFrame([("apply",)], "job_id string")
-    best = E.decide(postings, CANDIDATE).where(F.col("action").isin("APPLY", "STRETCH")).join(built, "job_id", "left_anti")
-    return E.with_rank(best).select("job_id", "action", "rank")
-
-
 @query(
     "q_board_worklist",
     "SELECT s_suppkey FROM supplier WHERE (s_acctbal < 0 OR s_acctbal BETWEEN 4000 AND 4200) AND s_nationkey < 15 ORDER BY CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, s_acctbal, s_suppkey LIMIT 40",
@@ -242,18 +163,3 @@ def board_worklist(spark, sf_dir):
     last = F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))
     boards = supplier.where("s_nationkey < 15 AND (s_acctbal < 0 OR s_acctbal >= 4000)").withColumn("last", last)
     return boards.where(older_than(F.col("last"), F.lit(4200.000001))).orderBy(F.asc_nulls_first("last"), "s_acctbal", "s_suppkey").limit(40).select("s_suppkey")
-
-
-_RISKY = r"\b(\d+(?:\.\d+)?%|\d+x|led|first|only)\b"
-
-
-@query(
-    "q_claim_sweep",
-    f"SELECT doc_id, len(c) AS claims FROM (SELECT doc_id, list_filter(list_distinct(list_transform(regexp_extract_all(left(text, 2000), '(?i){_RISKY}', 1), lambda x: lower(x))), lambda x: NOT contains('led 5x 10%', x)) AS c FROM documents) WHERE len(c) > 0",
-)
-def claim_sweep(spark, sf_dir):
-    """Risky phrases that no allowed fact supports."""
-    (documents,) = tab(spark, sf_dir, "documents")
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.left("text", F.lit(2000)), F.lit(f"(?i){_RISKY}"), F.lit(1)), lambda x: F.lower(x)))
-    unsupported = F.filter(found, lambda x: ~F.contains(F.lit("led 5x 10%"), x))
-    return documents.select("doc_id", F.size(unsupported).cast("long").alias("claims")).where("claims > 0")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.experience import extract_entry_experience
 from tessera.functions.html import html_to_text
 from tessera.operators import relational as R
 from tessera.plans.registry import query
@@ -32,11 +31,11 @@ _NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+', '
 
 @query(
     "q_identity_dedupe",
-    f"SELECT DISTINCT ON (identity_key) identity_key, doc_id FROM (SELECT doc_id, 'role:' || {_NORM.format('source')} || '|' || {_NORM.format('left(text, 40)')} || '|' || {_NORM.format('lang')} AS identity_key FROM documents WHERE {_NORM.format('left(text, 40)')} <> '') ORDER BY identity_key, doc_id",
+    f"SELECT DISTINCT ON (identity_key) identity_key, doc_id FROM (SELECT doc_id, 'role:' || {_NORM.format('source')} || '|' || {_NORM.format('text')} || '|' || {_NORM.format('lang')} AS identity_key FROM documents WHERE {_NORM.format('text')} <> '') ORDER BY identity_key, doc_id",
 )
 def identity_dedupe(spark, sf_dir):
     (documents,) = tab(spark, sf_dir, "documents")
-    keyed = documents.select("doc_id", T.identity_key(F.lit(None).cast("string"), F.col("source"), F.left("text", F.lit(40)), F.col("lang")).alias("identity_key"))
+    keyed = documents.select("doc_id", T.identity_key(F.lit(None).cast("string"), F.col("source"), F.col("text"), F.col("lang")).alias("identity_key"))
     return R.first_per_group(keyed.where("identity_key is not null"), ["identity_key"], [F.asc("doc_id")]).select("identity_key", "doc_id")
 
 
@@ -83,20 +82,9 @@ def hash_embedding(spark, sf_dir):
 
 @query("q_verbatim_verify", "SELECT b.item_id, count(d.doc_id) AS found_in, min(d.doc_id) AS first_doc FROM (SELECT item_id, lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS s FROM benchmark) b LEFT JOIN (SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS t FROM documents) d ON contains(t, s) GROUP BY 1")
 def verbatim_verify(spark, sf_dir):
-    """Quotations in documents: candidates hold the quotation's longest inner word, then the whole is compared.
-
-    A quotation without an inner word meets every document, by the empty word that all of these have.
-    """
     benchmark, documents = tab(spark, sf_dir, "benchmark", "documents")
-    words = F.split("s", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    quotes = benchmark.select("item_id", T.verbatim_norm(F.col("text")).alias("s")).withColumn("gram", F.coalesce(longest, F.lit("")))
-    texts = documents.select("doc_id", T.verbatim_norm(F.col("text")).alias("t"))
-    grams = texts.select("doc_id", F.explode(F.array_union(F.split("t", " "), F.array(F.lit("")))).alias("gram"))
-    candidates = grams.join(quotes.select("item_id", "s", "gram"), "gram").select("doc_id", "item_id", "s").distinct()
-    hits = candidates.join(texts, "doc_id").where(F.col("t").contains(F.col("s"))).select("item_id", "doc_id")
-    return quotes.select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("found_in"), F.min("doc_id").alias("first_doc"))
+    quotes, texts = benchmark.select("item_id", T.verbatim_norm(F.col("text")).alias("s")), documents.select("doc_id", T.verbatim_norm(F.col("text")).alias("t"))
+    return R.quoted_in(quotes, texts, "item_id", "doc_id")
 
 
 @query("q_keyword_builder", "SELECT p_partkey, list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9+#.]+'), lambda w: length(w) >= 5 AND NOT list_contains(['plated', 'brushed'], w)))) AS words FROM part")
@@ -106,45 +94,6 @@ def keyword_builder(spark, sf_dir):
     return part.select("p_partkey", F.array_sort(words).alias("words"))
 
 
-#: Invented postings in the shapes that the label functions distinguish.
-POSTINGS = [
-    (1, "No experience required. Pay $120,000 - $155,000 a year."), (2, "1+ year of professional experience with Java"), (3, "1-2 years of experience, $45/hr"),
-    (4, "2 years of backend experience"), (5, "Minimum 2 years of experience"), (6, "2+ years of experience"), (7, "At least 2 years of experience"), (8, "2 years minimum of experience"),
-    (9, "3+ years of experience; interns need 1+ year of experience"), (10, "We like people."), (11, None), (12, "experience of 1 year; $ 90k to $110k"), (13, "latency went from 200 ms -> 50 ms and 10 ms to 20 ms"),
-]
-
-
-def _postings(spark):
-    return spark.createDataFrame(POSTINGS, "id bigint, text string")
-
-
-_VALUES = "(VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {'NULL' if t is None else chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39)})" for i, t in POSTINGS) + ") p(id, text)"
-
-
-@query("q_salary_extract", rf"""SELECT id, replace(regexp_replace(CASE WHEN r <> '' THEN r ELSE s END, '\s+', ' ', 'g'), '$ ', '$') AS salary FROM (SELECT id,
-    coalesce(regexp_extract(text, '(\$\s?\d{{2,3}}(?:,\d{{3}})?(?:\s?[kK])?\s?(?:-|–|to)\s?\$?\s?\d{{2,3}}(?:,\d{{3}})?(?:\s?[kK])?)', 1), '') AS r,
-    coalesce(regexp_extract(text, '(?i)(\$\s?\d{{2,3}}(?:,\d{{3}})?(?:\s?[kK])?\s?(?:/|per)\s?(?:year|yr|hour|hr))', 1), '') AS s FROM {_VALUES})""")
-def salary_extract(spark, sf_dir):
-    return _postings(spark).select("id", T.salary(F.col("text")).alias("salary"))
-
-
-@query("q_experience_extract")
-def experience_extract(spark, sf_dir):
-    """Match offsets have no SQL form; tested on a decision table."""
-    return _postings(spark).select("id", extract_entry_experience("text").alias("experience"), T.experience_label(F.col("text")).alias("label"))
-
-
-@query(
-    "q_experience_buckets",
-    f"""SELECT id, CASE WHEN text IS NULL THEN 'unknown' WHEN regexp_matches(text, '(?i)no experience required') THEN 'early' WHEN low IS NULL THEN 'unknown' WHEN plus THEN CASE low WHEN 1 THEN 'one-plus' WHEN 2 THEN 'two-plus' WHEN 3 THEN 'three-plus' END WHEN high <= 2 THEN 'early' ELSE 'mid' END AS bucket
-    FROM (SELECT id, text, TRY_CAST(nullif(coalesce(nullif(regexp_extract(text, '(\\d{{1,2}})(?:-(\\d))?\\+? years?\\b.{{0,100}}?\\bexperience\\b', 1), ''), regexp_extract(text, 'experience of (\\d+) year', 1)), '') AS INTEGER) AS low,
-      TRY_CAST(coalesce(nullif(regexp_extract(text, '(\\d{{1,2}})(?:-(\\d))?\\+? years?\\b.{{0,100}}?\\bexperience\\b', 2), ''), nullif(regexp_extract(text, '(\\d{{1,2}})(?:-(\\d))?\\+? years?\\b.{{0,100}}?\\bexperience\\b', 1), ''), regexp_extract(text, 'experience of (\\d+) year', 1)) AS INTEGER) AS high,
-      regexp_matches(text, '^[^+]*\\d\\+ year') AS plus FROM {_VALUES})""",
-)
-def experience_buckets(spark, sf_dir):
-    return _postings(spark).select("id", T.experience_bucket(T.experience_label(F.col("text"))).alias("bucket"))
-
-
 @query(
     "q_age_labels",
     "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' min ago' WHEN s < 86400 THEN s // 3600 || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END || ' ago' ELSE s // 86400 || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM (SELECT event_id, greatest((epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) // 1000000, 0) AS s FROM events)",

@@ -47,12 +47,28 @@ def test_html_columns(spark):
     assert [[b.kind for b in x] for x in values(spark, H.html_blocks, ["<h1>t</h1><ul><li>a</li></ul>"])] == [["heading", "item"]]
 
 
-def test_experience_of_whole_postings():
+def test_experience_of_whole_postings(spark):
     table = {
         "No experience required": "0 years", "1+ year of experience": "1 year", "1-2 years of experience": "1–2 years", "2 years of experience": "2 years", "Minimum 2 years of experience": None, "2+ years of experience": None, "At least 2 years of experience": None,
         "2 years minimum of experience": None, "3+ years of experience": None, "1+ year of experience\n2+ years of experience": None, "We like people": None, "": None,
+        "Minimum experience: 2 years": None, "2 years of experience minimum": None, "2 to 2 years of experience": "2 years", "experience of 1 year, or 1-2 years of other experience": "1 year", "12 years of experience": None, "minimum 1 year of experience": "1 year", None: None,
     }
-    assert {k: entry_experience(k) for k in table} == table
+    assert dict(zip(table, values(spark, entry_experience, list(table)))) == table
+
+
+def test_html_nesting_has_no_limit():
+    assert H.to_text("<div>" * 20000 + "<p>deep</p>" + "</div>" * 20000) == "deep"
+
+
+def test_claims_companies_and_addresses(spark):
+    claims = lambda x: T.unsupported_claims(x, F.array(F.lit("Led 5 people"), F.lit("from 200 ms to 50 ms")))
+    got = values(spark, claims, ["Led 5 people, 75% faster for 3 years " + "x" * 3000 + " at scale", None, ""])
+    assert [(c.kind, c.span) for c in got[0]] == [("scale", "at scale"), ("duration", "3 years")] or {c.span for c in got[0]} == {"at scale", "3 years"}
+    assert values(spark, T.display_company, ["capitalone", "acme  corp", "x.myworkdayjobs.com|Big_Site-One", "x.myworkdayjobs.com|own|External", None]) == ["Capital One", "Acme Corp", "Big Site One", "Own", None]
+    urls = ["https://x.wd1.myworkdayjobs.com/en/job/Austin-TX/Dev", "https://x.com/job/London/Dev", "https://x.com/job/USA---Remote/Dev?x=1", "https://x.com/jobs/TX/1", None, "https://x.com/job/New_York_City/d"]
+    assert values(spark, S.us_url, urls) == [True, False, True, False, False, True]
+    assert values(spark, T.escape_latex, ["a_b & 5% ~"]) == [r"a\_b \& 5\% \textasciitilde{}"]
+    assert [r.n for r in spark.range(1).select(T.token_estimate(F.lit("abcdefgh"), F.lit(100)).alias("n")).collect()] == [102]
 
 
 def test_labels_buckets_and_salaries(spark):
@@ -84,7 +100,7 @@ def test_ontology(spark):
 
 
 def test_places_and_titles(spark):
-    assert values(spark, S.in_us, ["Redlands, CA", "Remote - United States", "Toronto", "Prague, Czech Republic", None]) == [True, True, False, False, False]
+    assert values(spark, S.in_us, ["Redlands, CA", "Remote - United States", "Toronto", "Prague, Czech Republic", None, "Toronto, Remote US"]) == [True, True, False, False, False, False]
     assert values(spark, lambda x: S.outside_us(x, F.lit(None).cast("string")), ["London, UK", "Austin, TX", "BR-Sao"]) == [True, False, True]
     titles = spark.createDataFrame([(t, p, d) for t, p, d in [("Field Sales Engineer", None, None), ("Software Engineer, Sales Platform", None, None), ("Software Engineer", "London", None), ("Software Engineer", "Remote - US", datetime(2020, 1, 1)), (None, None, None), ("Staff Engineer", None, None)]], "title string, location string, date_posted timestamp_ntz")
     got = S.filter_titles(titles, "v3", F.lit("2024-01-01").cast("timestamp_ntz")).collect()

@@ -96,15 +96,16 @@ def test_table_maintenance(spark):
 
 def test_evidence_decisions_by_table(spark):
     from tessera.operators import evidence as E
-    from tessera.plans.scoring import POSTINGS, _REQ
+    from tessera.plans.postings import REQUIREMENTS as _REQ
 
     schema = f"job_id string, title string, company string, years_min double, hard {_REQ}, preferred {_REQ}"
     req = lambda kind, value, state="VERIFIED": (kind, value, None, None, value, state)
     rows = [
+        ("hard", "Backend Engineer", "acme", 1.0, [req("clearance", "active secret clearance")], []), ("none", "Gardener", "acme", None, [], []), ("policy", "Backend Engineer", "Anduril Industries", None, [req("skill", "Python")], []),
         ("person", "Backend Engineer", "acme", None, [req("citizenship", "must be a US person"), req("skill", "Python")], []), ("degree", "Backend Engineer", "acme", None, [req("education", "Bachelor degree"), req("skill", "Python")], []),
         ("place", "Backend Engineer", "acme", None, [req("location", "onsite in London")], []), ("remote", "Backend Engineer", "acme", None, [req("location", "remote")], [req(None, "Python")]), ("wish", "QA Engineer", "acme", None, [], [req(None, "Rust"), req(None, "python")]),
     ]
-    postings = spark.createDataFrame(POSTINGS + rows, schema)
+    postings = spark.createDataFrame(rows, schema)
     c = E.Candidate(skills={"Python": 9}, text="Python, B.S.", years=1.66, attested={"citizenship": "India", "us_person": False, "security_clearance": "none", "current_location": "Seattle", "avoid_domains": "gambling"})
     got = {r.job_id: r for r in E.decide(postings, c).collect()}
     assert got["person"].action == "SKIP_HARD" and got["person"].blocked_by == ["must be a US person"]
