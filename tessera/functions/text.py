@@ -195,8 +195,11 @@ def display_company(x: Column) -> Column:
 
 def risky_claims(x: Column) -> Column:
     """kind and span of every phrase that claims a measure, a team, ownership, scale or a duration."""
-    each = [F.transform(F.regexp_extract_all(x, F.lit(f"(?i){p}"), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("span"))) for kind, p in P.RISKS.items()]
-    return F.concat(*each)
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(x, F.lit(f"(?i){pattern}"), F.lit(0)), lambda span: F.struct(F.lit(kind).alias("kind"), span.alias("span")))
+
+    return F.concat(*[of(kind, p) for kind, p in P.RISKS.items()])
 
 
 def unsupported_claims(x: Column, facts: Column) -> Column:
