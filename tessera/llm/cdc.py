@@ -6,8 +6,8 @@ where the hash's upper bits are zero (but not before ``MIN_BYTES``, and at
 ``MAX_BYTES`` at last), so an insertion moves the ends near it only and the chunks
 after it stay what they were.  Chunks are compared by 128-bit digests.  A chunk is
 a repeat if a document with a smaller id has it, or its own document has it
-earlier; repeats are removed where consecutive ones span ``MIN_RUN`` bytes or more,
-so that short common phrases stay.
+earlier, and repeats are removed.  ``min_run`` can ask for runs of repeats that span so
+many bytes at least, so that short common phrases stay.
 
 A document's own repeats are seen in its task; between documents there is one
 row for each digest and document.  The smallest id of each digest is found by an
@@ -33,12 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, small_batches
+from tessera.llm.common import batch, cut, small_batches
 
 MIN_BYTES, MAX_BYTES = 24, 192
 #: Upper bits that are zero where a chunk ends: one place in 32.
 END_BITS = 5
-MIN_RUN = 100
 
 
 @cache
@@ -99,7 +98,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), b.column(0).take(rows), b.column(2).take(rows), pa.array(places, pa.int32())], names=["d1", "d2", "doc_id", "version", "at"])
 
 
-def kept_parts(data: bytes, repeats: set[int]) -> tuple[int, int, int, bytes]:
+def kept_parts(data: bytes, repeats: set[int], min_run: int = 0) -> tuple[int, int, int, bytes]:
     """Chunks, removed bytes, removed runs and what is left, if the chunks ``repeats`` are also in documents before this one."""
     ends, digests = chunks(data)
     starts, seen, runs = [0, *ends], {}, []
@@ -110,7 +109,7 @@ def kept_parts(data: bytes, repeats: set[int]) -> tuple[int, int, int, bytes]:
                 runs[-1][1] = ends[i]
             else:
                 runs.append([starts[i], ends[i]])
-    runs = [r for r in runs if r[1] - r[0] >= MIN_RUN]
+    runs = [r for r in runs if r[1] - r[0] >= min_run]
     left, at = [], 0
     for a, z in runs:
         left.append(data[at:a])
@@ -119,16 +118,18 @@ def kept_parts(data: bytes, repeats: set[int]) -> tuple[int, int, int, bytes]:
     return len(ends), sum(z - a for a, z in runs), len(runs), b"".join(left)
 
 
-def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False, min_run: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept_sha256 of every row, and what is left of its text if asked for.
 
     What is left is decoded as UTF-8 with broken characters replaced; the digest is that of the bytes.
     """
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version"))
+    text = F.col(f"`{text_col}`")
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", "version").mapInArrow(_emit, f"d1 bigint, d2 bigint, doc_id {kind}, version bigint, at int")
-    first = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("d1", "d2", "first_id")
+    # written first, so that the join on digests is one that Spark can split where many documents share a chunk
+    first = cut(rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("d1", "d2", "first_id"))
     repeats = rows.join(first, ["d1", "d2"]).where("doc_id is null or doc_id > first_id")
     lists = repeats.groupBy("doc_id", "version").agg(F.collect_set("at").alias("ats")).select(F.col("doc_id").alias("r_id"), F.col("version").alias("r_version"), "ats")
     both = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("version").eqNullSafe(F.col("r_version")), "left").select("doc_id", "text", "ats")
@@ -138,7 +139,7 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep_te
             out = []
             for doc_id, text, ats in zip(*(c.to_pylist() for c in b.columns)):
                 data = (text or "").encode("utf-8")
-                n, removed, spans, left = kept_parts(data, set(ats or ()))
+                n, removed, spans, left = kept_parts(data, set(ats or ()), min_run)
                 out.append((doc_id, len(data), n, removed, spans, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "replace")] if keep_text else [])))
             schema = pa.schema([pa.field("doc_id", b.column(0).type), *[(c, pa.int64()) for c in ("n_bytes", "n_chunks", "n_removed", "n_spans")], ("kept_sha256", pa.string()), *([("kept", pa.string())] if keep_text else [])])
             yield batch(schema, list(zip(*out)) or [[] for _ in schema])

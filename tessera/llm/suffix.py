@@ -97,14 +97,11 @@ def collection_bwt(strings: list[bytes], least: int = LENGTH) -> tuple[np.ndarra
         # suffixes of `done` symbols begin with the transform's symbols in the rows of those of done - 1
         order = np.argsort(bwt, kind="stable")
         first = np.concatenate([[0], np.cumsum(counts)])
-        symbol = bwt[rows].astype(np.int64)
-        by_place = np.lexsort((rows, symbol))
-        active, rows, symbol = active[by_place], rows[by_place], symbol[by_place]
-        rank = np.empty(len(rows), dtype=np.int64)
-        cuts = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
-            c = symbol[a]
-            rank[a:z] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], rows[a:z])
+        symbol = bwt[rows]
+        by_place = np.argsort(symbol, kind="stable")  # the rows are in order already
+        active, rows, symbol = active[by_place], rows[by_place], symbol[by_place].astype(np.int64)
+        # where (symbol, row) stands among all symbols with their rows
+        rank = np.searchsorted(np.repeat(np.arange(256) * len(bwt), counts) + order, symbol * len(bwt) + rows)
         # common prefixes with the suffix before, and of the suffix after with this one
         padded = np.append(lcp, 0)
         has_before = rank > first[symbol]
@@ -483,6 +480,7 @@ def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_sp
     text, given = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     last = F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID))
     docs = df.select(given.alias("doc_id"), F.coalesce(given.try_cast("long"), last).alias("rid"), F.xxhash64(text).alias("version"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.where("rid is not null")  # always so; said here, as joins would say it for some uses of the dealt texts and not for others
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = shuffle_parts(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
