@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of a text: each byte shifts it and adds the
 byte's random number, so after 32 bytes nothing older is left in it.  A chunk ends
 where the hash's upper bits are zero (but not before ``MIN_BYTES``, and at
-``MAX_BYTES`` at last), so an insertion moves the ends near it only and the chunks
+``MAX_BYTES`` at last; a short rest belongs to the chunk before it), so an insertion moves the ends near it only and the chunks
 after it stay what they were.  Chunks are compared by 128-bit digests.  A chunk is
 a repeat if a document with a smaller id has it, or its own document has it
 earlier, and repeats are removed.  ``min_run`` can ask for runs of repeats that span so
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, cut, small_batches
 
-MIN_BYTES, MAX_BYTES = 24, 192
-#: Upper bits that are zero where a chunk ends: one place in 32.
-END_BITS = 5
+MIN_BYTES, MAX_BYTES = 64, 256
+#: Upper bits that are zero where a chunk ends: one place in 16.
+END_BITS = 4
 
 
 @cache
@@ -68,6 +68,8 @@ def chunk_ends(data: bytes) -> list[int]:
             start += MAX_BYTES
             out.append(start)
         if end - start >= MIN_BYTES or end == n and end > start:
+            if end - start < MIN_BYTES and out and end - (out[-2] if len(out) > 1 else 0) <= MAX_BYTES:
+                out.pop()  # a short rest belongs to the chunk before it
             out.append(end)
             start = end
     return out

@@ -132,6 +132,31 @@ def test_chunk_dedup_keeps_the_first(spark, docs, none):
     assert cdc.dedup(clashing(docs)).count() == docs.count() and cdc.dedup(none).count() == 0
 
 
+def chunk_dedup_by_force(rows):
+    """Remove every chunk that an earlier document (by id) or an earlier place of its own has, one after the other."""
+    out, seen = {}, set()
+    for i, t in sorted((i, (t or "").encode()) for i, t in rows):
+        at, left, own = 0, b"", set()
+        for end in cdc.chunk_ends(t):
+            c = t[at:end]
+            if c not in seen and c not in own:
+                left += c
+            own.add(c)
+            at = end
+        seen |= own
+        out[i] = (len(t), len(t) - len(left), hashlib.sha256(left).hexdigest())
+    return out
+
+
+def test_chunk_dedup_is_brute_force(spark):
+    passage, r = words(90, 3), random.Random(2)
+    rows = [(i, words(r.randint(0, 80), 500 + i) + (" " + passage) * (i % 3) + words(r.randint(0, 40), 600 + i)) for i in range(20)] + [(30, None), (31, ""), (32, "short"), (33, "short"), (34, "ab" * 400)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in cdc.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == chunk_dedup_by_force(rows) and got[33][1] == 5
+    asked = {x.doc_id: x.n_removed for x in cdc.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_run=100).collect()}
+    assert asked[33] == 0 and all(asked[i] <= got[i][1] for i in asked)
+
+
 # nearest neighbours
 
 
