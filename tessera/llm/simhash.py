@@ -208,6 +208,8 @@ SKETCH_BITS = 42
 #: in another round while the buckets still hold more pairs than this for each row that are not connected and the last round linked
 #: one row in ``WORTH`` or more, so many rounds at most.  Pairs that are left are all compared.
 SMALL, LEADERS, CROWDED, WORTH, STAR_ROUNDS = 32, 3, 64, 50, 12
+#: Bytes of the texts of candidate pairs that are sent to every task, at most; more are joined.
+SENT_BYTES = 16 << 20
 _r = np.random.default_rng(SEED)
 _ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
@@ -276,8 +278,12 @@ def _small_pairs(met: DataFrame) -> DataFrame:
 
 
 def _star(large: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each large bucket's leaders, others each turn, with the bucket's rows that aren't connected with them."""
-    order = lambda i: F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)).alias("h"), "node", "label", "n", "a", "z")
+    """Pairs of each large bucket's leaders with the bucket's rows that aren't connected with them.
+
+    One leader is the row that meets most others in all its buckets (the text that others are copies of meets more than
+    these meet each other); the rest are others each turn.
+    """
+    order = lambda i: F.struct((F.xxhash64("node", F.lit(turn * LEADERS + i)) if i else -F.col("meets")).alias("h"), "node", "label", "n", "a", "z")
     least = large.groupBy("key").agg(*[F.min(order(i)).alias(f"x{i}") for i in range(LEADERS)])
     leader = cut(least.select("key", F.explode(F.array(*[f"x{i}" for i in range(LEADERS)])).alias("x")).select("key", "x.*").distinct())
     return large.alias("y").join(leader.alias("x"), "key").where((F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
@@ -329,13 +335,16 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     # the sizes are written first: a join with them is then one that Spark can split
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = cut(keys.join(sizes, "key"))
-    large = met.where(F.col("size") > SMALL).withColumn("label", F.col("node"))
+    big = met.where(F.col("size") > SMALL)
+    large = cut(big.join(big.groupBy("node").agg(F.sum("size").alias("meets")), "node").withColumn("label", F.col("node")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         one = nodes.join(asked, "node").select("node", "row_id", "row_version")
         texts = cut(source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"]))
+        if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= SENT_BYTES:
+            texts = F.broadcast(texts)
         held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
         return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint"))
 
