@@ -13,8 +13,11 @@ from tessera.operators import lifecycle as L
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for checkpoints and results: in the shared folder the cluster names, or a temporary one if it names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder for checkpoints and results: in the shared folder the cluster names, or a temporary one on a single machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    top = top or tempfile.mkdtemp(prefix="spark-stream-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
