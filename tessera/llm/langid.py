@@ -21,7 +21,7 @@ language that sorts first; repeated rows give one row each.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +42,10 @@ CACHE_SCORES = 1_000_000
 CACHE_CHUNK_CHARS = 64
 #: Scores of words and of n-grams that a worker remembers written out for all languages.
 RECENT_SCORES = 100_000
+#: Scores of stretches of unknown words that a worker remembers, after backing off.
+STRETCH_SCORES = 800_000
+#: Different words or n-grams that a task counts before it hands its counts on.
+COUNTED = 200_000
 #: Words that count as evidence at most, for the score; more would always give 1.
 EVIDENCE_WORDS = 12
 UNDETERMINED = "und"
@@ -53,12 +57,10 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def grams(word: str) -> Iterator[str]:
+def grams(word: str) -> list[str]:
     """Every n-gram of 1 to ``MAX_GRAM`` letters of the word between its end marks."""
     w = f"^{word}$"
-    for n in range(1, MAX_GRAM + 1):
-        for i in range(len(w) - n + 1):
-            yield w[i : i + n]
+    return [w[i : i + n] for n in range(1, MAX_GRAM + 1) for i in range(len(w) - n + 1)]
 
 
 @dataclass
@@ -91,28 +93,29 @@ class Model:
     langs: list[str]
     words: Table
     grams: Table
+    stretches: dict[str, list[float]] = field(default_factory=dict)
+
+    def score_stretch(self, stretch: str) -> list[float]:
+        """The scores of the longest known n-gram that a stretch of ``MAX_GRAM`` letters (or a shorter word) starts with."""
+        known = next((x for size in range(MAX_GRAM, 0, -1) if (x := self.grams.scores(stretch[:size])) is not None), self.grams.floor)
+        if len(self.stretches) * len(known) < STRETCH_SCORES:
+            self.stretches[stretch] = known
+        return known
 
     def score_word(self, word: str) -> list[float]:
         if (known := self.words.scores(word)) is not None:
             return known
-        w, total, n = f"^{word}$", [0.0] * len(self.langs), 0
-        scores, floor = self.grams.scores, self.grams.floor
-        for i in range(max(1, len(w) - MAX_GRAM + 1)):
-            for size in range(MAX_GRAM, 0, -1):
-                if (known := scores(w[i : i + size])) is not None:
-                    break
-            else:
-                known = floor
-            total = [x + y for x, y in zip(total, known)]
-            n += 1
-        return [x / n for x in total]
+        w, get = f"^{word}$", self.stretches.get
+        stretches = [w[i : i + MAX_GRAM] for i in range(max(1, len(w) - MAX_GRAM + 1))]
+        n = len(stretches)
+        return [sum(x) / n for x in zip(*[get(s) or self.score_stretch(s) for s in stretches])]
 
     def score_chunk(self, chunk: str) -> list[float]:
         """Sums of the scores of the words of a text, and the number of words."""
-        out = [0.0] * (len(self.langs) + 1)
-        for word in _WORD.findall(chunk):
-            out = [x + y for x, y in zip(out, (*self.score_word(word), 1.0))]
-        return out
+        words = _WORD.findall(chunk)
+        if not words:
+            return [0.0] * (len(self.langs) + 1)
+        return [*map(sum, zip(*map(self.score_word, words))), float(len(words))]
 
 
 class Scorer:
@@ -150,23 +153,35 @@ class Scorer:
         return self.model.langs[best], float(e[best] / e.sum())
 
 
+def _counts(schema: pa.Schema, found: dict[str, Counter]) -> pa.RecordBatch:
+    """Rows of (lang, key, n) of what was counted, which starts anew."""
+    columns = [[lang for lang, c in found.items() for _ in c], [k for c in found.values() for k in c], [n for c in found.values() for n in c.values()]]
+    found.clear()
+    return batch(schema, columns)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    found: dict[str, Counter] = defaultdict(Counter)
     for b in batches:
-        found: Counter = Counter()
         for lang, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-            found.update([(lang, w) for w in _WORD.findall(text.lower())])
-        yield batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+            found[lang].update(_WORD.findall(text.lower()))
+        if sum(map(len, found.values())) > COUNTED:
+            yield _counts(schema, found)
+    yield _counts(schema, found)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    found: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
     for b in batches:
-        found: Counter = Counter()
         for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
+            counts = found[lang]
             for g in grams(word):
-                found[lang, g] += n
-        yield batch(schema, [[k[0] for k in found], [k[1] for k in found], list(found.values())])
+                counts[g] += n
+        if sum(map(len, found.values())) > COUNTED:
+            yield _counts(schema, found)
+    yield _counts(schema, found)
 
 
 def _table(rows: list[tuple[str, str, int]], langs: list[str]) -> Table:
