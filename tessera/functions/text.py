@@ -172,9 +172,9 @@ def escape_latex(x: Column) -> Column:
 
 
 def bool_text(x: Column) -> Column:
-    """true or false if the text says so, else null."""
+    """true or false in small letters if the text says so, else the text itself (F22); a column has one type, so both are text."""
     t = F.lower(F.trim(x))
-    return F.when(t == "true", True).when(t == "false", False)
+    return F.when(t.isin("true", "false"), t).otherwise(x)
 
 
 def token_estimate(x: Column, answer: Column) -> Column:
@@ -234,6 +234,12 @@ def keywords(x: Column, stop: list[str], least: int) -> Column:
     return F.array_distinct(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(",.()"))), lambda w: (F.length(w) >= least) & ~w.isin(stop)))
 
 
+def split_keywords(x: Column, stop: list[str], least: int) -> Column:
+    """The same of what stands between white space, without punctuation at its ends."""
+    words = F.transform(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: F.lower(F.btrim(w, F.lit(",.()"))))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(stop)))
+
+
 def keyword_score(words: Column, title: Column, body: Column) -> Column:
     """3 for each word in the title and 1 for each in the body."""
     t, b = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(body, F.lit("")))

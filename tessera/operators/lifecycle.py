@@ -134,6 +134,19 @@ def run_rollup(polls: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: States that a poll of a run ends in, and what is summed over its polls.
+RUN_STATUSES = ["ok", "not_modified", "unchanged_hash", "empty", "failed", "dead"]
+RUN_SUMS = ["new_jobs", "updated_jobs", "expired_jobs", "reappeared_jobs", "detail_fetches"]
+
+
+def run_counters(polls: DataFrame, keys: list[str]) -> DataFrame:
+    """The whole row of a finished run: polls (status, latency, RUN_SUMS) by status, sums, and latencies that were measured."""
+    measured = lambda share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY CASE WHEN latency >= 0 THEN latency END)")
+    return polls.groupBy(*keys).agg(
+        F.count("*").alias("boards_polled"), *[F.count_if(F.col("status") == s).alias(s) for s in RUN_STATUSES], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RUN_SUMS], measured(0.5).alias("p50"), measured(0.95).alias("p95")
+    )
+
+
 def reuse_active(jobs: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The latest queued or running job of each key."""
     return first_per_group(jobs.where(F.col("status").isin("queued", "running")), [key], order)

@@ -82,7 +82,7 @@ def test_labels_buckets_and_salaries(spark):
 def test_small_expressions(spark):
     assert values(spark, T.compact, ["  a  b\n", None]) == ["a b", ""]
     assert values(spark, T.title_case, ["new-york o'neil"]) == ["New-York O'Neil"]
-    assert values(spark, T.bool_text, [" True", "false", "x"]) == [True, False, None]
+    assert values(spark, T.bool_text, [" True", "false", "x", None]) == ["true", "false", "x", None]
     assert values(spark, T.escape_pipe, ["a|b\nc"]) == ["a\\|b c"] and values(spark, T.escape_html, ['<a b="c">&']) == ["&lt;a b=&quot;c&quot;&gt;&amp;"]
     assert values(spark, T.json_body, ['```json\n{"a": {"b": 1}}\n```', "no"]) == ['{"a": {"b": 1}}', None]
     assert values(spark, T.company_slugs, ["Smith & Co."])[0][:3] == ["smith-and-co", "smithandco", "smith_and_co"]
