@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, phrases, secrets, simhash, suffix, warc
+from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, phrases, secrets, simhash, suffix, variants, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,11 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with the form that it is a variant of."""
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -80,10 +85,12 @@ QUERIES = {
     "op8_warc_roundtrip": op8_warc_roundtrip,
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_secret_ledger": secrets.ORACLE_SQL,
+    "op11_spelling_variants": variants.ORACLE_SQL,
     "op13_phrase_collocations": phrases.ORACLE_SQL,
 }
