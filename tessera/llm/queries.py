@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cdc, hnsw, imatch, langid, mixing, phrases, secrets, simhash, suffix, variants, warc
+from tessera.llm import bpe, cdc, extract, hnsw, imatch, langid, mixing, phrases, secrets, simhash, suffix, variants, warc
 from tessera.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +69,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.grouped(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_imatch_fingerprints": op10_imatch_fingerprints,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_extraction": op12_html_extraction,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
