@@ -127,34 +127,10 @@ def _sendable(df: DataFrame, text: Column) -> bool:
     return (df.agg(F.sum(F.length(text))).first()[0] or 0) <= SENT_CHARS
 
 
-def run_lengths(x: Column) -> Column:
-    """item and overlap (how often it occurs) of the distinct values of an array, from one sort."""
-    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  worked out once
-
-    def of(s: Column, begins: Column) -> Column:
-        ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(s) + 1))
-        return F.zip_with(begins, ends, lambda a, z: F.struct(F.element_at(s, a).alias("item"), (z - a).cast("long").alias("overlap")))
-
-    begins = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    return let(F.array_sort(x), lambda s: F.when(F.size(s) > 0, let(begins(s), lambda b: of(s, b))))
-
-
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", n: int = 10) -> DataFrame:
-    """For each left row its ``n`` right rows with most shared tokens.
-
-    If the left side is small (its size is checked), its tokens go to every task as one map from a token to the rows that
-    have it; each right row is counted where it is, and only the best ``n`` of a task are shuffled.  Else it is an equi join on tokens.
-    """
-    a = left.select(left_id, F.explode(F.array_distinct(tokens)).alias("token"))
-    if _sendable(left, F.array_join(tokens, " ")):
-        owners = a.groupBy("token").agg(F.collect_list(left_id).alias("owners"))
-        table = owners.agg(F.map_from_entries(F.collect_list(F.struct("token", "owners"))).alias("owners_of"))
-        met = right.select(right_id, F.array_distinct(tokens).alias("own")).crossJoin(F.broadcast(table))
-        found = F.flatten(F.filter(F.transform("own", lambda t: F.try_element_at("owners_of", t)), lambda o: o.isNotNull()))
-        hits = met.select(right_id, F.explode(run_lengths(found)).alias("x")).select(F.col("x.item").alias(left_id), right_id, "x.overlap")
-    else:
-        b = right.select(right_id, F.explode(F.array_distinct(tokens)).alias("token"))
-        hits = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("overlap"))
+    """For each left row its ``n`` right rows with most shared tokens (R35, R36): an equi join on tokens, counted and ranked."""
+    a, b = (d.select(key, F.explode(F.array_distinct(tokens)).alias("token")) for d, key in ((left, left_id), (right, right_id)))
+    hits = a.join(b, "token").groupBy(left_id, right_id).agg(F.count("*").alias("overlap"))
     return first_per_group(hits, [left_id], [F.desc("overlap"), F.asc(right_id)], n)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ontology as O
 from tessera.functions import rules as P
 from tessera.functions.experience import entry_experience
+from tessera.functions.expressions import computed
 from tessera.functions.text import US_STATES, display_company, matcher_norm, salary, verbatim_norm
 from tessera.operators.relational import best_match, first_per_group
 
@@ -239,7 +240,7 @@ def feed(jobs: DataFrame, boards: DataFrame, registry: DataFrame, as_of: Column,
     named = known.withColumn("company", F.coalesce(F.nullif("company_display", F.lit("")), "company_name", "company"))
     place, url, us = F.col("location"), F.col("url"), in_us(F.col("location"))
     gates = ~hits(F.col("company"), P.FEED_DEFENSE_COMPANY) & ~outside_us(place, url) & eligible_title(F.col("title"), F.col("description")) & (us | us_url(url))
-    asked = named.where(gates).withColumn("experience", entry_experience(F.col("description"))).where("experience is not null")
+    asked = computed(named.where(gates), experience=entry_experience(F.col("description"))).where("experience is not null")
     order = [F.desc("first_seen"), F.desc_nulls_last("date_posted"), F.asc("job_id")]
     keyed = asked.withColumn("key", F.coalesce("dedupe_key", "url"))
     once = first_per_group(keyed, ["key"], order)

@@ -65,17 +65,6 @@ def keyword_score(spark, sf_dir):
     return rows.where("score >= 3 OR hits = 0").select("p_partkey", "score", S.fallback_score(F.col("hits")).alias("fallback"))
 
 
-@query("q_fts_rank")
-def fts_rank(spark, sf_dir):
-    """OR search over stemmed words, ranked by matching positions; a stemmer has no SQL form."""
-    (documents,) = tab(spark, sf_dir, "documents")
-    stem = lambda w: F.regexp_replace(w, "(ings?|ions?|ed|es|s|ly)$", "")
-    wanted = F.array(*[stem(F.lit(w)) for w in ("station", "nations", "handed")])
-    stems = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), stem)
-    rows = documents.select("doc_id", F.size(F.filter(stems, lambda w: F.array_contains(wanted, w))).alias("rank"))
-    return rows.where("rank > 0").orderBy(F.desc("rank"), "doc_id")
-
-
 _NOW = "TIMESTAMP '2001-08-01'"
 
 
