@@ -16,7 +16,8 @@ is sent to them: the largest count of a frequent word in each slot of a hash.  I
 size doesn't depend on the data.  Words that share a slot may look more frequent
 than they are; that costs pruning and never changes a count, for all that is needed
 is one order of words which all tasks agree on.  Fragments carry words as 64-bit
-hashes; two frequent words of a language with one hash are an error.
+hashes, the ``COMMON`` most frequent ones (sent too) as numbers; two frequent words of a
+language with one hash are an error.
 
 Defined results: a null text is the empty text, a null language is ``und``; rows with
 equal texts count as often as they come; words are what stands between spaces and
@@ -42,10 +43,12 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 TABLE_BITS = 21
+#: Words that fragments name by a short number.
+COMMON = 1 << 18
 #: Occurrences of a pivot from which its fragments are dealt over several buckets, and fragments that a bucket should have.
 CROWD, BUCKET = 250_000, 500_000
 #: Distinct words, and words, that a task holds before it hands them on.
-FLUSH_WORDS, FLUSH_TOKENS = 400_000, 1_500_000
+FLUSH_WORDS, FLUSH_TOKENS = 400_000, 2_500_000
 SEED = 42
 BREAK, SPACE = b"\n", b" "
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -110,6 +113,12 @@ def frequency_table(frequent: DataFrame) -> np.ndarray:
     return table
 
 
+def common_words(frequent: DataFrame) -> np.ndarray:
+    """The hashes, sorted, of the ``COMMON`` most frequent words of all languages."""
+    own = frequent.groupBy(F.xxhash64("word").alias("hash")).agg(F.max("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON)
+    return np.sort(own.select("hash").toArrow()["hash"].to_numpy())
+
+
 class _Words(dict):
     """Word -> number, from 2 on, as words come; 0 for what stands between spaces, 1 for the end of a piece."""
 
@@ -139,22 +148,38 @@ def fragments(x: np.ndarray, reach: int = LONGEST - 1) -> tuple[np.ndarray, np.n
     return at[some] - reach, out[some]
 
 
-def _pack(frags: np.ndarray, weights: np.ndarray, hashes: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
-    used, local = np.unique(frags, return_inverse=True)
-    hashes = np.where(used >= 0, hashes[used], 0)  # the place before all others is that of -1, if there is one
-    local = (local.reshape(frags.shape) + (used[0] >= 0)).astype(np.uint32 if len(used) > 65_000 else np.uint16)
-    body = hashes[used >= 0].astype("<i8").tobytes() + np.ascontiguousarray(local.T).tobytes() + weights.astype("<i4").tobytes()
-    return z.compress(struct.pack("<IIB", int((used >= 0).sum()), len(frags), local.itemsize) + body)
-
+def _pack(frags: np.ndarray, weights: np.ndarray, hashes: np.ndarray, common: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
+    """Fragments in the order of pivot and neighbours, equal ones as one with their weights' sum, column by column, after their words.
 
-def _unpack(blob: bytes, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    A word is told by its place among the common ones or, if it isn't one, by its hash.
+    """
+    used, local = np.unique(frags, return_inverse=True)
+    none = int(used[0] < 0)  # -1, if there is one, comes before all others
+    words = hashes[used[none:]]
+    place = np.minimum(np.searchsorted(common, words), len(common) - 1)
+    rare = common[place] != words if len(common) else np.ones(len(words), bool)
+    order = np.lexsort((words, rare))
+    number = np.zeros(len(used), np.uint32 if len(used) > 65_000 else np.uint16)
+    number[none + order] = np.arange(1, len(words) + 1)
+    local, middle = number[local].reshape(frags.shape), LONGEST - 1
+    rows = np.lexsort([local[:, middle + side * j] for j in range(middle, 0, -1) for side in (-1, 1)] + [local[:, middle]])
+    local, weights = local[rows], weights[rows]
+    first = np.flatnonzero(np.append(True, (local[1:] != local[:-1]).any(axis=1)))
+    local, weights = local[first], np.add.reduceat(weights.astype(np.int64), first)
+    steps = np.diff(place[order][: len(words) - int(rare.sum())], prepend=0).astype("<u4")
+    body = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + words[order][len(steps) :].astype("<i8").tobytes() + np.ascontiguousarray(local.T).tobytes() + weights.astype("<i8").tobytes()
+    return z.compress(struct.pack("<IIIB", len(steps), len(words) - len(steps), len(local), local.itemsize) + body)
+
+
+def _unpack(blob: bytes, common: np.ndarray, z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, fragments (numbers of hashes, -1 for none) and weights."""
     data = z.decompress(blob)
-    words, rows, size = struct.unpack_from("<IIB", data)
-    at, width = 9, 2 * LONGEST - 1
-    hashes = np.frombuffer(data, "<i8", words, at)
-    local = np.frombuffer(data, f"<u{size}", width * rows, at + 8 * words).reshape(width, rows).T.astype(np.int64) - 1
-    return hashes, local, np.frombuffer(data, "<i4", rows, at + 8 * words + size * width * rows)
+    known, rare, rows, size = struct.unpack_from("<IIIB", data)
+    at, width = 13, 2 * LONGEST - 1
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * known, at).reshape(4, known).T).view("<u4").reshape(-1)
+    hashes = np.concatenate([common[np.cumsum(steps, dtype=np.int64)], np.frombuffer(data, "<i8", rare, at := at + 4 * known)])
+    local = np.frombuffer(data, f"<u{size}", width * rows, at := at + 8 * rare).reshape(width, rows).T.astype(np.int64) - 1
+    return hashes, local, np.frombuffer(data, "<i8", rows, at + size * width * rows)
 
 
 def _route(shared, buckets: int, crowd_size: int):
@@ -162,7 +187,7 @@ def _route(shared, buckets: int, crowd_size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("crowded", pa.bool_()), ("packed", pa.binary())])
-        table, z, words, held, size = shared.value, zstandard.ZstdCompressor(level=3), _Words(), {}, 0
+        (table, common), z, words, held, size = shared.value, zstandard.ZstdCompressor(level=6), _Words(), {}, 0
 
         def flush():
             hashes = np.array(words.hashes, np.uint64).view(np.int64)
@@ -189,7 +214,7 @@ def _route(shared, buckets: int, crowd_size: int):
                 by = np.argsort(bucket, kind="stable")
                 bounds = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
                 sorted_hashes, weights = hashes[order], times[at]
-                out = [(int(b) // 2, lang, bool(b % 2), _pack(frags[part], weights[part], sorted_hashes, z)) for part in np.split(by, bounds[1:-1]) for b in bucket[part[:1]]]
+                out = [(int(b) // 2, lang, bool(b % 2), _pack(frags[part], weights[part], sorted_hashes, common, z)) for part in np.split(by, bounds[1:-1]) for b in bucket[part[:1]]]
                 for i in range(0, len(out), 64):
                     yield batch(schema, list(zip(*out[i : i + 64])))
             held.clear()
@@ -231,12 +256,12 @@ def mine(frags: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[n
             state[left, right] = rows[keep], code[keep]
 
 
-def _mine_buckets(least: int):
+def _mine_buckets(shared, least: int):
     """Rows of _route, sorted by bucket, language and crowded -> lang, words (hashes), a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.int64())), ("a", pa.int64())])
-        z, key, held = zstandard.ZstdDecompressor(), None, []
+        common, z, key, held = shared.value[1], zstandard.ZstdDecompressor(), None, []
 
         def flush():
             if not held:
@@ -258,7 +283,7 @@ def _mine_buckets(least: int):
                 if own != key:
                     yield from flush()
                     key = own
-                held.append(_unpack(packed, z))
+                held.append(_unpack(packed, common, z))
         yield from flush()
 
     return run
@@ -269,11 +294,11 @@ def phrase_counts(docs: DataFrame, frequent: DataFrame, total: int, least: int =
     spark = docs.sparkSession
     small_batches(spark)
     parts = shuffle_parts(spark)
-    buckets = max(4 * parts, -(-total // BUCKET))
-    shared = spark.sparkContext.broadcast(frequency_table(frequent))
+    buckets = max(2 * parts, -(-total // BUCKET))
+    shared = spark.sparkContext.broadcast((frequency_table(frequent), common_words(frequent)))
     routed = docs.select("lang", "text").mapInArrow(_route(shared, buckets, crowd_size), "bucket int, lang string, crowded boolean, packed binary")
     dealt = routed.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang", "crowded")
-    found = dealt.mapInArrow(_mine_buckets(least), "lang string, words array<bigint>, a bigint")
+    found = dealt.mapInArrow(_mine_buckets(shared, least), "lang string, words array<bigint>, a bigint")
     return found.groupBy("lang", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 

@@ -80,12 +80,17 @@ def test_each_phrase_has_one_pivot():
 
 
 def test_packed_fragments_come_back():
-    frags = np.array([[-1, -1, 2, 5, 1, 1, -1, -1, -1], [0, 3, 3, 3, 0, -1, -1, -1, -1]], np.int32)
-    hashes, weights = np.array([10, 11, -12, 13, 14, 2**62]), np.array([3, 1], np.int32)
+    rows = [[-1, -1, 2, 5, 1, 1, -1, -1, -1], [0, 3, 3, 3, 0, -1, -1, -1, -1]]
+    frags = np.array([*rows, rows[0]], np.int32)
+    hashes, weights = np.array([10, 11, -12, 13, 14, 2**62]), np.array([3, 1, 4], np.int32)
     import zstandard
 
-    h, f, w = phrases._unpack(phrases._pack(frags, weights, hashes, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
-    assert w.tolist() == [3, 1] and np.where(f >= 0, h[f], 0).tolist() == np.where(frags >= 0, hashes[frags], 0).tolist()
+    want = np.where(frags >= 0, hashes[frags], 0)
+    for common in ([], [-12], [10, 13, 500], [-12, 10, 11, 13, 14, 2**62]):
+        common = np.array(common, np.int64)
+        h, f, w = phrases._unpack(phrases._pack(frags, weights, hashes, common, zstandard.ZstdCompressor()), common, zstandard.ZstdDecompressor())
+        got = np.where(f >= 0, h[f], 0)
+        assert sorted(zip(w.tolist(), got.tolist())) == [(1, want[1].tolist()), (7, want[0].tolist())]
 
 
 def test_awkward_rows(spark):
