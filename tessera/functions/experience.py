@@ -9,6 +9,9 @@ from tessera.functions import rules as P
 from tessera.functions.expressions import let
 
 
+MARK = "\x01"
+
+
 def years_label(low: Column, high: Column) -> Column:
     """``1 year``, ``2 years`` or ``1–2 years``."""
     text = lambda n: n.cast("string")
@@ -20,7 +23,7 @@ def stated_years(x: Column, pattern: str) -> Column:
     p = f"(?is){pattern}"
 
     def one(m: Column) -> Column:
-        plus = (m["high"] == "") & F.regexp_like(m["whole"], F.concat(F.lit(r"\b"), m["low"], F.lit(r"\s*\+")))
+        plus = (m["high"] == "") & m["whole"].contains("+") & F.regexp_like(m["whole"], F.concat(F.lit(r"\b"), m["low"], F.lit(r"\s*\+")))
         around = m["before"].rlike(f"(?i){P.OPEN_BEFORE}") | m["after"].rlike(f"(?i){P.OPEN_AFTER}")
         low = m["low"].cast("int")
         return F.struct(low.alias("low"), F.coalesce(m["high"].try_cast("int"), low).alias("high"), (plus | around).alias("open"))
@@ -31,7 +34,8 @@ def stated_years(x: Column, pattern: str) -> Column:
         return F.transform(found, one)
 
     # A text without a statement is searched once and not cut.
-    cut = lambda whole: F.when(F.size(whole) > 0, let(F.split(x, p, -1), lambda around: parts(whole, around))).otherwise(F.array())
+    marked = F.regexp_replace(F.translate(x, MARK, "\x02"), p, MARK)  # split() would compile the pattern for every row
+    cut = lambda whole: F.when(F.size(whole) > 0, let(F.split(marked, MARK, -1), lambda around: parts(whole, around))).otherwise(F.array())
     return let(F.regexp_extract_all(x, F.lit(p), F.lit(0)), cut)
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,22 +72,35 @@ def step(state: dict, ok: bool, code: int | None, found: int | None, now: dateti
 
 
 START = {"status": "live", "tier": "B", "failures": 0, "not_found": 0, "empty_since": None}
-STATE_DDL = "source string, status string, tier string, failures int, not_found int, empty_since timestamp_ntz, polls bigint"
 
 
-def fold_states(polls: DataFrame) -> DataFrame:
-    """The state of each source after all its polls (source, at, ok, code, found) in order.
+def source_states(polls: DataFrame) -> DataFrame:
+    """The state of each source after all its polls (source, at, poll, ok, code, found) in the order of at and poll.
 
-    A source's polls are few (one each quarter of an hour at most), so a group is small.
+    What ``step`` does poll by poll follows from a few marks of a source: its last successful poll, its last one that found
+    something and its last one that wasn't a 404 or 410 (maxima), how many polls came after each and when it was first empty
+    since (counts and a minimum), and its last ``FAILURES`` polls, for a source with fewer failures in a row can be dead
+    from two of them.  All are partial sums, so no task walks through the polls of a source; a null ``ok`` is a failure.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = dict(START)
-        for p in pdf.sort_values(["at", "poll"]).itertuples():
-            state = step(state, bool(p.ok), None if pd.isna(p.code) else int(p.code), None if pd.isna(p.found) else int(p.found), p.at.to_pydatetime())
-        return pd.DataFrame([{"source": pdf["source"].iloc[0], **state, "polls": len(pdf)}])[["source", *START, "polls"]]
-
-    return polls.groupBy("source").applyInPandas(run, STATE_DDL)
+    ok = F.coalesce("ok", F.lit(False))
+    gone = ~ok & F.coalesce(F.col("code").isin(404, 410), F.lit(False))
+    some = ok & F.coalesce(F.col("found") != 0, F.lit(False))
+    rows = polls.select("source", F.struct("at", "poll").alias("when"), ok.alias("ok"), gone.alias("gone"), some.alias("some"))
+    marks = rows.groupBy("source").agg(
+        F.max(F.when(F.col("ok"), F.col("when"))).alias("last_ok"), F.max(F.when(F.col("some"), F.col("when"))).alias("last_some"), F.max(F.when(~F.col("gone"), F.col("when"))).alias("last_other"), F.count("*").alias("polls")
+    )
+    after = lambda mark: F.col(mark).isNull() | (F.col("when") > F.col(mark))
+    since = rows.join(marks, "source").groupBy("source").agg(
+        F.count_if(after("last_ok")).cast("int").alias("failures"), F.count_if(after("last_other")).cast("int").alias("not_found"), F.min(F.when(F.col("ok") & ~F.col("some") & after("last_some"), F.col("when.at"))).alias("empty_since")
+    )
+    latest = first_per_group(rows, ["source"], [F.desc("when")], FAILURES)
+    gone_lately = latest.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_in_group", "gone"))), lambda x: x["gone"]).alias("gone"))
+    dormant = F.coalesce(F.col("last_ok.at") - F.col("empty_since") >= F.make_dt_interval(days=F.lit(EMPTY_DAYS)), F.lit(False))
+    base = F.when(F.col("last_ok").isNull() | F.col("last_ok").eqNullSafe(F.col("last_some")), START["status"]).when(dormant, "dormant").otherwise("empty")
+    pairs = F.zip_with(F.slice("gone", F.lit(1), F.greatest(F.col("failures") - 1, F.lit(0))), F.slice("gone", F.lit(2), F.greatest(F.col("failures") - 1, F.lit(0))), lambda x, y: x & y)
+    status = F.when(F.col("failures") == 0, base).when(F.col("not_found") >= NOT_FOUND, "dead").when(F.col("failures") >= FAILURES, "failing").when(F.exists(pairs, lambda x: x), "dead").otherwise(base)
+    found = marks.join(since, "source").join(gone_lately, "source")
+    return found.select("source", status.alias("status"), F.when(dormant, "dormant").otherwise(START["tier"]).alias("tier"), "failures", "not_found", "empty_since", "polls")
 
 
 def failure_streaks(polls: DataFrame) -> DataFrame:

@@ -245,5 +245,6 @@ def feed(jobs: DataFrame, boards: DataFrame, registry: DataFrame, as_of: Column,
     keyed = asked.withColumn("key", F.coalesce("dedupe_key", "url"))
     once = first_per_group(keyed, ["key"], order)
     shown = F.when(us, place).when(us_url(url), "United States (from job link)").otherwise("Unknown location")
-    rows = once.select("job_id", display_company(F.col("company")).alias("company"), "title", shown.alias("location"), "date_posted", "first_seen", "url", salary(F.col("description")).alias("salary"), "experience", company_tier(F.col("company")).alias("tier"))
-    return rows.orderBy(F.desc(F.coalesce("date_posted", "first_seen")), F.desc("first_seen"), F.asc("job_id")).limit(limit)
+    newest = once.orderBy(F.desc(F.coalesce("date_posted", "first_seen")), F.desc("first_seen"), F.asc("job_id")).limit(limit)
+    # What is only shown is worked out for the rows that are.
+    return newest.select("job_id", display_company(F.col("company")).alias("company"), "title", shown.alias("location"), "date_posted", "first_seen", "url", salary(F.col("description")).alias("salary"), "experience", company_tier(F.col("company")).alias("tier"))

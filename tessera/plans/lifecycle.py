@@ -62,11 +62,22 @@ def _polls(events):
     return events.select(F.col("user_id").cast("string").alias("source"), F.col("ts").alias("at"), F.col("event_id").alias("poll"), ok.alias("ok"), F.when(~ok & (F.col("event_id") % 4 == 0), 404).alias("code"), F.when(ok, F.floor(F.col("value") / 40)).alias("found"), F.col("value").alias("latency"))
 
 
-@query("q_board_state")
+@query(
+    "q_board_state",
+    """WITH RECURSIVE p AS (SELECT CAST(user_id AS VARCHAR) AS source, ts AS t, event_type <> 'error' AS ok, event_type = 'error' AND event_id % 4 = 0 AS gone, coalesce(floor(value / 40), 0) <> 0 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    f AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS k, 'live' AS status, 'B' AS tier, 0 AS failures, 0 AS not_found, CAST(NULL AS TIMESTAMP) AS empty_since FROM p
+      UNION ALL
+      SELECT f.source, p.k, CASE WHEN NOT ok THEN CASE WHEN gone AND not_found >= 1 THEN 'dead' WHEN failures >= 4 THEN 'failing' ELSE status END WHEN hit THEN 'live' WHEN t - coalesce(empty_since, t) >= INTERVAL 30 DAY THEN 'dormant' ELSE 'empty' END,
+        CASE WHEN NOT ok THEN tier WHEN hit THEN 'B' WHEN t - coalesce(empty_since, t) >= INTERVAL 30 DAY THEN 'dormant' ELSE tier END, CASE WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN gone THEN not_found + 1 ELSE 0 END,
+        CASE WHEN NOT ok THEN empty_since WHEN hit THEN NULL ELSE coalesce(empty_since, t) END
+      FROM f JOIN p ON p.source = f.source AND p.k = f.k + 1)
+    SELECT source, status, tier, failures, not_found, empty_since, k AS polls, CASE WHEN status = 'dead' THEN 604800 WHEN failures >= 5 THEN 21600 WHEN tier = 'A' THEN 900 WHEN tier = 'B' THEN 3600 ELSE 10800 END AS next_seconds
+    FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY k DESC) = 1""",
+)
 def board_state(spark, sf_dir):
-    """A fold over ordered polls; tested against a decision table and, for its failure counts, against q_failure_streaks."""
+    """The state of every source after all its polls; the SQL walks them one by one."""
     (events,) = tab(spark, sf_dir, "events")
-    states = L.fold_states(_polls(events))
+    states = L.source_states(_polls(events))
     return states.withColumn("next_seconds", L.next_interval(F.col("tier"), F.col("status"), F.col("failures")))
 
 

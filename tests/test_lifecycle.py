@@ -1,11 +1,13 @@
 """Diffs, merges, source states and the streaming sink."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tessera.operators import lifecycle as L
 from tessera.operators import relational as R
+from tessera.streaming import boards
 from tessera.streaming import events as S
 
 DAY = datetime(2024, 1, 1)
@@ -20,20 +22,58 @@ def test_diff_is_disjoint_and_complete(spark):
     assert got == {"new": "new", "present": "present", "missing": "missing", "back": "reappeared"}
 
 
-def test_source_states():
-    polls = [dict(ok=False, code=404, found=None, now=DAY), dict(ok=False, code=404, found=None, now=DAY)]
-    assert [s["status"] for s in L.states_over(polls)] == ["live", "dead"]
-    failing = L.states_over([dict(ok=False, code=500, found=None, now=DAY)] * 5)
-    assert failing[-1]["status"] == "failing" and failing[-1]["failures"] == 5
-    sleepy = L.states_over([dict(ok=True, code=200, found=0, now=DAY), dict(ok=True, code=200, found=0, now=DAY + timedelta(days=31)), dict(ok=True, code=200, found=1, now=DAY + timedelta(days=32))])
-    assert [(s["status"], s["tier"]) for s in sleepy] == [("empty", "B"), ("dormant", "dormant"), ("live", "B")]
-
-
-def test_fold_agrees_with_gaps_and_islands(spark):
-    rows = [(f"s{i % 3}", DAY + timedelta(hours=i), i, (i * 7) % 5 > 1, 500, 1.0) for i in range(60)]
-    polls = spark.createDataFrame(rows, "source string, at timestamp_ntz, poll long, ok boolean, code int, found double")
-    last = {r.source: r.failures for r in L.failure_streaks(polls).orderBy("at").collect()}
-    assert {r.source: r.failures for r in L.fold_states(polls).collect()} == last
+POLLS = "source string, at timestamp_ntz, poll long, ok boolean, code int, found double"
+
+
+def folded(rows):
+    """The states of all sources, poll by poll."""
+    states = {}
+    for source, at, poll, ok, code, found in sorted(rows, key=lambda x: (x[1], x[2])):
+        n, state = states.get(source, (0, L.START))
+        states[source] = n + 1, L.step(state, bool(ok), code, found, at)
+    return {s: (*x.values(), n) for s, (n, x) in states.items()}
+
+
+def polls_of(r, sources, n, step_hours):
+    rows = []
+    for i in range(n):
+        source = "hot" if r.random() < 0.3 else f"s{r.randrange(sources)}"
+        ok = r.random() < 0.45
+        rows.append((source, DAY + timedelta(hours=step_hours * (i // 2)), i, None if r.random() < 0.02 else ok, None if ok else r.choice([404, 410, 500, None]), r.choice([0.0, 0.0, 0.0, 3.0, None]) if ok else None))
+    return rows
+
+
+def test_states_known_by_hand():
+    state = lambda *polls: list(folded([("s", DAY + timedelta(days=d), i, ok, code, found) for i, (d, ok, code, found) in enumerate(polls)]).values())[0][:2]
+    assert state((0, False, 404, None)) == ("live", "B") and state((0, False, 404, None), (0, False, 410, None)) == ("dead", "B")
+    assert state(*[(0, False, 500, None)] * 5) == ("failing", "B") and state((0, False, 404, None), (0, False, 404, None), (0, False, 500, None)) == ("dead", "B")
+    assert state((0, True, 200, 0), (31, True, 200, 0)) == ("dormant", "dormant") and state((0, True, 200, 0), (31, True, 200, 0), (32, True, 200, 1)) == ("live", "B")
+
+
+def test_states_are_those_of_the_walk(spark):
+    rows = [x for seed, (sources, hours) in enumerate([(60, 1), (300, 40), (40, 300)]) for x in [(f"{seed}{s}", *rest) for s, *rest in polls_of(random.Random(seed), sources, 900, hours)]]
+    got = {r.source: tuple(r)[1:] for r in L.source_states(spark.createDataFrame(rows, POLLS).repartition(3)).collect()}
+    want = folded(rows)
+    assert got == want and {x[0] for x in want.values()} == {"live", "empty", "dormant", "failing", "dead"}
+    assert L.source_states(spark.createDataFrame([], POLLS)).count() == 0
+
+
+def test_stream_of_states_is_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = polls_of(random.Random(9), 6, 240, 20)
+    polls = spark.createDataFrame(rows, POLLS)
+    for k in range(3):  # later files hold later polls
+        spark.createDataFrame(rows[k * 80 : k * 80 + 80], POLLS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
+    try:
+        boards.board_states(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(300)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.parquet(f"{tmp_path}/out").withColumn("empty_since", F.col("empty_since").cast("timestamp_ntz"))
+    last = out.where("event = 'polled'").groupBy("source").agg(F.max_by(F.struct("status", "tier", "failures", "not_found", "empty_since", "polls", "next_seconds"), "polls").alias("x")).select("source", "x.*")
+    want = L.source_states(polls).withColumn("next_seconds", L.next_interval(F.col("tier"), F.col("status"), F.col("failures")))
+    assert sorted(map(str, last.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert out.where("event = 'due'").count() > 0
 
 
 def test_intervals(spark):
