@@ -16,25 +16,6 @@ def percent_or_null(part: Column, digits: int = 2) -> Column:
     return F.round(100.0 * F.count_if(part) / F.nullif(F.count("*"), F.lit(0)), digits).cast("double")
 
 
-def continuous(value: Column, share: float) -> Column:
-    """Interpolated percentile, nulls left out."""
-    return F.percentile(value, share)
-
-
-def nearest_rank(value: str, share: float) -> Column:
-    """The value at rank ceil(n * share), negative ones left out."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY CASE WHEN {value} >= 0 THEN {value} END)")
-
-
-def rounded_index(value: Column, share: float) -> Column:
-    """The value at index round(share * (n - 1)) of the sorted values, half to even.
-
-    It gathers a group's values, so it is for the small samples of timing reports.
-    """
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.bround(F.lit(share) * (F.size(ordered) - 1), 0) + 1).cast("int"))
-
-
 def latest(*columns: str) -> Column:
     """The latest of several timestamps in a group; nulls are passed over."""
     return F.max(F.greatest(*columns))

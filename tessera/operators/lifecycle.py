@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import backoff
 from tessera.operators.relational import first_per_group
+from tessera.operators.selection import beside, quantiles
 
 # Seconds between polls by tier, and limits of the schedule.
 INTERVALS = {"A": 900, "B": 3600, "dormant": 10800}
@@ -139,10 +140,10 @@ def retry_due(rows: DataFrame, as_of: Column) -> DataFrame:
 
 def run_rollup(polls: DataFrame, keys: list[str]) -> DataFrame:
     """Counters and latency percentiles of each run."""
-    return polls.groupBy(*keys).agg(
-        F.count("*").alias("polls"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct("source").alias("sources"),
-        F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").alias("p95"),
+    counters = polls.groupBy(*keys).agg(
+        F.count("*").alias("polls"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct("source").alias("sources"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"),
     )
+    return beside(counters, keys, quantiles(polls, keys, F.col("latency"), {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}))
 
 
 #: States that a poll of a run ends in, and what is summed over its polls.
@@ -152,10 +153,9 @@ RUN_SUMS = ["new_jobs", "updated_jobs", "expired_jobs", "reappeared_jobs", "deta
 
 def run_counters(polls: DataFrame, keys: list[str]) -> DataFrame:
     """The whole row of a finished run: polls (status, latency, RUN_SUMS) by status, sums, and latencies that were measured."""
-    measured = lambda share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY CASE WHEN latency >= 0 THEN latency END)")
-    return polls.groupBy(*keys).agg(
-        F.count("*").alias("boards_polled"), *[F.count_if(F.col("status") == s).alias(s) for s in RUN_STATUSES], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RUN_SUMS], measured(0.5).alias("p50"), measured(0.95).alias("p95")
-    )
+    counters = polls.groupBy(*keys).agg(F.count("*").alias("boards_polled"), *[F.count_if(F.col("status") == s).alias(s) for s in RUN_STATUSES], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in RUN_SUMS])
+    measured = F.when(F.col("latency") >= 0, F.col("latency"))
+    return beside(counters, keys, quantiles(polls, keys, measured, {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}))
 
 
 def reuse_active(jobs: DataFrame, key: str, order: list[Column]) -> DataFrame:

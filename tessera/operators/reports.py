@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules as P
 from tessera.operators.relational import first_per_group, optional_filters
 from tessera.operators.scoring import hits, verify_requirement
+from tessera.operators.selection import beside, quantiles
 
 
 def point_lookup(df: DataFrame, **key) -> DataFrame:
@@ -127,11 +128,11 @@ def coverage_report(registry: DataFrame, boards: DataFrame, jobs: DataFrame, run
     since = lambda x, interval: x >= as_of - F.expr(f"INTERVAL {interval}")
     text, active, seen, gone = F.coalesce("text", F.lit("")), F.col("expired_at").isNull(), F.col("first_seen"), F.col("expired_at")
     minutes = F.when(F.col("source").isin(timed), F.timestamp_diff("SECOND", F.col("date_posted"), seen) / 60)
-    by_source = jobs.groupBy("source").agg(
+    counted = jobs.groupBy("source").agg(
         F.count_if(active).alias("active"), F.count_if(active & (text == "")).alias("empty"), F.count_if(active & (F.length(text) < 200)).alias("short"), F.count_if(active & F.contains(text, F.lit("## "))).alias("heading"), F.count_if(active & text.rlike(P.LEFTOVER_MARKUP)).alias("markup"),
         F.count_if(since(seen, "1 HOUR")).alias("h1"), F.count_if(since(seen, "24 HOURS")).alias("h24"), F.count_if(since(seen, "7 DAYS")).alias("d7"), F.count_if(since(gone, "24 HOURS")).alias("gone24"), F.count_if(since(gone, "7 DAYS")).alias("gone7"),
-        F.percentile(minutes, 0.5).alias("p50"), F.percentile(minutes, 0.95).alias("p95"),
     )
+    by_source = beside(counted, ["source"], quantiles(jobs, ["source"], minutes, {"p50": ("continuous", 0.5), "p95": ("continuous", 0.95)}))
     c = F.col
     held, at_least_one = F.nullif(c("active"), F.lit(0)), lambda x: F.greatest(x, F.lit(1))
     sources = _long(by_source, name("source"), [

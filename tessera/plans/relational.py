@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
 from tessera.operators import relational as R
+from tessera.operators.selection import beside, quantiles
 from tessera.plans.registry import query
 
+
 def as_of():
     """The clock of the order tables."""
     return F.lit("2001-08-01").cast("timestamp_ntz")
@@ -150,7 +152,8 @@ def freshness_percentiles(spark, sf_dir):
     orders, lineitem = tab(spark, sf_dir, "orders", "lineitem")
     gap = F.timestamp_diff("MICROSECOND", F.col("o_orderdate"), F.col("l_shipdate")) / 6e7
     both = orders.select("o_orderkey", "o_orderdate").join(lineitem.select("l_orderkey", "l_returnflag", "l_shipdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy("l_returnflag").agg(F.round(A.continuous(gap, 0.5), 6).alias("p50"), F.round(A.continuous(gap, 0.95), 6).alias("p95"))
+    found = quantiles(both, ["l_returnflag"], gap, {"p50": ("continuous", 0.5), "p95": ("continuous", 0.95)})
+    return found.select("l_returnflag", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query(
@@ -159,7 +162,9 @@ def freshness_percentiles(spark, sf_dir):
 )
 def nearest_rank(spark, sf_dir):
     (events,) = tab(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(A.nearest_rank("value", 0.5).alias("p50"), A.nearest_rank("value", 0.95).alias("p95"), A.rounded_index(F.col("value"), 0.95).alias("by_index"))
+    value = F.col("value")
+    measured = quantiles(events, ["event_type"], F.when(value >= 0, value), {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)})
+    return beside(quantiles(events, ["event_type"], value, {"by_index": ("index", 0.95)}), ["event_type"], measured).select("event_type", "p50", "p95", "by_index")
 
 
 @query(
