@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scanning import occurrences
+
 
 def optional_filters(df: DataFrame, **equal) -> DataFrame:
     """Keep rows equal to each given value; a value of None filters nothing."""
@@ -119,14 +121,6 @@ def bump_version(current: DataFrame, incoming: DataFrame, key: str, carried: lis
     return both.select(key, *[F.col(f"i.{c}") for c in rest], *[F.coalesce(F.col(f"i.{c}"), F.col(f"c.{c}")).alias(c) for c in carried], (F.coalesce(F.col("c.version"), F.lit(0)) + 1).alias("version"))
 
 
-#: Characters of a side that is sent to every task, at most; a larger one is joined.
-SENT_CHARS = 8 << 20
-
-
-def _sendable(df: DataFrame, text: Column) -> bool:
-    return (df.agg(F.sum(F.length(text))).first()[0] or 0) <= SENT_CHARS
-
-
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str = "tokens", n: int = 10) -> DataFrame:
     """For each left row its ``n`` right rows with most shared tokens (R35, R36): an equi join on tokens, counted and ranked."""
     a, b = (d.select(key, F.explode(F.array_distinct(tokens)).alias("token")) for d, key in ((left, left_id), (right, right_id)))
@@ -135,21 +129,10 @@ def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
 
 def quoted_in(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str) -> DataFrame:
-    """In how many texts (``t``) each quotation (``s``) stands verbatim, and the first of them.
-
-    If the quotations are few (their size is checked) they go to every task, and each text is read once where it is.  Else a
-    quotation meets the texts that hold its longest inner word; one without an inner word meets all, by an empty word that all have.
-    """
-    if _sendable(quotes, F.col("s")):
-        hits = texts.join(F.broadcast(quotes), F.contains(F.col("t"), F.col("s"))).select(quote_id, text_id)
-    else:
-        words = F.split("s", " ")
-        inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-        grams = texts.select(text_id, "t", F.explode(F.array_union(F.split("t", " "), F.array(F.lit("")))).alias("gram"))
-        hits = grams.join(quotes.withColumn("gram", F.coalesce(longest, F.lit(""))), "gram").where(F.contains(F.col("t"), F.col("s"))).select(quote_id, text_id)
-    found = hits.groupBy(quote_id).agg(F.count("*").alias("found_in"), F.min(text_id).alias("first_doc"))
-    return quotes.select(quote_id).join(found, quote_id, "left").select(quote_id, F.coalesce("found_in", F.lit(0)).alias("found_in"), "first_doc")
+    """In how many texts (``t``) each quotation (``s``) stands verbatim, and the first of them (T12); each text is read once."""
+    counts = occurrences(texts, text_id, "t", quotes, "s", whole_words=False).groupBy("term").agg(F.count("*").alias("found_in"), F.min(text_id).alias("first_doc"))
+    found = quotes.select(quote_id, F.col("s").alias("term")).join(counts, "term", "left")
+    return found.select(quote_id, F.coalesce("found_in", F.lit(0)).alias("found_in"), "first_doc")
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
