@@ -39,6 +39,8 @@ LINKS, LINKS_0 = 12, 24
 #: Candidates of an insertion, and of a search.
 EF_BUILD, EF_SEARCH = 48, 80
 QUERY_BLOCK = 256
+#: Size of a component beyond which a shard's table of distances is made of scaled vectors.
+LARGE = 1e150
 
 
 def usable(vector: Column) -> Column:
@@ -67,9 +69,14 @@ class Graph:
             self._build(n)
 
     def _build(self, n: int) -> None:
-        x = self.vectors.astype(np.float32)
+        x = self.vectors.astype(np.float64)
+        if (largest := np.abs(x).max()) > LARGE:  # else squares would pass what a double holds
+            x = x / largest
         sq = (x * x).sum(axis=1)
-        dist = sq[:, None] + sq[None, :] - 2 * (x @ x.T)
+        dist = x @ x.T
+        dist *= -2
+        dist += sq[:, None]
+        dist += sq[None, :]
         u = [(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 3) + 1) / 2**64 for i in self.owners[self.owner_at[:-1]]]
         level = np.array([int(-math.log(v) / math.log(LINKS)) for v in u])
         self.entry = int(np.argmax(level))
@@ -174,7 +181,7 @@ def thinned(dist: np.ndarray, candidates: np.ndarray, node: int, most: int) -> l
         return candidates.tolist()
     among, own = dist[np.ix_(candidates, candidates)], dist[node, candidates]
     kept: list[int] = []
-    nearest_kept = np.full(len(candidates), np.inf, dtype=np.float32)
+    nearest_kept = np.full(len(candidates), np.inf)
     for k in range(len(candidates)):
         if own[k] < nearest_kept[k]:
             kept.append(k)
