@@ -214,8 +214,8 @@ def parse_header(data: bytes) -> tuple[dict[str, str], int, int]:
     if not data.startswith(VERSION) or end < 0:
         raise Damaged("no version line or header")
     try:
-        fields = dict(line.split(": ", 1) for line in data[:end].decode("utf-8").split("\r\n")[1:])
-        headers = {k.lower(): v for k, v in fields.items()}
+        lines = re.sub(r"\r\n[ \t]+", " ", data[:end].decode("utf-8")).split("\r\n")[1:]  # a line that begins with a blank goes on with the one before
+        headers = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
         n = int(headers["content-length"])
     except (ValueError, KeyError) as e:
         raise Damaged("bad header") from e

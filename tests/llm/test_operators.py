@@ -183,6 +183,20 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert hnsw.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0 and hnsw.nearest(df.where("vec_id in (1, 20)"), F.col("vec_id") == 20).count() == 1
 
 
+@pytest.mark.parametrize("scale", [1e25, 1e160])
+def test_large_vectors_leave_the_others_findable(spark, scale):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(300, 8))
+    x[r.choice(300, 55, replace=False)] *= scale
+    got = hnsw.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=10).collect()
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x[::10, None] - x[None]) ** 2).sum(axis=2))
+    found = {(g.query_id, g.vec_id) for g in got}
+    finite = [q for q in range(30) if np.isfinite(np.delete(d[q], 10 * q)).sum() >= 10]
+    want = {(10 * q, int(j)) for q in finite for j in [j for j in np.lexsort((np.arange(300), d[q])) if j != 10 * q][:10]}
+    assert len(finite) >= 20 and len(want & found) >= 0.9 * len(want)
+
+
 def test_graph_survives_packing():
     g = hnsw.Graph(np.arange(50), np.random.default_rng(2).normal(size=(50, 4)))
     h = hnsw.Graph.unpacked(*g.packed())
@@ -451,6 +465,12 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_header_lines_without_a_blank_and_folded_ones():
+    data = b"WARC/1.1\r\nWARC-Type:response\r\nWARC-Target-URI: http://x/\r\n\ty\r\ncontent-length:  3 \r\n\r\nabc"
+    headers, start, n = warc.parse_header(data)
+    assert headers == {"warc-type": "response", "warc-target-uri": "http://x/ y", "content-length": "3"} and data[start : start + n] == b"abc"
+
+
 def test_salvage_recovers_what_follows_damage():
     records = [warc.record(i, f"http://{i}", words(30, i).encode()) for i in range(6)]
     good = [warc.member(r) for r in records]
