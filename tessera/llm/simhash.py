@@ -208,7 +208,7 @@ SKETCH_BITS = 42
 #: in another round while the buckets still hold more pairs than this for each row that are not connected and the last round linked
 #: one row in ``WORTH`` or more, so many rounds at most.  Pairs that are left are all compared.
 SMALL, LEADERS, CROWDED, WORTH, STAR_ROUNDS = 32, 3, 64, 50, 12
-#: Bytes of the texts of candidate pairs that are sent to every task, at most; more are joined.
+#: Bytes of the texts of candidate pairs whose shingles' hashes are sent to every task, at most; more texts are joined.
 SENT_BYTES = 16 << 20
 _r = np.random.default_rng(SEED)
 _ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
@@ -261,6 +261,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, list(zip(*((x, y) for x, y in zip(u, v) if alike(sets[x], sets[y])))) or [[], []])
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the sorted 64-bit hashes of their distinct shingles."""
+    digest = xxhash.xxh64_intdigest
+    for b in batches:
+        packs = [np.unique(np.fromiter((digest(x, SEED) for x in shingles_of(t)), np.uint64)).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packs, pa.binary())], names=["node", "text"])
+
+
+def _verify_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_verify`` by hashes of the shingles; the rows of one u come together, so its hashes are laid out once."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    for b in batches:
+        u, v, packs_u, packs_v = (c.to_pylist() for c in b.columns)
+        out, held, x = ([], []), None, None
+        for one, other, p, q in zip(u, v, packs_u, packs_v):
+            if one != held:
+                held, x = one, np.frombuffer(p, np.uint64)
+            y = np.frombuffer(q, np.uint64)
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+            if 5 * both >= NEAR_FIFTHS * (len(x) + len(y) - both):
+                out[0].append(one)
+                out[1].append(other)
+        yield batch(schema, out)
+
+
 def _candidate(x: str, y: str) -> Column:
     """Whether two rows of a bucket may be alike, by the sizes of their sets (exact) and their SimHashes."""
     c = lambda side, name: F.col(f"{side}.{name}")
@@ -343,10 +368,11 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         one = nodes.join(asked, "node").select("node", "row_id", "row_version")
         texts = cut(source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"]))
-        if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= SENT_BYTES:
-            texts = F.broadcast(texts)
+        few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= SENT_BYTES
+        if few:  # then their hashes, 8 bytes a word, are few too
+            texts = F.broadcast(cut(texts.mapInArrow(_hashed, "node bigint, text binary")))
         held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u bigint, v bigint"))
+        return cut(held.select("u", "v", "text_u", "text_v").mapInArrow(_verify_hashed if few else _verify, "u bigint, v bigint"))
 
     def labelled(label: DataFrame) -> DataFrame:
         return cut(large.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))

@@ -319,6 +319,14 @@ def near_sets(spark, rows):
     return sorted(map(sorted, found.values()))
 
 
+def test_near_groups_do_not_change_with_the_way_of_verifying(spark, monkeypatch, docs):
+    rows = [(i, words(70, i % 4) + " " + words(i % 9, 50 + i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    sent = plain(simhash.near_groups(df))
+    monkeypatch.setattr(simhash, "SENT_BYTES", 0)
+    assert plain(simhash.near_groups(df)) == sent and len({r[2] for r in sent}) < len(sent)
+
+
 def test_near_groups_do_not_change_with_the_size_of_buckets(spark, monkeypatch):
     rows = near_corpus()
     whole = near_sets(spark, rows)
