@@ -81,16 +81,24 @@ def action_score(spark, sf_dir):
     return jobs.select("job_id", S.action_score(*args, F.col("date_posted"), F.col("first_seen"), as_of())[0].alias("score"), S.outreach_score(*args)[0].alias("outreach"))
 
 
+#: What postings say of sponsorship, dealt to companies; where a company says both, no holds.
+SPONSORING = ["Visa sponsorship is offered.", "We are unable to sponsor.", None, "CPT and options.", "H-1B transfers; no sponsorship after.", "", "Optional perks."]
+_POINTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.P.SPONSOR_POINTS.items())
+
+
 @query(
     "q_company_signals",
-    f"""WITH {_JOBS} SELECT company, count(*) AS open_jobs, count(*) FILTER (WHERE {_HIT("title", S.P.NEW_GRAD)}) AS new_grad_jobs, count(*) FILTER (WHERE {_HIT("title", S.P.SOFTWARE)} AND job_id % 5 <> 0) AS matching_jobs, max(date_posted) AS last_verified_at,
-    CAST(greatest(0, least(100, least(8 * count(*) FILTER (WHERE {_HIT("title", S.P.SOFTWARE)} AND job_id % 5 <> 0), 40) + least(10 * count(*) FILTER (WHERE {_HIT("title", S.P.NEW_GRAD)}), 20) + 0 - 15 + 4)) AS INTEGER) AS quality FROM j GROUP BY 1""",
+    f"""WITH {_JOBS}, d AS (SELECT j.*, concat_ws(' ', coalesce(title, ''), coalesce([{', '.join('NULL' if x is None else f"'{x}'" for x in SPONSORING)}][CASE company WHEN 'acme' THEN 1 WHEN 'amazon' THEN 4 ELSE job_id % {len(SPONSORING)} + 1 END], '')) AS blob FROM j),
+    g AS (SELECT company, count(*) AS open_jobs, count(*) FILTER (WHERE {_HIT("blob", S.P.NEW_GRAD)}) AS new_grad_jobs, count(*) FILTER (WHERE {_HIT("blob", S.P.SOFTWARE)} AND job_id % 5 <> 0) AS matching_jobs, max(date_posted) AS last_verified_at,
+      CASE WHEN bool_or({_HIT("blob", S.P.SPONSOR_NO)}) THEN 'no' WHEN bool_or({_HIT("blob", S.P.SPONSOR_YES)}) THEN 'yes' ELSE 'unknown' END AS sponsorship FROM d GROUP BY 1)
+    SELECT *, CAST(greatest(0, least(100, least(8 * matching_jobs, 40) + least(10 * new_grad_jobs, 20) + CASE sponsorship {_POINTS} ELSE 0 END - 15 + 4)) AS INTEGER) AS quality FROM g""",
 )
 def company_signals(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir).withColumns({"description_text": F.lit(None).cast("string"), "eligible": F.when(F.col("job_id") % 5 == 0, False), "last_verified_at": F.col("date_posted"), "last_seen_at": F.col("date_posted")})
+    at = F.when(F.col("company") == "acme", 1).when(F.col("company") == "amazon", 4).otherwise(F.col("job_id") % len(SPONSORING) + 1)
+    said = F.element_at(F.array(*map(F.lit, SPONSORING)), at.cast("int"))
+    jobs = _jobs(spark, sf_dir).withColumns({"description_text": said, "eligible": F.when(F.col("job_id") % 5 == 0, False), "last_verified_at": F.col("date_posted"), "last_seen_at": F.col("date_posted")})
     signals = S.company_signals(jobs)
-    quality = S.quality_score(F.col("matching_jobs"), F.col("new_grad_jobs"), F.col("sponsorship"), F.lit("orange"), F.lit(4))
-    return signals.withColumn("quality", quality).drop("sponsorship")
+    return signals.withColumn("quality", S.quality_score(F.col("matching_jobs"), F.col("new_grad_jobs"), F.col("sponsorship"), F.lit("orange"), F.lit(4)))
 
 
 @query("q_company_tiers", f"WITH {_JOBS} SELECT company, CASE WHEN {_HIT('company', S.P.TIER_1)} THEN 'Tier 1' WHEN {_HIT('company', S.P.TIER_2)} THEN 'Tier 2' ELSE 'Tier 3' END AS tier, count(*) AS n FROM j GROUP BY 1, 2")

@@ -50,16 +50,20 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") ->
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that has landed, and read its result from the shared folder."""
+    """Run a stream over all that has landed, and read its result from the shared folder.
+
+    What a batch appends has a folder of its own, which is written anew if the batch is run again.
+    """
     spark = stream.sparkSession
     top = scratch(spark, name)
 
     def save(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{top}/out")
+        df.write.mode("overwrite").parquet(f"{top}/out" if mode == "complete" else f"{top}/out/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{top}/out")
+    result = spark.read.parquet(f"{top}/out")
+    return result if mode == "complete" else result.drop("epoch")
 
 
 def merge_sink(top: str, as_of: Callable[[int], str], expiry: bool = True) -> Callable[[DataFrame, int], None]:
