@@ -88,13 +88,13 @@ _POINTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.P.SPONSOR_POINTS.items()
 
 @query(
     "q_company_signals",
-    f"""WITH {_JOBS}, d AS (SELECT j.*, concat_ws(' ', coalesce(title, ''), coalesce([{', '.join('NULL' if x is None else f"'{x}'" for x in SPONSORING)}][CASE company WHEN 'acme' THEN 1 WHEN 'amazon' THEN 4 ELSE job_id % {len(SPONSORING)} + 1 END], '')) AS blob FROM j),
+    f"""WITH {_JOBS}, d AS (SELECT j.*, concat_ws(' ', coalesce(title, ''), coalesce([{', '.join('NULL' if x is None else f"'{x}'" for x in SPONSORING)}][CASE company WHEN 'acme' THEN 1 WHEN 'amazon' THEN 3 ELSE job_id % {len(SPONSORING)} + 1 END], '')) AS blob FROM j),
     g AS (SELECT company, count(*) AS open_jobs, count(*) FILTER (WHERE {_HIT("blob", S.P.NEW_GRAD)}) AS new_grad_jobs, count(*) FILTER (WHERE {_HIT("blob", S.P.SOFTWARE)} AND job_id % 5 <> 0) AS matching_jobs, max(date_posted) AS last_verified_at,
       CASE WHEN bool_or({_HIT("blob", S.P.SPONSOR_NO)}) THEN 'no' WHEN bool_or({_HIT("blob", S.P.SPONSOR_YES)}) THEN 'yes' ELSE 'unknown' END AS sponsorship FROM d GROUP BY 1)
     SELECT *, CAST(greatest(0, least(100, least(8 * matching_jobs, 40) + least(10 * new_grad_jobs, 20) + CASE sponsorship {_POINTS} ELSE 0 END - 15 + 4)) AS INTEGER) AS quality FROM g""",
 )
 def company_signals(spark, sf_dir):
-    at = F.when(F.col("company") == "acme", 1).when(F.col("company") == "amazon", 4).otherwise(F.col("job_id") % len(SPONSORING) + 1)
+    at = F.when(F.col("company") == "acme", 1).when(F.col("company") == "amazon", 3).otherwise(F.col("job_id") % len(SPONSORING) + 1)
     said = F.element_at(F.array(*map(F.lit, SPONSORING)), at.cast("int"))
     jobs = _jobs(spark, sf_dir).withColumns({"description_text": said, "eligible": F.when(F.col("job_id") % 5 == 0, False), "last_verified_at": F.col("date_posted"), "last_seen_at": F.col("date_posted")})
     signals = S.company_signals(jobs)
