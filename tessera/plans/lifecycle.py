@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import backfill as B
 from tessera.operators import lifecycle as L
 from tessera.operators import relational as R
 from tessera.plans.registry import query
 from tessera.plans.relational import as_of, tab
+from tessera.streaming.events import scratch
 
 
 @query(
@@ -148,3 +150,14 @@ def backfill_split(spark, sf_dir):
     return parts.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+
+
+@query("q_backfill_resumed", "SELECT doc_id, sha256(coalesce(text, '')) AS hash, 2 AS version FROM documents")
+def backfill_resumed(spark, sf_dir):
+    """A pass over all texts that is stopped after two of its ranges and then goes on to the end."""
+    (documents,) = tab(spark, sf_dir, "documents")
+    top = scratch(spark, "backfill")
+    work = lambda d: d.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.lit(2).alias("version"))
+    B.advance(documents, "doc_id", work, top, ranges=4, most=2)
+    B.advance(documents, "doc_id", work, top, ranges=4)
+    return B.result(spark, top)
