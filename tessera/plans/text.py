@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.html import html_to_text
+from tessera.functions.html import html_to_text, page_blocks
 from tessera.operators import relational as R
 from tessera.plans.registry import query
 from tessera.plans.relational import tab
@@ -67,6 +67,13 @@ def html_text(spark, sf_dir):
     return pages.select("page_id", html_to_text("html").alias("text"))
 
 
+@query("q_html_blocks")
+def html_blocks_of_pages(spark, sf_dir):
+    """Blocks and their characters by kind on every page; that the blocks make up ``q_html_text`` is tested."""
+    (pages,) = tab(spark, sf_dir, "pages")
+    return page_blocks(pages, "page_id", "html").groupBy("page_id", "kind").agg(F.count("*").alias("blocks"), F.sum(F.length("block")).alias("chars"))
+
+
 @query(
     "q_hash_embedding",
     "SELECT item_id, idx, CAST(round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS DOUBLE) AS weight FROM (SELECT item_id, CAST(('0x' || substr(sha256(token), 1, 8))::BIGINT % 768 AS INTEGER) AS idx, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY 1, 2)",

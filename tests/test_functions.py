@@ -154,3 +154,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.replace_block("x\n<!-- t:start -->\nold\n<!-- t:end -->\ny", "t", ["new"]) == "x\n<!-- t:start -->\nnew\n<!-- t:end -->\ny"
     with pytest.raises(ValueError):
         sinks.replace_block("x", "t", [])
+
+
+def test_blocks_make_up_the_text(spark):
+    from tessera.functions import html as H
+
+    sources = ["<h1>A &amp;amp; b</h1><p>one<br>two</p><ul><li>x<li>y</ul><div>z<script>no</script></div>", "plain &lt;b&gt;words", "", None, "<p><b>Short one</b></p>tail", "<br><br>"]
+    pages = spark.createDataFrame(list(enumerate(sources)), "id int, html string")
+    found = {}
+    for r in sorted(H.page_blocks(pages, "id", "html").collect(), key=lambda r: r.pos):
+        found.setdefault(r.id, []).append((r.kind, r.block))
+    texts = {r.id: r.text for r in pages.select("id", H.html_to_text("html").alias("text")).collect()}
+    assert all(H.joined(found.get(i, [])) == texts[i] for i in texts) and texts[0].startswith("## A & b") and not {2, 3} & found.keys()
