@@ -17,26 +17,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import let
-from tessera.functions.stemming import terms
+from tessera.functions.stemming import term_of, words
 
 WEIGHT = 0.1
 
 
-def index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def index(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None, word: Column | None = None) -> DataFrame:
     """term, id, positions (from 1, stop words counted) of every term of every text.
 
-    A null or empty text has no terms; repeated ids are taken together.
+    A null or empty text has no terms; repeated ids are taken together.  For a few searches alone (``only``, from
+    ``query_terms``, which is sent to every task) terms that none asks for are left out before positions are gathered;
+    ``word``, a condition on the column ``word``, says which words count as any term.
     """
-    placed = docs.select(F.col(doc_id).alias("id"), F.posexplode(terms(F.col(text))).alias("at", "term")).where(F.col("term").isNotNull())
+    placed = docs.select(F.col(doc_id).alias("id"), F.posexplode(words(F.col(text))).alias("at", "word"))
+    placed = (placed if word is None else placed.where(word)).select("id", "at", term_of("word").alias("term")).where(F.col("term").isNotNull())
+    if only is not None:
+        placed = placed.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
     return placed.groupBy("term", "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
 
 
 def query_terms(queries: DataFrame, query_id: str, alternatives: str) -> DataFrame:
     """query, alternative (its number), term of queries given as arrays of texts; an alternative of stop words only is none."""
     each = queries.select(F.col(query_id).alias("query"), F.posexplode(alternatives).alias("alternative", "text"))
-    own = each.withColumn("term", F.explode(F.array_distinct(F.array_compact(terms(F.col("text"))))))
+    own = each.select("query", "alternative", F.explode(words(F.col("text"))).alias("word")).select("query", "alternative", term_of("word").alias("term")).where(F.col("term").isNotNull())
     # Alternatives that come to the same terms are one.
-    same = own.groupBy("query", "alternative").agg(F.array_sort(F.collect_list("term")).alias("terms")).groupBy("query", "terms").agg(F.min("alternative").alias("alternative"))
+    same = own.groupBy("query", "alternative").agg(F.array_sort(F.collect_set("term")).alias("terms")).groupBy("query", "terms").agg(F.min("alternative").alias("alternative"))
     return same.select("query", "alternative", F.size("terms").alias("wanted"), F.explode("terms").alias("term"))
 
 

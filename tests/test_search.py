@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stemming import STOP_WORDS, stem, term
 from tessera.operators import search
+from tessera.plans.catalogue import ORACLE_SQL, QUERIES
 
 # Words and stems of the published examples.
 STEMS = """consigned consign consignment consign consistency consist consolation consol knackeries knackeri knaves knave knightly knight knees knee generate generat general general communism communism skies sky dying die early earli inning inning
@@ -54,3 +55,24 @@ def test_ranks_are_brute_force(spark):
 
 def test_stop_words_are_no_terms():
     assert term("the") is None and term("engine") == "engin" and len(STOP_WORDS) == 127
+
+
+def test_forms_whose_stem_is_another(spark, tmp_path):
+    """Words of one stem that are no forms, and forms of another stem, are told apart as the SQL tells them."""
+    import duckdb
+
+    ends = ["", "e", "s", "es", "ed", "eds", "edly", "ing", "ings", "ingly", "ly", "lye", "lyes", "lys", "lyed", "lying", "lyings", "lyedly", "lies", "ful", "fulness", "ness", "er"]
+    rows = [(i, f"{w}{e} and {['', 'handlyes', 'Rested', 'handful'][i % 4]}") for i, (w, e) in enumerate((w, e) for w in ("thing", "hand", "rest") for e in ends)] + [(900, "restful handful"), (901, None), (902, "a restlye handlye")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["q_fts_match"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.sql(ORACLE_SQL["q_fts_match"]).fetchall())
+
+
+def test_an_index_for_given_searches_finds_the_same(spark):
+    docs = spark.createDataFrame([(i, f"running dogs {i % 3} quick " * (i % 4)) for i in range(20)], "id long, text string")
+    wanted = search.query_terms(spark.createDataFrame([(1, ["run dog", "quick"])], "q int, words array<string>"), "q", "words")
+    whole, own = (sorted(map(tuple, search.matches(x, wanted).collect())) for x in (search.index(docs, "id", "text"), search.index(docs, "id", "text", wanted)))
+    assert whole == own and len(own) == 15
