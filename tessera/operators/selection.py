@@ -43,13 +43,18 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, t
     n = F.col("n")
     targets = [(name, part, rank, share) for name, (kind, share) in wanted.items() for part, rank in enumerate(_ranks(kind, share, n))]
     near = [min(1.0, max(0.0, share + side * 2 / accuracy)) for *_, share in targets for side in (-1, 1)]
+    # Rows of a group meet its marks in a join on the keys, of which there may be few: an exchange of the marks themselves shows
+    # Spark how small they are (the sketches that they are made of are not), so that it sends them and sorts no group in one task.
+    small = (lambda x: x.hint("rebalance")) if keys else (lambda x: x)
     sketched = vals.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), accuracy).alias("cuts"))
+    sketched = small(sketched)
     cuts = [(F.col("cuts")[2 * i], F.col("cuts")[2 * i + 1]) for i in range(len(targets))]
     both = vals.alias("x").join(sketched.alias("s"), _same("x", "s", keys))
     marks = both.groupBy(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "cuts").agg(*[c for i, (low, high) in enumerate(cuts) for c in (F.count_if(F.col("v") < low).alias(f"below{i}"), F.count_if(F.col("v") <= high).alias(f"upto{i}"))])
     part = lambda i, rank: F.when(rank <= F.col(f"below{i}"), 0).when(rank <= F.col(f"upto{i}"), 1).otherwise(2)
     left = lambda i, rank: rank - F.when(rank <= F.col(f"below{i}"), 0).when(rank <= F.col(f"upto{i}"), F.col(f"below{i}")).otherwise(F.col(f"upto{i}"))
     zones = marks.select(*keys, F.array(*[F.struct(F.lit(i).alias("target"), part(i, rank).alias("part"), left(i, rank).alias("left"), low.alias("low"), high.alias("high")) for i, ((_, _, rank, _), (low, high)) in enumerate(zip(targets, cuts))]).alias("zones"))
+    zones = small(zones)
     inside = lambda z: F.when(z["part"] == 0, F.col("v") < z["low"]).when(z["part"] == 1, F.col("v").between(z["low"], z["high"])).otherwise(F.col("v") > z["high"])
     rest = vals.alias("x").join(zones.alias("s"), _same("x", "s", keys)).select(*[F.col(f"s.{k}").alias(k) for k in keys], "v", F.explode(F.filter("zones", inside)).alias("z"))
     counted = rest.groupBy(*keys, F.col("z.target").alias("target"), F.col("z.left").alias("left"), "v").agg(F.count("*").alias("c"))

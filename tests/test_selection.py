@@ -38,3 +38,18 @@ def test_no_keys_and_no_rows(spark):
     values = spark.range(101).select(F.col("id").alias("v"))
     assert [tuple(x) for x in quantiles(values, [], F.col("v"), {"p": ("nearest", 0.5), "q": ("continuous", 0.5)}).collect()] == [(50, 50.0)]
     assert quantiles(values.where("v < 0"), [], F.col("v"), {"p": ("nearest", 0.5)}).count() == 0
+
+
+def test_groups_meet_their_marks_without_a_sort(spark):
+    """Sketches are larger than what Spark broadcasts here, marks are smaller: no group is sorted in one task for a join."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        values = spark.range(60_000, numPartitions=4).selectExpr("id % 3 AS k", "CAST(id * 7919 % 100003 AS DOUBLE) AS v")
+        found = quantiles(values, ["k"], F.col("v"), {"p": ("nearest", 0.5)})
+        assert found.count() == 3
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(rows) == 3 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
