@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules as P
 from tessera.functions.experience import years_label
+from tessera.functions.expressions import let
 
 # Query parameters that identify a record, and those that only track visits.
 ID_PARAMS = ["gh_jid", "job_id", "jobid", "jid"]
@@ -123,22 +124,29 @@ def salary(x: Column) -> Column:
 def experience_label(x: Column) -> Column:
     """The first stated years of experience, in words."""
     pattern = f"(?is){P.YEARS_STATED}"
-    whole = F.regexp_extract(x, pattern, 0)
-    group = lambda i, j: F.coalesce(blank_to_null(F.regexp_extract(x, pattern, i)), blank_to_null(F.regexp_extract(x, pattern, j))).cast("int")
-    low, high = group(1, 3), F.coalesce(group(2, 4), group(1, 3))
-    stated = F.when(whole.contains("+"), F.concat(low.cast("string"), F.lit("+ years"))).otherwise(years_label(low, high))
-    return F.when(x.isNull() | (x == ""), "Not stated").when(x.rlike(f"(?i){P.NO_EXPERIENCE}"), "0 years").when(whole == "", "Not stated").otherwise(stated)
+
+    def stated(whole: Column) -> Column:
+        # The groups are looked for in the statement alone, which holds all that the pattern matched.
+        group = lambda i, j: F.coalesce(blank_to_null(F.regexp_extract(whole, pattern, i)), blank_to_null(F.regexp_extract(whole, pattern, j))).cast("int")
+        years = F.struct(group(1, 3).alias("low"), group(2, 4).alias("high"))
+        told = let(years, lambda y: F.when(whole.contains("+"), F.concat(y["low"].cast("string"), F.lit("+ years"))).otherwise(years_label(y["low"], F.coalesce(y["high"], y["low"]))))
+        return F.when(whole == "", "Not stated").otherwise(told)
+
+    return F.when(x.isNull() | (x == ""), "Not stated").when(x.rlike(f"(?i){P.NO_EXPERIENCE}"), "0 years").otherwise(let(F.regexp_extract(x, pattern, 0), stated))
 
 
 def experience_bucket(label: Column) -> Column:
     """early, one-plus, two-plus, three-plus, mid, senior or unknown, of an experience label."""
-    t = F.lower(compact(label))
-    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
-    low = F.try_element_at(numbers, F.lit(1))
-    high = F.coalesce(F.try_element_at(numbers, F.lit(2)), low)
-    plus = F.when(low < 2, "one-plus").when(low == 2, "two-plus").when(low < 6, "three-plus").otherwise("senior")
-    span = F.when(high <= 2, "early").when(low <= 5, "mid").otherwise("senior")
-    return F.when(t.rlike("new grad"), "early").when(low.isNull(), "unknown").when(t.contains("+"), plus).otherwise(span)
+
+    def of(t: Column, numbers: Column) -> Column:
+        low = F.try_element_at(numbers, F.lit(1))
+        high = F.coalesce(F.try_element_at(numbers, F.lit(2)), low)
+        plus = F.when(low < 2, "one-plus").when(low == 2, "two-plus").when(low < 6, "three-plus").otherwise("senior")
+        span = F.when(high <= 2, "early").when(low <= 5, "mid").otherwise("senior")
+        return F.when(t.rlike("new grad"), "early").when(low.isNull(), "unknown").when(t.contains("+"), plus).otherwise(span)
+
+    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
+    return let(F.lower(compact(label)), lambda t: let(numbers(t), lambda n: of(t, n)))
 
 
 def metric_facts(x: Column) -> Column:

@@ -100,3 +100,10 @@ def test_coverage_of_empty_tables(spark):
         empty("run_id int, started_at timestamp_ntz, finished_at timestamp_ntz, p50 double, p95 double, due int, polled int"), F.lit(NOW).cast("timestamp_ntz"), ["a"],
     ).collect()
     assert {r.section for r in got} == {"registry", "expired_jobs", "schedule"} and not any(r.value for r in got)
+
+
+def test_early_page_tries_each_pattern_of_experience_once(spark):
+    from tessera.plans.catalogue import QUERIES
+
+    plan = QUERIES["q_early_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 9
