@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,9 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are worked out once a row: a filter on them isn't pushed below and doesn't repeat them."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def small_batches(spark: SparkSession, rows: int = 4096, size: int = 2 << 20) -> None:
+    """Bound what is handed to a Python worker at once by bytes too: pages may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

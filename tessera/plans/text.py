@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.expressions import small_batches
 from tessera.functions.html import html_to_text, page_blocks
 from tessera.operators import relational as R
 from tessera.plans.registry import query
@@ -63,6 +64,7 @@ def links_fingerprint(spark, sf_dir):
 @query("q_html_text")
 def html_text(spark, sf_dir):
     """The parser's tree has no SQL form; tested on golden rows."""
+    small_batches(spark)
     (pages,) = tab(spark, sf_dir, "pages")
     return pages.select("page_id", html_to_text("html").alias("text"))
 
@@ -70,6 +72,7 @@ def html_text(spark, sf_dir):
 @query("q_html_blocks")
 def html_blocks_of_pages(spark, sf_dir):
     """Blocks and their characters by kind on every page; that the blocks make up ``q_html_text`` is tested."""
+    small_batches(spark)
     (pages,) = tab(spark, sf_dir, "pages")
     return page_blocks(pages, "page_id", "html").groupBy("page_id", "kind").agg(F.count("*").alias("blocks"), F.sum(F.length("block")).alias("chars"))
 

@@ -166,3 +166,26 @@ def test_blocks_make_up_the_text(spark):
         found.setdefault(r.id, []).append((r.kind, r.block))
     texts = {r.id: r.text for r in pages.select("id", H.html_to_text("html").alias("text")).collect()}
     assert all(H.joined(found.get(i, [])) == texts[i] for i in texts) and texts[0].startswith("## A & b") and not {2, 3} & found.keys()
+
+
+def test_long_pages_go_to_python_a_few_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.expressions import small_batches
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    small_batches(spark)
+    bounds = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.unset(n)
+
+    @F.pandas_udf("long")
+    def rows(x):
+        return x.map(lambda _: len(x))
+
+    from tessera.plans.catalogue import QUERIES
+
+    QUERIES["q_html_text"](spark, "/root/testdata/sf0.001")
+    assert [spark.conf.get(n) for n in names] == bounds
+    pages = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("html"))
+    assert pages.select(rows("html").alias("n")).agg(F.max("n")).first()[0] <= 120
