@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,10 +207,11 @@ BANDS, BAND_ROWS = 25, 5
 SKETCH_BITS = 42
 #: Rows of a bucket that are all compared at once; the rows of larger ones are compared with leaders first, so many each round, and
 #: in another round while the buckets still hold more pairs than this for each row that are not connected and the last round linked
-#: one row in ``WORTH`` or more, so many rounds at most.  Pairs that are left are all compared.
 SMALL, LEADERS, CROWDED, WORTH, STAR_ROUNDS = 32, 3, 64, 50, 12
 #: Bytes of the texts of candidate pairs whose shingles' hashes are sent to every task, at most; more texts are joined.
 SENT_BYTES = 16 << 20
+#: Slots of the table that tells rare shingles from frequent ones, as a power of 2.
+SLOT_BITS = 20
 _r = np.random.default_rng(SEED)
 _ODD, _FLIP = (_r.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
 _ODD = _ODD * np.uint64(2) + np.uint64(1)
@@ -296,6 +298,21 @@ def _candidate(x: str, y: str) -> Column:
 _PAIR = ("least(x.node, y.node) AS u", "greatest(x.node, y.node) AS v")
 
 
+def _fuzzy_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs that join the nodes of equal SimHashes, and those of SimHashes that Golay keys find within ``RADIUS`` bits."""
+    own = cut(nodes.groupBy(F.col("a").alias("fp")).agg(F.min("node").alias("node")))
+    same = nodes.select(F.col("a").alias("fp"), "node").alias("x").join(own.alias("y"), "fp").where("x.node <> y.node")
+    near = links(own.select("fp")).join(own.select(F.col("fp").alias("u"), F.col("node").alias("x")), "u").join(own.select(F.col("fp").alias("v"), F.col("node").alias("y")), "v")
+    return same.selectExpr(*_PAIR).unionByName(near.selectExpr("least(x, y) AS u", "greatest(x, y) AS v"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs that links don't connect already."""
+    for side in ("u", "v"):
+        pairs = pairs.join(label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    return pairs.where("coalesce(label_u, u) <> coalesce(label_v, v)").select("u", "v")
+
+
 def _small_pairs(met: DataFrame) -> DataFrame:
     """All candidate pairs of the small buckets."""
     small = met.where(F.col("size") <= SMALL)
@@ -314,13 +331,55 @@ def _star(large: DataFrame, turn: int) -> DataFrame:
     return large.alias("y").join(leader.alias("x"), "key").where((F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
 
 
-def _all_pairs(large: DataFrame) -> DataFrame:
-    """Every pair of each large bucket that isn't connected; of buckets of more than ``HOT`` rows part by part."""
-    some = cut(large.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"), (F.min("label") < F.max("label")).alias("open")).where("open").drop("open"))
-    rows = large.join(some, "key")
-    x = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("x")
-    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    return x.join(y, ["key", "part"]).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _candidate("x", "y")).selectExpr(*_PAIR).distinct()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's rows each slot's shingles are, as one batch a task."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for b in batches:
+        for pack in b.column(0).to_pylist():
+            counts += 0 if not pack else np.bincount(_slots(np.frombuffer(pack, np.uint64)), minlength=len(counts))
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def _rare_first(counts: Broadcast[np.ndarray]):
+    """Of each row the shingles, rarest first, of which any row that is alike has one, with their places (from 0)."""
+    names = ["token", "node", "label", "n", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for node, label, pack in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.frombuffer(pack, np.uint64)
+                held = counts.value[_slots(h)]
+                order = np.lexsort((h, held))[: len(h) - -(-NEAR_FIFTHS * len(h) // 5) + 1]
+                at = np.flatnonzero(held[order] > 1)  # a shingle counted once is in no other row
+                out.append((h[order[at]].view(np.int64), *(np.full(len(at), x, np.int64) for x in (node, label, len(h))), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    return run
+
+
+def _rare_pairs(packs: DataFrame) -> DataFrame:
+    """Pairs of rows (node, label, text: hashes as ``_hashed`` makes them) of different labels that may be alike; none that is alike is left out.
+
+    Shingles are put in one order, rarest first.  What comes before the first shingle that two rows share is in one of
+    them alone, so the rest of either bounds the number that they share.  Rows meet by the shingles at which that bound
+    still allows 0.8: versions of one text whose own shingles are too many for that never meet, however many they are.
+    The order comes from counts in a table of fixed size; slots that several shingles share change the order alone.
+    """
+    found = packs.select("text").mapInArrow(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**32 - 1)).alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.uint32)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    run = _rare_first(packs.sparkSession.sparkContext.broadcast(counts))
+    # written first: the join is then one that Spark can split
+    rare = cut(packs.select("node", "label", "text").mapInArrow(run, "token bigint, node bigint, label bigint, n bigint, at bigint"))
+    shared = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    allowed = 9 * shared >= NEAR_FIFTHS * (F.col("x.n") + F.col("y.n"))
+    return rare.alias("x").join(rare.alias("y"), "token").where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & allowed).selectExpr(*_PAIR).distinct()
 
 
 def _open_pairs(large: DataFrame) -> tuple[float, float]:
@@ -334,10 +393,12 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     """doc_id, version (a hash of the text) and near_group of every row of ``df``.
 
     Rows are linked whose distinct five-word shingles have a Jaccard similarity of 0.8
-    or more, and groups are the connected components of links.  Rows meet by keys of
-    the least hashes of their shingles (``BANDS``); those that meet and whose set sizes
-    and SimHashes allow it are verified by the shingles of their texts.  Every such pair
-    of a bucket is verified, whatever the bucket's size, unless links connect it already.
+    or more, and groups are the connected components of links.  Rows meet by the Golay
+    keys of their SimHashes and are verified by the shingles of their texts.  What is alike
+    beyond ``RADIUS`` bits (at 0.8 about 10 of 64 bits differ) and not connected by that
+    meets by keys of the least hashes of the shingles (``BANDS``): small buckets pair by
+    pair, large ones with leaders and then by their rare shingles (``_rare_pairs``), which
+    leaves out no two rows that are alike, whatever the bucket's size.
     Texts with the same shingles are equal, and so are texts without a word.
     """
     spark = df.sparkSession
@@ -363,11 +424,13 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     big = met.where(F.col("size") > SMALL)
     large = cut(big.join(big.groupBy("node").agg(F.sum("size").alias("meets")), "node").withColumn("label", F.col("node")))
 
+    def texts_of(asked: DataFrame) -> DataFrame:
+        one = nodes.join(asked, "node").select("node", "row_id", "row_version")
+        return source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        one = nodes.join(asked, "node").select("node", "row_id", "row_version")
-        texts = cut(source.join(one, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("version") == F.col("row_version"))).select("node", "text").dropDuplicates(["node"]))
+        texts = cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
         few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= SENT_BYTES
         if few:  # then their hashes, 8 bytes a word, are few too
             texts = F.broadcast(cut(texts.mapInArrow(_hashed, "node bigint, text binary")))
@@ -377,9 +440,18 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     def labelled(label: DataFrame) -> DataFrame:
         return cut(large.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
-    crowd, _ = _open_pairs(large)
-    links = verified(_small_pairs(met).unionByName(_star(large, 0)).distinct() if crowd else _small_pairs(met))
-    label = cut(components(links))
+    def rest_of(open_: DataFrame) -> DataFrame:
+        some = open_.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
+        rows = cut(open_.join(some, "key").select("node", "label").distinct())
+        return _rare_pairs(cut(texts_of(rows.select("node")).mapInArrow(_hashed, "node bigint, text binary").join(rows, "node")))
+
+    found = verified(_fuzzy_pairs(nodes))
+    label = cut(components(found))
+    open_ = labelled(label)
+    crowd, _ = _open_pairs(open_)
+    small = _apart(_small_pairs(met), label)
+    found = found.unionByName(verified(small.unionByName(_star(open_, 0)).distinct() if crowd else small))
+    label = cut(components(found))
     for turn in range(1, STAR_ROUNDS + 1):
         open_ = labelled(label) if crowd else None
         crowd, rows = _open_pairs(open_) if crowd else (0, 0)
@@ -390,11 +462,11 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
             more = verified(_star(open_, turn))
             last = more.count() * WORTH < open_.select("node").distinct().count()
         if last:
-            rest = verified(_all_pairs(open_))
+            rest = verified(rest_of(open_))
             more = rest if crowd <= CROWDED * rows or turn == STAR_ROUNDS else more.unionByName(rest)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            label = cut(components(links))
+            found = found.unionByName(more)
+            label = cut(components(found))
         if last:
             break
     return marked.join(label, "node", "left").select("doc_id", "version", F.coalesce("label", "node").alias("near_group"))

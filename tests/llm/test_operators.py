@@ -359,6 +359,35 @@ def test_near_groups_are_those_of_the_exact_similarity(spark, monkeypatch, crowd
     assert near_sets(spark, rows) == sorted(map(list, {tuple(sorted(g)) for g in group.values()}))
 
 
+def test_golay_keys_bring_near_copies_together(spark, monkeypatch):
+    base = words(400, 31).split()
+    rows = [(i, " ".join(base[: i * 9] + [f"own{i}"] * (i > 0) + base[i * 9 + (i > 0) :])) for i in range(40)] + [(99, words(400, 32))]
+    fps = {i: simhash.near_signature(t)[2] for i, t in rows}
+    close = {i for i in fps if ((fps[i] ^ fps[0]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS}
+    assert 5 < len(close) < 40
+    small = simhash._small_pairs
+    monkeypatch.setattr(simhash, "_small_pairs", lambda met: small(met).limit(0))  # no other keys
+    (group,) = (g for g in near_sets(spark, rows) if 0 in g)
+    assert close <= set(group) and 99 not in group
+
+
+def test_rare_shingles_bring_all_alike_together_and_few_others(spark):
+    """Versions of one text, most of them too far from each other: pairs to verify are far fewer than all, and none that is alike is missed."""
+    r, base, rows = random.Random(4), words(150, 41).split(), []
+    for i in range(400):
+        x = list(base)
+        for at in r.sample(range(150), 1 + i % 8):
+            x[at] = f"own{r.randint(0, 300)}"
+        rows.append((i, " ".join(x)))
+    packed = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["node", "text"])
+    packs = [(n, n if n % 8 > 2 else -1, p) for b in simhash._hashed(iter([packed])) for n, p in zip(*(c.to_pylist() for c in b.columns))]  # versions of few words are connected
+    got = {(p.u, p.v) for p in simhash._rare_pairs(spark.createDataFrame(packs, "node long, label long, text binary")).collect()}
+    sets = {i: simhash.shingles_of(t) for i, t in rows}
+    label = {n: k for n, k, _ in packs}
+    want = {(i, j) for i in sets for j in sets if i < j and label[i] != label[j] and simhash.alike(sets[i], sets[j])}
+    assert want and want <= got and len(got) < len(want) + 10 * len(rows)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 0)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
