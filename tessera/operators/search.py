@@ -26,13 +26,17 @@ def index(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None
     """term, id, positions (from 1, stop words counted) of every term of every text.
 
     A null or empty text has no terms; repeated ids are taken together.  For a few searches alone (``only``, from
-    ``query_terms``, which is sent to every task) terms that none asks for are left out before positions are gathered;
+    ``query_terms``, which is sent to every task) terms that none asks for are left out before positions are gathered: each
+    distinct word goes to the stemmer once, and the words that come to an asked term are sent to every task;
     ``word``, a condition on the column ``word``, says which words count as any term.
     """
     placed = docs.select(F.col(doc_id).alias("id"), F.posexplode(words(F.col(text))).alias("at", "word"))
-    placed = (placed if word is None else placed.where(word)).select("id", "at", term_of("word").alias("term")).where(F.col("term").isNotNull())
-    if only is not None:
-        placed = placed.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+    placed = placed if word is None else placed.where(word)
+    if only is None:
+        placed = placed.select("id", "at", term_of("word").alias("term")).where(F.col("term").isNotNull())
+    else:
+        own = placed.select("word").distinct().select("word", term_of("word").alias("term")).join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
+        placed = placed.join(F.broadcast(own), "word")
     return placed.groupBy("term", "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
 
 

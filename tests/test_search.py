@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,19 @@ def test_an_index_for_given_searches_finds_the_same(spark):
     wanted = search.query_terms(spark.createDataFrame([(1, ["run dog", "quick"])], "q int, words array<string>"), "q", "words")
     whole, own = (sorted(map(tuple, search.matches(x, wanted).collect())) for x in (search.index(docs, "id", "text"), search.index(docs, "id", "text", wanted)))
     assert whole == own and len(own) == 15
+
+
+def test_for_given_searches_each_word_is_stemmed_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"running dogs {i % 3} quick " * 50) for i in range(40)], "id long, text string")
+    wanted = search.query_terms(spark.createDataFrame([(1, ["run dog", "quick"])], "q int, words array<string>"), "q", "words").localCheckpoint()
+    whole = sorted(map(tuple, search.matches(search.index(docs, "id", "text"), wanted).collect()))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(word: pd.Series) -> pd.Series:
+        seen.add(len(word))
+        return word.map(term)
+
+    monkeypatch.setattr(search, "term_of", counted.asNondeterministic())
+    assert sorted(map(tuple, search.matches(search.index(docs, "id", "text", wanted), wanted).collect())) == whole and len(whole) == 40
+    assert 0 < seen.value <= 6
