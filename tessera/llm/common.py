@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which a query deletes its shuffle files as it ends.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes in one Arrow batch handed to Python, for all operators alike: texts may be long, so bytes bound a batch.
 ARROW_ROWS, ARROW_BYTES = 4096, 2 << 20
 
@@ -43,10 +46,32 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries made in this block delete their shuffle files as they end.
+
+    Otherwise files stay until the driver happens to collect its garbage, and an operator of many
+    rounds holds those of all rounds at once.  The session's own setting comes back after the block.
+    """
+    before = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Materialize ``df`` in the shared checkpoint folder, and drop its lineage and its shuffle files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a query of its own: the setting counts when a query is made
+
+
+def first_row(df: DataFrame) -> Row:
+    """The first row of ``df``, whose shuffle files are deleted then."""
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").first()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

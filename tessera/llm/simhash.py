@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import batch, cut, packed, shuffle_parts, small_batches
+from tessera.llm.common import batch, cut, first_row, packed, shuffle_parts, small_batches
 from tessera.llm.components import components
 
 SEED = 42
@@ -385,7 +385,7 @@ def _rare_pairs(packs: DataFrame) -> DataFrame:
 def _open_pairs(large: DataFrame) -> tuple[float, float]:
     """(pairs of the buckets that aren't connected, rows of the buckets)."""
     sizes = large.groupBy("key", "label").count().groupBy("key").agg((F.pow(F.sum("count"), 2) - F.sum(F.pow("count", F.lit(2)))).alias("pairs"), F.sum("count").alias("rows"))
-    pairs, rows = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
+    pairs, rows = first_row(sizes.agg(F.sum("pairs"), F.sum("rows")))
     return (pairs or 0) / 2, rows or 0
 
 
@@ -431,7 +431,7 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         texts = cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
-        few = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= SENT_BYTES
+        few = (first_row(texts.agg(F.sum(F.octet_length("text"))))[0] or 0) <= SENT_BYTES
         if few:  # then their hashes, 8 bytes a word, are few too
             texts = F.broadcast(cut(texts.mapInArrow(_hashed, "node bigint, text binary")))
         held = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
@@ -441,7 +441,7 @@ def near_groups(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
         return cut(large.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
     def rest_of(open_: DataFrame) -> DataFrame:
-        some = open_.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
+        some = cut(open_.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key"))  # written first, as the sizes
         rows = cut(open_.join(some, "key").select("node", "label").distinct())
         return _rare_pairs(cut(texts_of(rows.select("node")).mapInArrow(_hashed, "node bigint, text binary").join(rows, "node")))
 

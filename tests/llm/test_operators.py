@@ -1,7 +1,9 @@
 """The operators against brute force, round trips or the public library, and on awkward rows."""
 
 import hashlib
+import os
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from tessera.llm import bpe, cdc, golay, hnsw, imatch, langid, mixing, secrets, simhash, suffix, warc
+from tessera.llm.common import FREES, shuffles_freed
 from tessera.llm.components import components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -388,6 +391,32 @@ def test_rare_shingles_bring_all_alike_together_and_few_others(spark):
     assert want and want <= got and len(got) < len(want) + 10 * len(rows)
 
 
+def shuffle_ids(spark):
+    """Of Spark's local folders the numbers of the shuffles that have files there."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {n.split("_")[1] for d in dirs for _, _, names in os.walk(str(d)) for n in names if n.startswith("shuffle_")}
+
+
+def test_rounds_leave_no_shuffle_files_behind(spark):
+    spark.conf.unset(FREES)
+    before, df = shuffle_ids(spark), spark.createDataFrame(near_corpus(), "doc_id long, text string")
+    groups = simhash.near_groups(df)
+    until = time.time() + 20
+    while (left := shuffle_ids(spark) - before) and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not left and spark.conf.get(FREES, None) is None
+    assert sorted(r.doc_id for r in groups.collect()) == sorted(r.doc_id for r in df.collect())  # all that is read again is still there
+
+
+def test_the_session_s_own_setting_comes_back(spark):
+    spark.conf.set(FREES, "false")
+    with pytest.raises(ValueError), shuffles_freed(spark):
+        assert spark.conf.get(FREES) == "true"
+        raise ValueError
+    assert spark.conf.get(FREES) == "false"
+    spark.conf.unset(FREES)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 0)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
