@@ -6,8 +6,10 @@ symbols is skipped when it comes out (stale entries are never searched for).
 Decoding joins the vocabulary strings.
 
 Everything is per row, so no shuffle is needed and a lost executor costs only
-its tasks.  A worker keeps what it has found for a word in a cache of at most
-``CACHE_WORDS`` entries; words beyond it are encoded again each time.
+its tasks.  A worker keeps what it has found in two caches: whole stretches
+between white space (at most ``CACHE_CHUNKS``), and, for stretches that are not
+there, the words in them (at most ``CACHE_WORDS``), as rare stretches are mostly
+known words with other punctuation.  Words beyond both are encoded again each time.
 
 Defined results: a null text is encoded as the empty text (0 tokens, digests of
 the empty string); rows with a null ``doc_id`` or repeated rows give one row
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, small_batches, texts_of
 
-#: Words whose encoding a worker remembers.
-CACHE_WORDS = 250_000
-#: Words longer than this are encoded each time they occur and never remembered.
+#: Stretches between white space, and words, whose encoding a worker remembers.
+CACHE_CHUNKS, CACHE_WORDS = 125_000, 250_000
+#: Stretches and words longer than this are encoded each time they occur and never remembered.
 CACHE_WORD_CHARS = 64
 #: White space as the normalizer of the vocabulary file knows it.
 _SPACE = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -64,7 +66,11 @@ class Tokenizer:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ids = self.vocab
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Left id, right id and merged id by rank, and ranks by left id and right id.
+        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(ids.values(), default=-1) + 1)]
+        for rank, (left, right, _) in enumerate(self.merges):
+            self.ranks[left][right] = rank
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in ids.items()} | {i: s for s, i in self.specials.items()}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -73,55 +79,71 @@ class Tokenizer:
         symbols = byte_symbols()
         self.inner = [ids.get(s) for s in symbols]
         self.last = [ids.get(s + self.suffix) for s in symbols]
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
+        self.chunks: dict[str, tuple[int, bytes, str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def normalize(self, chunk: str) -> str:
-        """NFC and lower case letter by letter (so without the final sigma rule) of a text without white space."""
-        chunk = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        return chunk.replace("Σ", "σ").lower()
+    def normalize(self, text: str) -> str:
+        """NFC and lower case letter by letter (so without the final sigma rule)."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        return text.replace("Σ", "σ").lower()
 
     def encode_word(self, word: str) -> list[int]:
         """Merge the word's symbols, lowest rank first, leftmost among equals."""
-        data = word.encode("utf-8")
-        ids = [i for i in [*(self.inner[b] for b in data[:-1]), self.last[data[-1]]] if i is not None]
-        n, merges = len(ids), self.merges
+        data, merges, ranks = word.encode("utf-8"), self.merges, self.ranks
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], at, ids[at], ids[at + 1], m[1]) for at in range(n - 1) if (m := merges.get((ids[at], ids[at + 1])))]
+        # one number holds rank and place: such entries compare faster than tuples
+        queue = [rank * n + at for at in range(n - 1) if (rank := ranks[ids[at]].get(ids[at + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, made = heapq.heappop(queue)
-            nxt = after[at]
-            if ids[at] != left or nxt >= n or ids[nxt] != right:
+            rank, at = divmod(heapq.heappop(queue), n)
+            left, right, made = merges[rank]
+            if ids[at] != left or (nxt := after[at]) >= n or ids[nxt] != right:
                 continue  # stale: one of the two has been merged since
             ids[at], ids[nxt] = made, -1
             after[at] = far = after[nxt]
             if far < n:
                 before[far] = at
-                if m := merges.get((made, ids[far])):
-                    heapq.heappush(queue, (m[0], at, made, ids[far], m[1]))
-            if (back := before[at]) >= 0 and (m := merges.get((ids[back], made))):
-                heapq.heappush(queue, (m[0], back, ids[back], made, m[1]))
+                if (rank := ranks[made].get(ids[far])) is not None:
+                    heapq.heappush(queue, rank * n + at)
+            if (back := before[at]) >= 0 and (rank := ranks[ids[back]].get(made)) is not None:
+                heapq.heappush(queue, rank * n + back)
         return [i for i in ids if i >= 0]
 
+    def _new_word(self, word: str) -> tuple[int, ...]:
+        got = tuple(self.encode_word(word))
+        if len(self.words) < CACHE_WORDS and len(word) <= CACHE_WORD_CHARS:
+            self.words[word] = got
+        return got
+
     def _known(self, chunk: str) -> tuple[int, bytes, str]:
-        """Token count, ids as little-endian 32-bit integers, and decoded text of what stands between white space.
+        """Token count, ids as little-endian 32-bit integers, and decoded text of what stands between white space (normalized).
 
-        No token holds white space and no letter composes with it, so chunks are encoded apart.
+        No token holds white space, so chunks are encoded apart.
         """
-        ids = [i for w in self.word.findall(self.normalize(chunk)) for i in self.encode_word(w)]
+        get, new = self.words.get, self._new_word
+        if not (ids := get(chunk)):  # a word by itself is one match of the pattern
+            ids = []
+            for w in self.word.findall(chunk):
+                ids += get(w) or new(w)
         got = (len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids]))
-        if len(self.cache) < CACHE_WORDS and len(chunk) <= CACHE_WORD_CHARS:
-            self.cache[chunk] = got
+        if len(self.chunks) < CACHE_CHUNKS and len(chunk) <= CACHE_WORD_CHARS:
+            self.chunks[chunk] = got
         return got
 
     def _plain(self, text: str) -> list[tuple[int, bytes, str]]:
+        text = self.normalize(text)
         chunks = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-        get, known = self.cache.get, self._known
+        get, known = self.chunks.get, self._known
         return [get(c) or known(c) for c in chunks if c]
 
     def pieces(self, text: str) -> list[tuple[int, bytes, str]]:
@@ -170,7 +192,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", id_col: str =
                 parts = t.pieces(text)
                 packed = b"".join([p[1] for p in parts])
                 plain = " ".join([p[2] for p in parts if p[0]])
-                counts.append(sum([p[0] for p in parts]))
+                counts.append(len(packed) // 4)
                 digests.append(hashlib.sha256(packed).hexdigest())
                 decoded_digests.append(hashlib.sha256(plain.encode("utf-8")).hexdigest())
                 if with_ids:

@@ -220,6 +220,27 @@ def test_encoding_and_decoding_are_the_library_s(spark):
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_a_word_is_encoded_once_whatever_stands_around_it(monkeypatch):
+    own, seen = bpe.Tokenizer.from_file(VOCABULARY), []
+    plain = own.encode_word
+    monkeypatch.setattr(own, "encode_word", lambda w: seen.append(w) or plain(w))
+    text = "Thonreou thonreou, (thonreou) THONREOU! thonreou's thonreou-- ''s"
+    assert own.encode(text) == Library.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(set(seen)) and "thonreou" in seen
+
+
+@pytest.mark.parametrize("kept", [0, 3])
+def test_encoding_with_full_caches_is_the_library_s(monkeypatch, kept):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", kept)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", kept)
+    library, own = Library.from_file(VOCABULARY), bpe.Tokenizer.from_file(VOCABULARY)
+    r = np.random.default_rng(11)
+    signs = [*"aeEshTt'.,!1½ΣσİÅ한", "\u0301", "\u0323", "\u212b", "\u1100", "\u1161", " ", "\n", "\x1c", "\u2000", "\u3000", "\x85", "<|endoftext|>"]
+    for t in [*ODD, *("".join(r.choice(signs, 40)) for _ in range(300))]:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+    assert len(own.chunks) == len(own.words) == kept
+
+
 def test_encoding_on_awkward_rows(docs, none):
     library = Library.from_file(VOCABULARY)
     rows = bpe.encode(clashing(docs), VOCABULARY).collect()
