@@ -1,10 +1,13 @@
 """Approximate nearest neighbours with one navigable small-world graph for each shard.
 
 Vectors are dealt into shards of about ``SHARD`` by a hash of their id (and by
-their length), each shard's hierarchical graph is built in one task and kept as
-flat arrays of neighbours, and the queries are sent to every shard in blocks.
-The nearest found in the shards are merged by distance.  A shard's size doesn't
-grow with the data, so neither does any task; more data means more shards.
+their length), and each shard's hierarchical graph is built in one task and kept
+as flat arrays of neighbours.  A task gets a few shards and, first of all, the
+queries, at most about ``QUERY_BLOCK``: it builds one graph after another, asks
+it all queries and keeps the nearest of each, which are merged by distance.  The
+size of a shard, and what a task holds, don't grow with the data.  A task gets so
+many shards that the queries, which go to every task, are no more rows in all
+than the vectors; they are shuffled like these and never sent to the driver.
 
 In a shard, vectors are inserted one after another.  A new one's candidates on a
 layer are the nearest that are already there, by the shard's table of distances
@@ -23,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,14 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, shuffle_parts, small_batches
+from tessera.llm.common import batch, small_batches
 
 SHARD = 4096
 #: Links of a node on the upper layers and on the lowest one.
 LINKS, LINKS_0 = 12, 24
 #: Candidates of an insertion, and of a search.
 EF_BUILD, EF_SEARCH = 48, 80
-QUERY_BLOCK = 256
+#: Queries that a task holds while its shards pass.
+QUERY_BLOCK = 16384
 #: Size of a component beyond which a shard's table of distances is made of scaled vectors.
 LARGE = 1e150
 
@@ -194,9 +199,14 @@ def thinned(dist: np.ndarray, candidates: np.ndarray, node: int, most: int) -> l
 INDEX_DDL = "shard bigint, n int, entry int, vectors binary, owners binary, owner_at binary, widths array<int>, links binary"
 
 
+def shard_of(vec_id: str, shards: int) -> Column:
+    """The shard of a vector among those of its length."""
+    return F.pmod(F.xxhash64(vec_id), F.lit(shards))
+
+
 def build(vectors: DataFrame, shards: int) -> DataFrame:
-    """The index, a row for each shard, of the rows (vec_id, embedding) that take part."""
-    dealt = vectors.withColumn("shard", F.size("embedding").cast("long") * shards + F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    """The index as a table, a row for each shard, of the rows (vec_id, embedding) that take part."""
+    dealt = vectors.withColumn("shard", F.size("embedding").cast("long") * shards + shard_of("vec_id", shards))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = Graph(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
@@ -205,6 +215,32 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(run, INDEX_DDL)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(length, shard, ids, vectors) of rows that stand together in a batch and have the same length and shard."""
+    for b in batches:
+        length, shard, ids = (b.column(c).to_numpy() for c in ("length", "shard", "id"))
+        starts = np.flatnonzero((np.diff(length) != 0) | (np.diff(shard) != 0)) + 1
+        for i, j in pairwise([0, *starts.tolist(), b.num_rows]):
+            if i < j:
+                flat = b.column("embedding").slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                yield int(length[i]), int(shard[i]), ids[i:j], flat.astype(np.float64).reshape(j - i, -1)
+
+
+def _in_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, int, float]]]:
+    """(query_id, vec_id, score) of the ``k`` nearest of each query; of each length, queries (shard -1) come first, then shard after shard."""
+    for _, same_length in groupby(_pieces(batches), lambda p: p[0]):
+        query_ids: list[int] = []
+        for shard, pieces in groupby(same_length, lambda p: p[1]):
+            ids, vectors = (np.concatenate(x) for x in zip(*(p[2:] for p in pieces)))
+            if shard < 0:
+                query_ids, asked, best = ids.tolist(), vectors, [[] for _ in ids]
+            elif query_ids:
+                g = Graph(ids, vectors)
+                best = [sorted({*near, *g.nearest(i, q, k)})[:k] for near, i, q in zip(best, query_ids, asked)]
+        if query_ids:
+            yield [(i, vec_id, d) for i, near in zip(query_ids, best) for d, vec_id in near]
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: of each row for which ``queries`` holds, the ``k`` nearest rows found."""
     spark = df.sparkSession
@@ -213,21 +249,21 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     asked = rows.where(queries).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("embedding"))
     total, n_asked = (df.select(F.count(F.col(id_col)), F.count_if(queries)).first())
     shards, blocks = max(1, math.ceil(total / SHARD)), max(1, math.ceil(n_asked / QUERY_BLOCK))
-    by_block = asked.groupBy(F.size("embedding").cast("long").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    sent = by_block.select(F.explode(F.sequence(F.col("dim") * shards, F.col("dim") * shards + (shards - 1))).alias("shard"), "asked")
+    groups = math.ceil(shards / max(1, math.ceil(shards * n_asked / max(1, total))))
+    group, block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (groups, blocks))
+    kept = vectors.select("vec_id", "embedding", shard_of("vec_id", shards).alias("shard"), block.alias("block")).withColumn("group", F.col("shard") % groups)
+    sent = asked.select("query_id", "embedding", F.lit(-1).cast("long").alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), group.alias("group"))
+    task, length = (F.col("group") + F.col("block") * groups).cast("int").alias("task"), F.size("embedding").alias("length")
+    rows = sent.select(task, length, "shard", F.col("query_id").alias("id"), "embedding").unionAll(kept.select(task, length, "shard", F.col("vec_id").alias("id"), "embedding"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                _, asked_, *packed = [c[i].as_py() for c in b.columns]
-                g = Graph.unpacked(*packed)
-                out = [(q["query_id"], vec_id, d) for q in asked_ for d, vec_id in g.nearest(q["query_id"], np.array(q["embedding"], dtype=np.float64), k)]
-                if out:
-                    yield batch(schema, list(zip(*out)))
+        for out in _in_shards(batches, k):
+            if out:
+                yield batch(schema, list(zip(*out)))
 
     small_batches(spark)
-    pairs = sent.join(build(vectors, shards), "shard").repartition(max(shuffle_parts(spark), 1), F.xxhash64("shard", F.element_at("asked", 1).getField("query_id")))
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score double").distinct()
+    dealt = rows.repartitionById(groups * blocks, F.col("task")).drop("task").sortWithinPartitions("length", "shard")
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double").repartition("query_id").distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

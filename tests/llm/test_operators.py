@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import time
 from fractions import Fraction
 
@@ -200,6 +201,33 @@ def test_large_vectors_leave_the_others_findable(spark, scale):
     assert len(finite) >= 20 and len(want & found) >= 0.9 * len(want)
 
 
+def test_queries_are_shuffled_to_few_tasks_and_not_sent_to_the_driver(spark, monkeypatch):
+    """Sent to every shard, queries grow with the square of the rows: no join may broadcast them, and a task takes several shards."""
+    monkeypatch.setattr(hnsw, "SHARD", 40)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 30)
+    r = np.random.default_rng(3)
+    x, short = r.normal(size=(500, 8)).astype(np.float32), r.normal(size=(60, 3)).astype(np.float32)
+    x[100:120] = x[5]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(500)] + [(1000 + i, [float(v) for v in short[i]]) for i in range(60)] + [(2001, [1.0]), (2002, [1.0, 1.0])]
+    found = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0, k=10)
+    got, plan = {}, found._jdf.queryExecution()
+    for g in found.collect():
+        got.setdefault(g.query_id, {})[g.rank] = (g.score, g.vec_id)
+    shown = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Broadcast" not in shown and "Join" not in shown
+    dealt = [int(n) for n in re.findall(r"Exchange \S*\(.*?, (\d+)\), REPARTITION_BY_NUM", shown)]
+    assert dealt == [5 * 4]  # 15 shards, three a task, times blocks of about 30 queries
+    hit = 0
+    for own, at in ((x, 0), (short, 1000)):
+        for q in range(0, len(own), 5):
+            d = np.sqrt(((own.astype(np.float64) - own[q].astype(np.float64)) ** 2).sum(axis=1))
+            want = [(float(d[i]), int(i) + at) for i in np.lexsort((np.arange(len(own)), d)) if i != q][:10]
+            mine = [got[q + at][n] for n in range(1, 11)]
+            assert mine == sorted(mine) and all(abs(s - d[i - at]) < 1e-12 for s, i in mine)
+            hit += len({i for _, i in want} & {i for _, i in mine})
+    assert set(got) == {*range(0, 500, 5), *range(1000, 1060, 5)} and hit >= 0.9 * 1120
+
+
 def test_graph_survives_packing():
     g = hnsw.Graph(np.arange(50), np.random.default_rng(2).normal(size=(50, 4)))
     h = hnsw.Graph.unpacked(*g.packed())
