@@ -4,10 +4,11 @@ Vectors are dealt into shards of about ``SHARD`` by a hash of their id (and by
 their length), and each shard's hierarchical graph is built in one task and kept
 as flat arrays of neighbours.  A task gets a few shards and, first of all, the
 queries, at most about ``QUERY_BLOCK``: it builds one graph after another, asks
-it all queries and keeps the nearest of each, which are merged by distance.  The
-size of a shard, and what a task holds, don't grow with the data.  A task gets so
-many shards that the queries, which go to every task, are no more rows in all
-than the vectors; they are shuffled like these and never sent to the driver.
+it all queries (``ABREAST`` of them side by side) and keeps the nearest of each,
+which are merged by distance.  The size of a shard, and what a task holds, don't
+grow with the data.  A task gets so many shards that the queries, which go to
+every task, are no more rows in all than the vectors; they are shuffled like
+these and never sent to the driver.
 
 In a shard, vectors are inserted one after another.  A new one's candidates on a
 layer are the nearest that are already there, by the shard's table of distances
@@ -46,6 +47,8 @@ EF_BUILD, EF_SEARCH = 48, 80
 QUERY_BLOCK = 16384
 #: Size of a component beyond which a shard's table of distances is made of scaled vectors.
 LARGE = 1e150
+#: Queries that are searched for side by side in a graph.
+ABREAST = 64
 
 
 def usable(vector: Column) -> Column:
@@ -106,54 +109,73 @@ class Graph:
                 flat[node, : len(kept)] = kept
             self.links.append(flat)
 
-    def search(self, q: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
-        """The nodes found nearest to ``q``, at most ``ef``."""
-        x = self.vectors
-        at = self.entry
-        best = float(((x[at] - q) ** 2).sum())
-        for layer in range(len(self.links) - 1, 0, -1):
-            while True:
-                c = self.links[layer][at]
-                c = c[c >= 0]
-                if not len(c):
-                    break
-                d = ((x[c] - q) ** 2).sum(axis=1)
-                k = int(np.argmin(d))
-                if d[k] >= best:
-                    break
-                at, best = int(c[k]), float(d[k])
-        seen = np.zeros(len(x), dtype=bool)
-        seen[at] = True
-        todo, found, low = [(best, at)], [(-best, at)], self.links[0]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if len(found) >= ef and d > -found[0][0]:
-                break
-            c = low[node]
-            c = c[c >= 0]
-            c = c[~seen[c]]
-            if not len(c):
-                continue
-            seen[c] = True
-            ds = ((x[c] - q) ** 2).sum(axis=1)
-            if len(found) >= ef:
-                close = ds < -found[0][0]
-                c, ds = c[close], ds[close]
-            for dd, k in zip(ds.tolist(), c.tolist()):
-                if len(found) < ef:
-                    heapq.heappush(found, (-dd, k))
-                elif dd < -found[0][0]:
-                    heapq.heapreplace(found, (-dd, k))
-                else:
-                    continue
-                heapq.heappush(todo, (dd, k))
-        return np.array([k for _, k in found])
+    def search(self, queries: np.ndarray, ef: int = EF_SEARCH) -> list[np.ndarray]:
+        """For each row of ``queries`` the nodes found nearest to it, at most ``ef``.
+
+        All rows go one step at a time, each on its own: it opens the nearest node it has found and not opened yet, and
+        ends when it has opened the ``ef`` nearest it knows.
+        """
+        x, n, m = self.vectors, len(self.vectors), len(queries)
+        at = np.full(m, self.entry)
+        best = squares(x[at], queries)
+        for links in self.links[:0:-1]:
+            moving = np.arange(m)
+            while len(moving):
+                c = links[at[moving]]
+                d = np.where(c >= 0, squares(x[c], queries[moving, None]), np.inf)
+                first = np.arange(len(moving)), d.argmin(axis=1)
+                closer = d[first] < best[moving]
+                moving, to, d = moving[closer], c[first][closer], d[first][closer]
+                at[moving], best[moving] = to, d
+        near, nodes, opened = np.full((m, ef), np.inf), np.full((m, ef), -1), np.ones((m, ef), dtype=bool)
+        near[:, 0], nodes[:, 0], opened[:, 0] = best, at, False
+        new = np.ones((m, n + 1), dtype=bool)  # the last column stands for the -1 of missing links
+        new[:, n] = False
+        new[np.arange(m), at] = False
+        out: list[np.ndarray] = [at[:0]] * m
+        rows = np.arange(m)
+        while True:
+            d = np.where(opened, np.inf, near)
+            k = d.argmin(axis=1)
+            going = d[np.arange(len(rows)), k] < np.inf
+            if not going.all():
+                for i in np.flatnonzero(~going):
+                    out[rows[i]] = nodes[i][nodes[i] >= 0]
+                near, nodes, opened, new, queries, rows, k = (v[going] for v in (near, nodes, opened, new, queries, rows, k))
+                if not len(rows):
+                    return out
+            each = np.arange(len(rows))
+            opened[each, k] = True
+            c = self.links[0][nodes[each, k]]
+            r, k = np.nonzero(new[each[:, None], c])
+            c = c[r, k]
+            new[r, c] = False
+            d = squares(x[c], queries[r])
+            closer = d < near.max(axis=1)[r]
+            r, c, d = r[closer], c[closer], d[closer]
+            if len(r):
+                k = np.arange(len(r)) - np.searchsorted(r, r)
+                shape = len(rows), int(k.max()) + 1
+                added = np.full(shape, np.inf), np.full(shape, -1), np.ones(shape, dtype=bool)
+                for v, value in zip(added, (d, c, False)):
+                    v[r, k] = value
+                near, nodes, opened = (np.concatenate(v, axis=1) for v in zip((near, nodes, opened), added))
+                kept = np.argpartition(near, ef - 1, axis=1)[:, :ef]
+                near, nodes, opened = (np.take_along_axis(v, kept, axis=1) for v in (near, nodes, opened))
 
     def nearest(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(distance, id) of the ``k`` nearest found, nearest first, ties to the smaller id."""
-        if not len(self.vectors):
-            return []
-        nodes = self.search(q)
+        return next(self.nearest_of_each([query_id], q[None], k))
+
+    def nearest_of_each(self, query_ids: list[int], queries: np.ndarray, k: int) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of each row of ``queries``."""
+        for i in range(0, len(query_ids), ABREAST):
+            rows = queries[i : i + ABREAST]
+            found = self.search(rows) if len(self.vectors) else [np.zeros(0, dtype=int)] * len(rows)
+            for query_id, q, nodes in zip(query_ids[i : i + ABREAST], rows, found):
+                yield self._owned(query_id, q, nodes, k)
+
+    def _owned(self, query_id: int, q: np.ndarray, nodes: np.ndarray, k: int) -> list[tuple[float, int]]:
         d = np.sqrt(((self.vectors[nodes] - q) ** 2).sum(axis=1))
         out = []
         for dd, node in sorted(zip(d.tolist(), nodes.tolist())):
@@ -180,6 +202,12 @@ class Graph:
         return g
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, at most the largest double."""
+    d = a - b
+    return np.minimum(np.einsum("...i,...i->...", d, d), np.finfo(np.float64).max)
+
+
 def thinned(dist: np.ndarray, candidates: np.ndarray, node: int, most: int) -> list[int]:
     """Of candidates, nearest first, those that are nearer to ``node`` than to any one already kept."""
     if len(candidates) <= 2:
@@ -236,7 +264,7 @@ def _in_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple
                 query_ids, asked, best = ids.tolist(), vectors, [[] for _ in ids]
             elif query_ids:
                 g = Graph(ids, vectors)
-                best = [sorted({*near, *g.nearest(i, q, k)})[:k] for near, i, q in zip(best, query_ids, asked)]
+                best = [sorted({*near, *more})[:k] for near, more in zip(best, g.nearest_of_each(query_ids, asked, k))]
         if query_ids:
             yield [(i, vec_id, d) for i, near in zip(query_ids, best) for d, vec_id in near]
 

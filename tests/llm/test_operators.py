@@ -228,6 +228,18 @@ def test_queries_are_shuffled_to_few_tasks_and_not_sent_to_the_driver(spark, mon
     assert set(got) == {*range(0, 500, 5), *range(1000, 1060, 5)} and hit >= 0.9 * 1120
 
 
+def test_queries_side_by_side_find_what_each_finds_alone():
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(1500, 12)), np.round(r.normal(size=(300, 12)))])
+    g, asked = hnsw.Graph(np.arange(len(x)), x), np.concatenate([r.normal(size=(hnsw.ABREAST + 9, 12)), x[:5] * 1e160, x[:5]])
+    ids = [-1] * (len(asked) - 5) + list(range(5))
+    with np.errstate(over="ignore"):
+        found = list(g.nearest_of_each(ids, asked, 10))
+        assert found == [g.nearest(i, q, 10) for i, q in zip(ids, asked)] and all(len(f) == 10 for f in found)
+    hit = sum(len({i for _, i in f} & set(np.argsort(((x - q) ** 2).sum(axis=1))[:10].tolist())) for f, q in zip(found, asked[: hnsw.ABREAST]))
+    assert hit >= 9.5 * hnsw.ABREAST
+
+
 def test_graph_survives_packing():
     g = hnsw.Graph(np.arange(50), np.random.default_rng(2).normal(size=(50, 4)))
     h = hnsw.Graph.unpacked(*g.packed())
